@@ -63,15 +63,36 @@ def candidate_spans(text: Column, families: tuple[str, ...] = ("structured", "la
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def detect_column(text: Column) -> Column:
+_BUILT: dict[tuple, Column] = {}
+
+
+def _memo(key: tuple, build) -> Column:
+    """Building these expression trees from Python costs thousands of py4j
+    calls (seconds); the result only names its input column, so it is built
+    once per session and column name and reused by every DataFrame."""
+    from pyspark import SparkContext
+    k = (id(SparkContext._active_spark_context),) + key
+    if k not in _BUILT:
+        _BUILT[k] = build()
+    return _BUILT[k]
+
+
+def detect_column(text: Column | str) -> Column:
     """D25 on one text column → resolved span array (sorted by start)."""
     def body(t: Column) -> Column:
         regex_part = dedupe_exact_offsets(candidate_spans(t))
         lines = F.coalesce(line_label_hits(t), F.array().cast(_SPAN_ARRAY))
         return resolve_overlaps(F.concat(regex_part, lines))
+    if isinstance(text, str):
+        return _memo(("detect", text), lambda: body(F.coalesce(F.col(text), F.lit(""))))
     return let(text, body)
 
 
+def rule_hits_of(col_name: str, rule: R.Rule) -> Column:
+    return _memo(("rule", col_name, rule.order),
+                 lambda: rule_hits(F.coalesce(F.col(col_name), F.lit("")), rule))
+
+
 def with_span_lang(spans: Column) -> Column:
     return F.transform(spans, lambda s: s.withField("lang", span_language(s["text"])))
 
@@ -81,7 +102,7 @@ def detect(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumns({
         "lang": document_language(t),
         "char_count": F.char_length(t),
-        "spans": with_span_lang(detect_column(F.coalesce(t, F.lit("")))),
+        "spans": with_span_lang(detect_column(text_col)),
     })
 
 

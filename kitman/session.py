@@ -39,3 +39,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def spread(df, per_core: int = 2):
+    """Give a small but CPU-heavy input (few large rows) enough partitions
+    to use every core.  Inputs already split wider than the cluster are left
+    as they are (no shuffle)."""
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism * per_core
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
