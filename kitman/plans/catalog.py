@@ -146,14 +146,23 @@ def q_t13_iso_utc(spark, sf_dir):
     return e.select("o_orderkey", ts.alias("epoch"), T.iso_utc(ts).alias("iso"))
 
 
+def line_spans(spark, sf_dir) -> DataFrame:
+    """Per-line label spans (D24) of the contract corpus as a spans table."""
+    c = corpus(spark, sf_dir)
+    return V.spans_table(c.withColumn("spans", with_span_lang(
+        F.coalesce(line_label_hits(F.col("text")), F.array().cast(
+            "array<struct<start:int,end:int,rule:int,seq:int,bstart:int,bend:int,"
+            "kind:string,text:string,confidence:double>>")))))
+
+
 def q_t16_review_flags(spark, sf_dir):
-    sp = V.spans_table(extract(corpus(spark, sf_dir)))
+    sp = line_spans(spark, sf_dir)
     return sp.select("document_id", "span_id", T.confidence_percent(F.col("confidence")).alias("pct"),
                      T.low_confidence(F.col("confidence")).alias("low"))
 
 
 def q_t17_kind_label(spark, sf_dir):
-    sp = V.spans_table(extract(corpus(spark, sf_dir)))
+    sp = line_spans(spark, sf_dir)
     ui = F.when(F.col("lang") == "ar", "ar").otherwise("en")
     return sp.select("document_id", "span_id", "kind", "lang", T.kind_label(F.col("kind"), ui).alias("label"))
 

@@ -1,6 +1,348 @@
-"""DuckDB oracle SQL for the registered queries (filled per operator)."""
+"""DuckDB oracle SQL for the registered queries.
+
+An independent formulation of each query in DuckDB SQL (RE2 regexes, list
+lambdas, window functions) over the same parquet views.  RE2 has no
+look-around, so ``\\b`` and the look-behinds are written as consumed context
+groups; match offsets are rebuilt from ``regexp_split_to_array`` gaps.  Digit
+folding is done on the text with ``translate`` (the Spark side folds the
+patterns instead).  Queries whose results need the full greedy detector have
+no oracle here and are checked against a brute-force Python oracle in tests.
+"""
 from __future__ import annotations
 
+from .. import rules as R
+from ..functions.dialect import HWS_INNER, WS_INNER
+from ..operators.proof import _pads, key_id
+from ..sources import corpus as C
+from .release import DEMO_KEY, FIXED_ISSUED_AT
+
+WS = f"[{WS_INNER}]"
+HWS = f"[{HWS_INNER}]"
+W = r"[\pL\pN_]"
+NW = r"[^\pL\pN_]"
+D = r"\p{Nd}"
+AR_DIGITS = R.ARABIC_INDIC_DIGITS
+BIDI = R.BIDI_CONTROLS
+SEPS = R.VALUE_EDGE_SEPARATORS
+
+DOCS_SRC = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+CORPUS_SRC = f"SELECT c_custkey AS doc_id, {C.TEXT} AS text FROM customer"
+DOC_ID = "concat('doc_', lpad(lower(hex(doc_id)), 10, '0'))"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def clean_sql(x: str) -> str:
+    v = f"regexp_replace(translate({x}, '{BIDI}', ''), '{WS}+', ' ', 'g')"
+    return f"regexp_replace({v}, '^[{WS_INNER}{SEPS}]+|[{WS_INNER}{SEPS}]+$', '', 'g')"
+
+
+def lang_sql(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '[\\x{{600}}-\\x{{6FF}}]') THEN 'ar' ELSE 'en' END"
+
+
+# -- regex rules in RE2 with explicit context ---------------------------------------
+# groups: 1 = consumed left context, 2 = value, 3 = trailing part of the match
+# (kept in the offsets, e.g. a card's separator); anything after is context.
+
+def _label(py: str) -> str:
+    py = py.replace(r"[^\S\n]", HWS).replace(r"\s", WS)
+    idx = py.rfind("(")
+    value = py[idx:].replace("(.+)", "([^\n]+)".replace("\n", "\\n"))
+    return "(?i)(" + py[:idx] + ")" + value + "()"
+
+
+RE2_RULES: dict[str, tuple[str, str | None]] = {
+    # rule id: (pattern, post-filter on the char after the value or None)
+    "structured:email": (r"()([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})()", None),
+    "structured:iban": (f"(^|{NW})([A-Z]{{2}}{D}{{2}}(?:[ ]?[A-Z0-9]){{11,30}})()(?:{NW}|$)", None),
+    "structured:credit_card": (f"(^|{NW})((?:{D}[ -]?){{12,15}}{D})(?:([ -]){W}|(?:{NW}|$))", None),
+    "structured:national_id": (f"(^|[^\\p{{Nd}}A-Za-z])([12]{D}{{9}})()", D),
+    "structured:phone": (f"(^|[^A-Za-z])(\\+?{D}[\\p{{Nd}}{WS_INNER}\\-()]{{7,}}{D})()", None),
+    "structured:ip_address": (f"(^|{NW})((?:{D}{{1,3}}\\.){{3}}{D}{{1,3}})()", W),
+}
+for _r in R.rules():
+    if _r.family != "structured":
+        RE2_RULES[f"{_r.family}:{_r.kind}"] = (_label(_r.python_pattern), None)
+
+_RULE_OBJ = {f"{r.family}:{r.kind}": r for r in R.rules()}
+
+
+def hits_cte(rule_id: str, src: str) -> str:
+    """SELECT doc_id, text, start, end, kind, text, confidence, rule, seq."""
+    rule = _RULE_OBJ[rule_id]
+    pat, after = RE2_RULES[rule_id]
+    structured = rule.family == "structured"
+    norm = f"translate(text, '{AR_DIGITS}', '{R.ASCII_DIGITS}')" if structured else "text"
+    value = strip_sql("substring(text, s + 1, n)") if structured else clean_sql("core")
+    keep = f"length({value}) >= {R.MIN_VALUE_LEN}" if structured else f"length({value}) > 0"
+    if after:
+        keep += f" AND NOT regexp_matches(substring(norm, s + n + 1, 1), '{after}')"
+    return f"""
+    (WITH s0 AS ({src}),
+     m AS (SELECT doc_id, text, {norm} AS norm FROM s0),
+     x AS (SELECT doc_id, text, norm,
+                  regexp_extract_all(norm, '{pat}', 0) AS w,
+                  regexp_extract_all(norm, '{pat}', 1) AS g1,
+                  regexp_extract_all(norm, '{pat}', 2) AS g2,
+                  regexp_extract_all(norm, '{pat}', 3) AS g3,
+                  regexp_split_to_array(norm, '{pat}') AS gaps FROM m),
+     u AS (SELECT doc_id, text, norm, w, g1, g2, g3, gaps, unnest(range(1, len(w) + 1)) AS i FROM x),
+     o AS (SELECT doc_id, text, norm, i,
+                  CAST(coalesce(list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g))), 0)
+                + coalesce(list_sum(list_transform(list_slice(w, 1, i - 1), lambda h: length(h))), 0)
+                + length(coalesce(g1[i], '')) AS BIGINT) AS s,
+                  length(coalesce(g2[i], '')) + length(coalesce(g3[i], '')) AS n,
+                  g2[i] AS core FROM u)
+     SELECT doc_id, text AS doc_text, CAST(s AS INTEGER) AS start, CAST(s + n AS INTEGER) AS "end",
+            '{rule.kind}' AS kind, {value} AS text, CAST({rule.confidence} AS DOUBLE) AS confidence,
+            {rule.order} AS rule, CAST(i - 1 AS INTEGER) AS seq
+     FROM o WHERE {keep})"""
+
+
+def rule_sql(rule_id: str, source: str) -> str:
+    src = DOCS_SRC if source == "documents" else CORPUS_SRC
+    return (f"SELECT doc_id, start, \"end\", kind, text, confidence FROM {hits_cte(rule_id, src)}")
+
+
+# -- per-line labels -------------------------------------------------------------------
+
+def _phrase_re2(p: str) -> str:
+    w = p.split()
+    if len(w) == 1:
+        return w[0]
+    return "(?:" + f"{WS}+".join(w) + "|" + f"{WS}+".join(reversed(w)) + ")"
+
+
+def _strip_side(x: str) -> str:
+    cls = "[" + R.LINE_SIDE_STRIP.replace("-", "\\-").replace("\t", "\\t") + "]"
+    return f"regexp_replace({x}, '^{cls}+|{cls}+$', '', 'g')"
+
+
+def line_hits_sql(src: str) -> str:
+    cols, picks = [], []
+    for k, (kind, phrases) in enumerate(R.LINE_LABEL_SPECS, 1):
+        rx = "|".join(_phrase_re2(p) for p in phrases)
+        full = f"^(.*?)(?:{rx})(.*)$"
+        cols.append(f"""regexp_matches(line, '{rx}') AS m{k},
+            regexp_extract(line, '{full}', 1) AS b{k}, regexp_extract(line, '{full}', 2) AS a{k}""")
+    sel = ",\n            ".join(cols)
+    vals = []
+    for k in range(1, len(R.LINE_LABEL_SPECS) + 1):
+        side = f"CASE WHEN length({_strip_side(f'a{k}')}) >= length({_strip_side(f'b{k}')}) THEN a{k} ELSE b{k} END"
+        vals.append(f"{clean_sql(side)} AS v{k}")
+    vsel = ",\n            ".join(vals)
+    oks = [f"(m{k} AND length(v{k}) >= 3 AND strpos(line, v{k}) > 0)" for k in range(1, 7)]
+    kind = "CASE " + " ".join(f"WHEN {oks[k-1]} THEN '{R.LINE_LABEL_SPECS[k-1][0]}'" for k in range(1, 7)) + " END"
+    val = "CASE " + " ".join(f"WHEN {oks[k-1]} THEN v{k}" for k in range(1, 7)) + " END"
+    return f"""
+    (WITH s0 AS ({src}),
+     sp AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM s0),
+     l0 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ln FROM sp),
+     l1 AS (SELECT doc_id, line, ln,
+                   coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lstart FROM l0),
+     l2 AS (SELECT *, {sel} FROM l1),
+     l3 AS (SELECT *, {vsel} FROM l2),
+     l4 AS (SELECT doc_id, ln, lstart, line, {kind} AS kind, {val} AS v FROM l3)
+     SELECT doc_id, CAST(lstart + strpos(line, v) - 1 AS INTEGER) AS start,
+            CAST(lstart + strpos(line, v) - 1 + length(v) AS INTEGER) AS "end",
+            kind, v AS text, CAST({R.LINE_CONFIDENCE} AS DOUBLE) AS confidence,
+            {R.LINE_RULE_ORDER} AS rule, CAST(ln AS INTEGER) AS seq
+     FROM l4 WHERE kind IS NOT NULL)"""
+
+
+def line_sql(kind: str) -> str:
+    return (f"SELECT doc_id, start, \"end\", kind, text, confidence FROM {line_hits_sql(CORPUS_SRC)} "
+            f"WHERE kind = '{kind}'")
+
+
+# -- e-mail span working set, decisions, redaction, proof --------------------------------
+
+def email_spans_cte() -> str:
+    h = hits_cte("structured:email", DOCS_SRC)
+    return f"""espans AS (
+        SELECT doc_id, {DOC_ID} AS document_id, start, "end", kind, text, confidence,
+               {lang_sql('text')} AS lang,
+               concat('pii_', substr(sha256(concat_ws('|', {DOC_ID}, start, "end", kind, text)), 1, 10)) AS span_id,
+               doc_text
+        FROM {h})"""
+
+
+DECISIONS_CTE = """dec AS (
+        SELECT e.document_id, e.span_id, l.quality = 1 AS approved, 1 AS decided_at FROM espans e JOIN labels l USING (doc_id)
+        UNION ALL
+        SELECT e.document_id, e.span_id, l.toxic = 0 AS approved, 2 AS decided_at FROM espans e JOIN labels l USING (doc_id)
+        WHERE doc_id % 2 = 0),
+    latest AS (SELECT document_id, span_id, arg_max(approved, decided_at) AS approved FROM dec GROUP BY ALL),
+    decided AS (SELECT e.*, coalesce(l.approved, true) AS approved FROM espans e LEFT JOIN latest l USING (document_id, span_id))"""
+
+
+def bar_sql(kind: str, text: str) -> str:
+    return (f"concat('[', upper({kind}), ' ', repeat('{R.BAR_CHAR}', "
+            f"greatest({R.BAR_MIN}, least(length({text}), {R.BAR_MAX}))), ']')")
+
+
+def splice_sql(text: str, spans: str) -> str:
+    """Rebuild text with approved spans (list of structs s, e, k, t, a sorted
+    by s) replaced by their bars."""
+    prev = f"(CASE WHEN i = 1 THEN 0 ELSE {spans}[i - 1].e END)"
+    piece = (f"substring({text}, {prev} + 1, {spans}[i].s - {prev}) || "
+             f"CASE WHEN {spans}[i].a AND {spans}[i].e > {spans}[i].s THEN {bar_sql(f'{spans}[i].k', f'{spans}[i].t')} "
+             f"ELSE substring({text}, {spans}[i].s + 1, {spans}[i].e - {spans}[i].s) END")
+    last = f"(CASE WHEN len({spans}) = 0 THEN 0 ELSE {spans}[len({spans})].e END)"
+    return (f"(array_to_string(list_transform(range(1, len({spans}) + 1), lambda i: {piece}), '') "
+            f"|| substring({text}, {last} + 1))")
+
+
+def _released_cte() -> str:
+    ipad, opad = _pads(DEMO_KEY)
+    items = ("list(CASE WHEN approved THEN concat('{\"confidence\": ', CAST(round(confidence, 2) AS VARCHAR), "
+             "', \"kind\": \"', kind, '\", \"lang\": \"', lang, '\", \"length\": ', CAST(length(text) AS VARCHAR), '}') END "
+             "ORDER BY start) FILTER (WHERE approved)")
+    iso = f"strftime(to_timestamp({FIXED_ISSUED_AT}), '%Y-%m-%dT%H:%M:%SZ')"
+    return f"""
+    per AS (SELECT document_id,
+                   list(struct_pack(s := start, e := "end", k := kind, t := text, a := approved) ORDER BY start) AS L,
+                   count(*) FILTER (WHERE approved) AS cnt, {items} AS items
+            FROM decided GROUP BY document_id),
+    rel AS (SELECT d.doc_id, d.document_id, d.text,
+                   coalesce(p.L, []) AS L, coalesce(p.cnt, 0) AS cnt, coalesce(p.items, []) AS items
+            FROM (SELECT doc_id, {DOC_ID} AS document_id, text FROM documents) d
+            LEFT JOIN per p USING (document_id)),
+    red AS (SELECT *, {splice_sql('text', 'L')} AS redacted FROM rel),
+    body AS (SELECT *, concat('{{"document_id": "', document_id, '", "issued_at": {FIXED_ISSUED_AT}, "issued_at_iso": "',
+                    {iso}, '", "original_sha256": "', sha256(text), '", "product": "{R.PRODUCT}", "redacted_sha256": "',
+                    sha256(redacted), '", "redaction_count": ', CAST(cnt AS VARCHAR), ', "redactions": [',
+                    array_to_string(items, ', '), ']}}') AS body_json, {iso} AS issued_at_iso FROM red),
+    sealed AS (SELECT *, sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode(body_json)))) AS seal FROM body)"""
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ",\n    ".join(c.strip() for c in ctes)
+
 
 def build() -> dict[str, str]:
-    return {}
+    q: dict[str, str] = {
+        "d01_email": rule_sql("structured:email", "documents"),
+        "d02_iban": rule_sql("structured:iban", "corpus"),
+        # d03_credit_card (documents): no RE2 form — a card whose match keeps its
+        # trailing separator can be followed directly by the next card, and RE2
+        # can only test the closing boundary by consuming that next character.
+        # Checked against the brute-force Python oracle in tests instead.
+        "d03_credit_card_corpus": rule_sql("structured:credit_card", "corpus"),
+        "d04_national_id": rule_sql("structured:national_id", "corpus"),
+        "d05_phone": rule_sql("structured:phone", "documents"),
+        "d05_phone_corpus": rule_sql("structured:phone", "corpus"),
+        "d06_ip_address": rule_sql("structured:ip_address", "documents"),
+        "d07_name_en": rule_sql("label_en:name", "corpus"),
+        "d08_address_en": rule_sql("label_en:address", "corpus"),
+        "d09_dob_en": rule_sql("label_en:dob", "documents"),
+        "d09_dob_en_corpus": rule_sql("label_en:dob", "corpus"),
+        "d10_iban_en": rule_sql("label_en:iban", "corpus"),
+        "d11_name_ar": rule_sql("label_ar:name", "corpus"),
+        "d12_address_ar": rule_sql("label_ar:address", "corpus"),
+        "d13_dob_ar": rule_sql("label_ar:dob", "corpus"),
+        "d14_national_id_ar": rule_sql("label_ar:national_id", "corpus"),
+        "d15_phone_ar": rule_sql("label_ar:phone", "corpus"),
+        "d16_iban_ar": rule_sql("label_ar:iban", "corpus"),
+    }
+    for i, (kind, _) in enumerate(R.LINE_LABEL_SPECS):
+        q[f"d{17 + i}_{kind}_line"] = line_sql(kind)
+
+    docs_all = (f"SELECT {DOC_ID} AS document_id, text FROM documents UNION ALL "
+                f"SELECT {C.DOCUMENT_ID} AS document_id, {C.TEXT} AS text FROM customer")
+    q["t05_document_language"] = (
+        f"SELECT document_id, CASE WHEN regexp_matches(text, '[\\x{{600}}-\\x{{6FF}}]') AND regexp_matches(text, '[A-Za-z]') "
+        f"THEN 'mixed' WHEN regexp_matches(text, '[\\x{{600}}-\\x{{6FF}}]') THEN 'ar' ELSE 'en' END AS lang, "
+        f"CAST(length(text) AS INTEGER) AS char_count FROM ({docs_all})")
+    q["t01_fold_digits"] = (
+        f"SELECT doc_id, translate(text, '{AR_DIGITS}', '{R.ASCII_DIGITS}') AS folded, "
+        f"length(translate(text, '{AR_DIGITS}', '{R.ASCII_DIGITS}')) = length(text) AS same_length FROM ({CORPUS_SRC})")
+    lines = (f"SELECT doc_id, unnest(ls) AS line, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no "
+             f"FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM ({CORPUS_SRC}))")
+    q["t03_clean_value"] = f"SELECT doc_id, line_no, {clean_sql('line')} AS cleaned FROM ({lines})"
+    guess = "CASE " + " ".join(
+        "WHEN " + " OR ".join(f"contains(lower(label), '{w}')" for w in words) + f" THEN '{kind}'"
+        for kind, words in R.GUESS_KIND_KEYWORDS) + f" ELSE '{R.GUESS_KIND_DEFAULT}' END"
+    q["t08_guess_kind"] = (f"SELECT doc_id, line_no, label, {guess} AS kind FROM (SELECT doc_id, line_no, "
+                           f"split_part(line, ': ', 1) AS label FROM ({lines}) WHERE contains(line, ': '))")
+    frag = (f"list_concat([text], list_filter(list_transform(regexp_split_to_array(text, '{R.FRAGMENT_SPLIT}'), "
+            f"lambda p: {strip_sql('p')}), lambda p: length(p) >= 3))")
+    q["t09_fragments"] = (
+        f"SELECT doc_id, start, CAST(pos - 1 AS INTEGER) AS pos, fragment FROM ("
+        f"SELECT doc_id, start, unnest(f) AS fragment, unnest(range(1, len(f) + 1)) AS pos FROM ("
+        f"SELECT doc_id, start, list_filter(l, lambda x, i: list_position(l, x) = i) AS f FROM ("
+        f"SELECT doc_id, start, {frag} AS l FROM {line_hits_sql(CORPUS_SRC)})))")
+    q["t12_sha256"] = f"SELECT {DOC_ID} AS document_id, sha256(text) AS sha256 FROM documents"
+    q["t13_iso_utc"] = (f"SELECT o_orderkey, {FIXED_ISSUED_AT} + o_orderkey * 3601 AS epoch, "
+                        f"strftime(to_timestamp({FIXED_ISSUED_AT} + o_orderkey * 3601), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM orders")
+    lspans = (f"SELECT {C.DOCUMENT_ID.replace('c_custkey', 'doc_id')} AS document_id, "
+              f"concat('pii_', substr(sha256(concat_ws('|', {C.DOCUMENT_ID.replace('c_custkey', 'doc_id')}, start, \"end\", kind, text)), 1, 10)) AS span_id, "
+              f"kind, text, confidence, {lang_sql('text')} AS lang FROM {line_hits_sql(CORPUS_SRC)}")
+    q["t16_review_flags"] = (f"SELECT document_id, span_id, CAST(floor(confidence * 100 + 0.5) AS INTEGER) AS pct, "
+                             f"confidence < {R.LOW_CONFIDENCE} AS low FROM ({lspans})")
+    labels = "CASE " + " ".join(
+        f"WHEN ui = '{lang}' AND kind = '{k}' THEN '{v}'" for lang, t in R.KIND_LABELS.items() for k, v in t.items()
+    ) + " ELSE replace(kind, '_', ' ') END"
+    q["t17_kind_label"] = (f"SELECT document_id, span_id, kind, lang, {labels} AS label FROM "
+                           f"(SELECT *, CASE WHEN lang = 'ar' THEN 'ar' ELSE 'en' END AS ui FROM ({lspans}))")
+
+    es = email_spans_cte()
+    q["t10_value_preview"] = _with(es) + f"""
+        SELECT document_id, span_id, CASE WHEN length(v) <= {R.VALUE_PREVIEW_CHARS} THEN v
+               ELSE concat(substring(v, 1, {R.VALUE_PREVIEW_CHARS}), '…') END AS preview
+        FROM (SELECT document_id, span_id, {strip_sql("replace(text, chr(10), ' ')")} AS v FROM espans)"""
+    q["t18_redaction_bar"] = _with(es) + f" SELECT document_id, span_id, {bar_sql('kind', 'text')} AS bar FROM espans"
+    q["o06_latest_decision"] = _with(es, DECISIONS_CTE) + " SELECT document_id, span_id, approved FROM latest"
+    q["o05_apply_decisions"] = _with(es, DECISIONS_CTE) + " SELECT document_id, span_id, start, approved FROM decided"
+    q["o04_approved"] = _with(es, DECISIONS_CTE) + ' SELECT document_id, span_id, start, "end" FROM decided WHERE approved'
+    counts = """ SELECT d.document_id, coalesce(c.items_found, 0) AS items_found, coalesce(c.redacted_count, 0) AS redacted_count
+        FROM (SELECT {doc_id} AS document_id FROM documents) d LEFT JOIN
+             (SELECT document_id, count(*) AS items_found, count(*) FILTER (WHERE {flag}) AS redacted_count
+              FROM decided GROUP BY document_id) c USING (document_id)"""
+    q["o08_counts"] = _with(es, DECISIONS_CTE) + counts.format(doc_id=DOC_ID, flag="approved")
+    q["o20_reject_all"] = _with(es, DECISIONS_CTE) + counts.format(doc_id=DOC_ID, flag="false")
+    q["o07_unknown_documents"] = (
+        f"SELECT concat('doc_', lpad(lower(hex(doc_id * 7)), 10, '0')) AS document_id, 'pii_0000000000' AS span_id, "
+        f"toxic = 0 AS approved FROM labels WHERE concat('doc_', lpad(lower(hex(doc_id * 7)), 10, '0')) NOT IN "
+        f"(SELECT {DOC_ID} FROM documents)")
+    raw = "decided AS (SELECT *, true AS approved FROM espans)"
+    q["o03_redact"] = _with(es, raw) + f"""
+        , per AS (SELECT document_id, list(struct_pack(s := start, e := "end", k := kind, t := text, a := approved)
+                  ORDER BY start) AS L FROM decided GROUP BY document_id)
+        SELECT d.doc_id, {splice_sql('d.text', 'coalesce(p.L, [])')} AS redacted
+        FROM (SELECT doc_id, {DOC_ID} AS document_id, text FROM documents) d LEFT JOIN per p USING (document_id)"""
+    rel = _with(es, DECISIONS_CTE, _released_cte())
+    q["o09_proof"] = rel + """ SELECT document_id, CAST(cnt AS INTEGER) AS redacted_count, sha256(text) AS original_sha256,
+        sha256(redacted) AS redacted_sha256, issued_at_iso, body_json FROM sealed"""
+    q["o10_seal"] = rel + f" SELECT document_id, seal, '{key_id(DEMO_KEY)}' AS key_id FROM sealed"
+    q["o18_verify"] = rel + f""" SELECT document_id, true AS valid, issued_at_iso, CAST(cnt AS INTEGER) AS redaction_count,
+        '{R.VERIFY_OK}' AS detail FROM sealed"""
+    q["o19_tamper"] = rel + f""" SELECT document_id, false AS valid, issued_at_iso, {R.TAMPER_COUNT} AS redaction_count,
+        '{R.VERIFY_BAD}' AS detail FROM sealed"""
+    q["s10_proof_lookup"] = rel + f""" SELECT document_id, seal FROM sealed WHERE document_id IN
+        (SELECT {DOC_ID} FROM labels WHERE quality = 1)"""
+
+    exts = ["'.txt'", "'.TXT'", "'.pdf'", "'.html'", "''"]
+    ext = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(exts)) + " END"
+    irows = (f"SELECT doc_id, concat('/corpus/', source, '/doc', CAST(doc_id AS VARCHAR), {ext}) AS path, "
+             f"encode(coalesce(text, '')) AS content FROM documents")
+    fname = "CASE WHEN regexp_extract(path, '([^/]*)$', 1) = '' THEN 'document.txt' ELSE regexp_extract(path, '([^/]*)$', 1) END"
+    q["s03_intake_guards"] = f"""
+        SELECT path, filename, length, reject_reason, reject_reason IS NULL AS has_id FROM (
+          SELECT path, filename, length,
+                 CASE WHEN length = 0 THEN 'empty' WHEN length > {R.MAX_UPLOAD_BYTES} THEN 'too_large'
+                      WHEN NOT (lower(filename) LIKE '%.pdf' OR lower(filename) LIKE '%.txt') THEN 'unsupported_type'
+                      WHEN lower(filename) LIKE '%.pdf' THEN 'pdf_text_required' END AS reject_reason
+          FROM (SELECT path, {fname} AS filename, CAST(octet_length(content) AS BIGINT) AS length FROM ({irows})))"""
+    q["s02_decode"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+    q["s04_document_id"] = (f"SELECT path, concat('doc_', substr(sha256(encode(path) || content), 1, 10)) AS document_id "
+                            f"FROM ({irows})")
+    cand = (f"CASE WHEN doc_id % 3 = 0 THEN concat('../', {DOC_ID}) WHEN doc_id % 3 = 1 THEN upper({DOC_ID}) "
+            f"ELSE {DOC_ID} END")
+    q["s05_valid_id"] = (f"SELECT doc_id, candidate, regexp_full_match(candidate, 'doc_[0-9a-f]{{10}}') AS valid "
+                         f"FROM (SELECT doc_id, {cand} AS candidate FROM documents)")
+    return q
