@@ -95,7 +95,9 @@ def extract_with_external(docs: DataFrame, text_col: str = "text",
                            with_span_lang(detect_column("_ext_text"))).otherwise(F.slice(own, 1, 0))
     cands = F.transform(external_candidates(parsed),
                         lambda s: s.withField("lang", span_language(s["text"])))
-    usable = parsed.isNotNull()
+    # malformed JSON is the failed remote call → local only; well-formed but
+    # unexpected JSON keeps the external engine label with local spans
+    usable = F.try_parse_json(F.col(response_col)).isNotNull()
     return staged.withColumns({
         "spans": F.when(usable, merge_spans(merge_spans(own, from_ext_text), cands)).otherwise(own),
         "engine": F.when(usable, F.lit("external")).otherwise(F.lit("local-fallback")),

@@ -62,6 +62,7 @@ def start_intake(spark: SparkSession, source_dir: str, out_dir: str,
                  checkpoint: str | None = None, max_bytes: int = R.MAX_UPLOAD_BYTES,
                  available_now: bool = True) -> StreamingQuery:
     raw = (spark.readStream.format("binaryFile")
+           .schema("path string, modificationTime timestamp, length long, content binary")
            .option("recursiveFileLookup", "true")
            .load(source_dir).select("path", "length", "content"))
     rows = intake(raw, max_bytes)
