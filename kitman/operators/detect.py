@@ -55,11 +55,36 @@ _SPAN_ARRAY = ("array<struct<start:int,end:int,rule:int,seq:int,bstart:int,bend:
                "kind:string,text:string,confidence:double>>")
 
 
+HAS_ARABIC = f"[{R.ARABIC_RANGE}]"
+
+
+def family_gate(family: str, text: Column) -> Column | None:
+    """One cheap scan that every rule of a family implies: each Arabic label
+    contains an Arabic-block letter; the English labels are merged into one
+    alternation so a document is scanned once, not once per rule."""
+    if family == "label_ar":
+        return text.rlike(HAS_ARABIC)
+    if family == "label_en":
+        heads = [dialect.label_gate(r)[len("(?iu)"):] for r in _RULES if r.family == "label_en"]
+        return text.rlike("(?iu)" + "|".join(heads))
+    return None
+
+
 def candidate_spans(text: Column, families: tuple[str, ...] = ("structured", "label_en", "label_ar"),
                     kinds: tuple[str, ...] | None = None) -> Column:
     """Concatenated valid hits of the selected regex rules, in emission order."""
-    parts = [rule_hits(text, r) for r in _RULES
-             if r.family in families and (kinds is None or r.kind in kinds)]
+    parts = []
+    for fam in ("structured", "label_en", "label_ar"):
+        if fam not in families:
+            continue
+        hits = [rule_hits(text, r) for r in _RULES
+                if r.family == fam and (kinds is None or r.kind in kinds)]
+        if not hits:
+            continue
+        block = F.concat(*hits) if len(hits) > 1 else hits[0]
+        gate = family_gate(fam, text)
+        parts.append(block if gate is None else
+                     F.when(gate, block).otherwise(F.array().cast(_SPAN_ARRAY)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

@@ -133,7 +133,9 @@ def line_label_hits(text: Column) -> Column:
 
         return let(offs, per_line)
 
-    return F.when(text.rlike(union), let(F.split(text, "\n", -1), over_lines))
+    # every line label is Arabic: an Arabic-letter scan is an exact, cheap pre-gate
+    gate = text.rlike(f"[{R.ARABIC_RANGE}]") & text.rlike(union)
+    return F.when(gate, let(F.split(text, "\n", -1), over_lines))
 
 
 # -- O02: overlap resolution ----------------------------------------------------
