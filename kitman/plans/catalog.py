@@ -187,12 +187,12 @@ def q_o01_dedupe(spark, sf_dir):
 
 
 def q_o02_resolve(spark, sf_dir):
-    """Overlap resolution over the raw hits of all structured rules on
-    ``documents`` (phone hits overlap card hits there)."""
-    d = documents(spark, sf_dir)
+    """Overlap resolution over the raw hits of all structured rules on the
+    contract corpus (phone hits overlap national ids, IBANs and cards)."""
+    d = corpus(spark, sf_dir)
     from ..operators.detect import candidate_spans
     return _hits(d, resolve_overlaps(dedupe_exact_offsets(
-        candidate_spans(F.coalesce(F.col("text"), F.lit("")), families=("structured",)))))
+        candidate_spans(F.col("text"), families=("structured",)))))
 
 
 def q_o03_redact(spark, sf_dir):
@@ -293,7 +293,7 @@ def responses(spark, sf_dir):
 
 def q_s06_parse(spark, sf_dir):
     r = responses(spark, sf_dir)
-    return r.select("doc_id", X.parse_response(F.col("response")).isNotNull().alias("parsed"),
+    return r.select("doc_id", F.try_parse_json(F.col("response")).isNotNull().alias("valid_json"),
                     X.external_text(X.parse_response(F.col("response"))).alias("ext_text"))
 
 

@@ -220,6 +220,35 @@ def _released_cte() -> str:
     sealed AS (SELECT *, sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode(body_json)))) AS seal FROM body)"""
 
 
+def candidates_sql(src: str, families: tuple[str, ...], lines: bool) -> str:
+    """Valid hits of the chosen rule families after O01 (first rule wins an
+    exact offset), plus the unchecked line hits."""
+    cols = 'doc_id, start, "end", kind, text, confidence, rule, seq'
+    parts = [f"SELECT {cols} FROM {hits_cte(rid, src)}" for rid, r in _RULE_OBJ.items()
+             if r.family in families]
+    dedup = (f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start, \"end\" "
+             f"ORDER BY rule, seq) AS rn FROM ({' UNION ALL '.join(parts)})) WHERE rn = 1")
+    if lines:
+        dedup += f" UNION ALL SELECT {cols} FROM {line_hits_sql(src)}"
+    return dedup
+
+
+def resolved_sql(cand: str) -> str:
+    """Rank by (confidence desc, length desc, emission order); greedily
+    keep spans overlapping no kept span; number kept spans by start."""
+    greedy = ("list_reduce(list_transform(L, lambda x: [x]), lambda acc, x: CASE WHEN "
+              "len(list_filter(acc, lambda k: k.s < x[1].e AND x[1].s < k.e)) > 0 THEN acc "
+              "ELSE list_concat(acc, x) END)")
+    return f"""
+    (WITH c AS ({cand}),
+     r AS (SELECT doc_id, list(struct_pack(s := start, e := "end", k := kind, t := text, c := confidence)
+                  ORDER BY confidence DESC, "end" - start DESC, rule, seq) AS L FROM c GROUP BY doc_id),
+     g AS (SELECT doc_id, unnest({greedy}) AS x FROM r)
+     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY x.s) - 1 AS INTEGER) AS n,
+            x.s AS start, x.e AS "end", x.k AS kind, x.t AS text, x.c AS confidence, {lang_sql('x.t')} AS lang
+     FROM g)"""
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n    ".join(c.strip() for c in ctes)
 
@@ -326,6 +355,39 @@ def build() -> dict[str, str]:
     q["s10_proof_lookup"] = rel + f""" SELECT document_id, seal FROM sealed WHERE document_id IN
         (SELECT {DOC_ID} FROM labels WHERE quality = 1)"""
 
+    allfam = ("structured", "label_en", "label_ar")
+    q["o01_dedupe"] = (f"SELECT doc_id, start, \"end\", kind, text, confidence FROM "
+                       f"({candidates_sql(CORPUS_SRC, allfam, False)})")
+    q["o02_resolve"] = (f"SELECT doc_id, start, \"end\", kind, text, confidence FROM "
+                        f"{resolved_sql(candidates_sql(CORPUS_SRC, ('structured',), False))}")
+    q["d25_detect_corpus"] = f"SELECT * FROM {resolved_sql(candidates_sql(CORPUS_SRC, allfam, True))}"
+
+    from .catalog import RESPONSE_SQL
+    shape = ('{"output": {"markdown": "VARCHAR", "elements": [{"type": "VARCHAR", "text": "VARCHAR", '
+             '"pairs": [{"key": {"value": "VARCHAR"}, "value": {"value": "VARCHAR"}, "confidence": "VARCHAR"}]}]}}')
+    resp = (f"SELECT c_custkey AS doc_id, {RESPONSE_SQL} AS response FROM customer")
+    parsed = f"SELECT doc_id, json_valid(response) AS ok, CASE WHEN json_valid(response) THEN from_json(response, '{shape}') END AS j FROM ({resp})"
+    kv = ("list_filter(flatten(list_transform(list_filter(coalesce(j.output.elements, []), "
+          "lambda e: e.type = 'keyValueRegion'), lambda e: coalesce(e.pairs, []))), "
+          "lambda p: coalesce(length(p.value.value), 0) > 0)")
+    el_text = ("array_to_string(list_transform(coalesce(j.output.elements, []), lambda e: CASE WHEN e.type = 'keyValueRegion' "
+               "THEN array_to_string(list_transform(list_filter(coalesce(e.pairs, []), lambda p: coalesce(length(p.value.value), 0) > 0), "
+               "lambda p: concat(coalesce(p.key.value, ''), ': ', p.value.value, chr(10))), '') "
+               "WHEN e.type IN ('paragraph', 'text') AND coalesce(length(e.text), 0) > 0 THEN concat(e.text, chr(10)) ELSE '' END), '')")
+    q["s06_parse"] = (f"SELECT doc_id, ok AS valid_json, concat(coalesce(j.output.markdown, ''), {el_text}) AS ext_text "
+                      f"FROM ({parsed})")
+    guess_p = guess.replace("label", "coalesce(p.key.value, '')")
+    q["o11_external_candidates"] = f"""
+        SELECT doc_id, concat('ext_', CAST(n - 1 AS VARCHAR)) AS span_id, {guess_p} AS kind, p.value.value AS text,
+               0 AS start, 0 AS "end", coalesce(nullif(try_cast(p.confidence AS DOUBLE), 0), {R.EXTERNAL_DEFAULT_CONFIDENCE}) AS confidence
+        FROM (SELECT doc_id, unnest(P) AS p, unnest(range(1, len(P) + 1)) AS n
+              FROM (SELECT doc_id, {kv} AS P FROM ({parsed}) WHERE ok))"""
+    q["s09_clean_copy"] = (
+        f"SELECT document_id, CASE WHEN d.doc_id IS NOT NULL AND d.doc_id % 4 = 0 THEN 'signed' "
+        f"WHEN d.doc_id IS NOT NULL AND d.doc_id % 3 = 0 THEN 'redacted' ELSE 'not_found' END AS source "
+        f"FROM (SELECT {DOC_ID} AS document_id FROM labels) l LEFT JOIN "
+        f"(SELECT doc_id, {DOC_ID} AS document_id FROM documents) d USING (document_id)")
+
     exts = ["'.txt'", "'.TXT'", "'.pdf'", "'.html'", "''"]
     ext = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(exts)) + " END"
     irows = (f"SELECT doc_id, concat('/corpus/', source, '/doc', CAST(doc_id AS VARCHAR), {ext}) AS path, "
