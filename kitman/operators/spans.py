@@ -23,6 +23,8 @@ from ..functions.arrays import empty_like, exclusive_scan_sum, inclusive_scan, i
 from ..functions.text import clean_value, strip_chars, strip_ws
 
 SPLIT_ON_SENTINELS = f"[{R.SENTINEL_OPEN}{R.SENTINEL_CLOSE}]"
+SPAN_ARRAY = ("array<struct<start:int,end:int,rule:int,seq:int,bstart:int,bend:int,"
+              "kind:string,text:string,confidence:double>>")
 
 
 def span_struct(start, end, rule, seq, bstart, bend, kind, text, confidence) -> Column:
@@ -74,7 +76,8 @@ def regex_hits(work: Column, rule: R.Rule, original_bytes: Column | None = None,
                 return F.filter(spans, lambda s: F.char_length(s["text"]) >= R.MIN_VALUE_LEN)
             return F.filter(spans, lambda s: F.char_length(s["text"]) > 0)
 
-        return let(ends, build)
+        # one segment = no match: skip the offset scan entirely
+        return F.when(F.size(segs) == 1, F.array().cast(SPAN_ARRAY)).otherwise(let(ends, build))
 
     return let(F.split(marked, SPLIT_ON_SENTINELS, -1), from_segments)
 
