@@ -197,7 +197,7 @@ def splice_sql(text: str, spans: str) -> str:
             f"|| substring({text}, {last} + 1))")
 
 
-def _released_cte() -> str:
+def _released_cte(docs: str = f"SELECT doc_id, {DOC_ID} AS document_id, text FROM documents") -> str:
     ipad, opad = _pads(DEMO_KEY)
     items = ("list(CASE WHEN approved THEN concat('{\"confidence\": ', CAST(round(confidence, 2) AS VARCHAR), "
              "', \"kind\": \"', kind, '\", \"lang\": \"', lang, '\", \"length\": ', CAST(length(text) AS VARCHAR), '}') END "
@@ -210,7 +210,7 @@ def _released_cte() -> str:
             FROM decided GROUP BY document_id),
     rel AS (SELECT d.doc_id, d.document_id, d.text,
                    coalesce(p.L, []) AS L, coalesce(p.cnt, 0) AS cnt, coalesce(p.items, []) AS items
-            FROM (SELECT doc_id, {DOC_ID} AS document_id, text FROM documents) d
+            FROM ({docs}) d
             LEFT JOIN per p USING (document_id)),
     red AS (SELECT *, {splice_sql('text', 'L')} AS redacted FROM rel),
     body AS (SELECT *, concat('{{"document_id": "', document_id, '", "issued_at": {FIXED_ISSUED_AT}, "issued_at_iso": "',
@@ -388,6 +388,29 @@ def build() -> dict[str, str]:
         f"FROM (SELECT {DOC_ID} AS document_id FROM labels) l LEFT JOIN "
         f"(SELECT doc_id, {DOC_ID} AS document_id FROM documents) d USING (document_id)")
 
+    cdoc = C.DOCUMENT_ID.replace("c_custkey", "doc_id")
+    resolved = resolved_sql(candidates_sql(CORPUS_SRC, allfam, True))
+    span_id = f"concat('pii_', substr(sha256(concat_ws('|', {cdoc}, start, \"end\", kind, text)), 1, 10))"
+    en_label = "CASE " + " ".join(f"WHEN kind = '{k}' THEN '{v}'" for k, v in R.KIND_LABELS["en"].items()) \
+        + " ELSE replace(kind, '_', ' ') END"
+    q["o21_review_list"] = f"""
+        SELECT {cdoc} AS document_id, {span_id} AS span_id, start, kind, {en_label} AS kind_label, text, lang,
+               true AS approved, CAST(floor(confidence * 100 + 0.5) AS INTEGER) AS confidence_pct,
+               confidence < {R.LOW_CONFIDENCE} AS low_confidence
+        FROM {resolved}"""
+    q["o14_approved_values"] = f"""
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS n, value, kind
+        FROM (SELECT doc_id, n, value, kind, row_number() OVER (PARTITION BY doc_id, value ORDER BY n) AS first
+              FROM (SELECT doc_id, n, {strip_sql('text')} AS value, kind FROM {resolved}
+                    WHERE NOT (kind = 'email' AND doc_id % 5 = 0)))
+        WHERE first = 1 AND length(value) >= {R.MIN_VALUE_LEN}"""
+    corpus_decided = (f"decided AS (SELECT {cdoc} AS document_id, start, \"end\", kind, text, confidence, lang, "
+                      f"true AS approved FROM {resolved})")
+    corpus_docs = f"SELECT c_custkey AS doc_id, {C.DOCUMENT_ID} AS document_id, {C.TEXT} AS text FROM customer"
+    q["o22_release_corpus"] = (_with(corpus_decided, _released_cte(corpus_docs))
+                               + " SELECT document_id, CAST(cnt AS INTEGER) AS redacted_count, "
+                                 "redacted AS redacted_text, seal FROM sealed")
+
     exts = ["'.txt'", "'.TXT'", "'.pdf'", "'.html'", "''"]
     ext = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(exts)) + " END"
     irows = (f"SELECT doc_id, concat('/corpus/', source, '/doc', CAST(doc_id AS VARCHAR), {ext}) AS path, "
