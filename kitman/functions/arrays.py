@@ -56,3 +56,25 @@ def let(expr: Column, body) -> Column:
     it a single evaluation.
     """
     return F.transform(F.array(expr), body)[0]
+
+
+def sorted_lookup(table: Column, key: Column) -> Column:
+    """Value for ``key`` in an array<struct<k, v>> sorted by ``k`` (null when
+    absent), by binary search: O(log n) per lookup.  Spark's map lookup scans
+    every key, which makes per-element lookups into a big map quadratic."""
+    def search(T: Column) -> Column:
+        n = F.size(T)
+
+        def step(acc: Column, _r: Column) -> Column:
+            lo, hi = acc["lo"], acc["hi"]
+            mid = F.floor((lo + hi) / 2).cast("int")
+            go_right = F.when(lo < hi, T[mid]["k"] < key).otherwise(F.lit(False))
+            return F.when(lo >= hi, acc).otherwise(F.struct(
+                F.when(go_right, mid + 1).otherwise(lo).alias("lo"),
+                F.when(go_right, hi).otherwise(mid).alias("hi")))
+
+        found = F.aggregate(_rounds(n + 1), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step,
+                            lambda acc: acc["lo"])
+        return F.when(found < n, F.when(T[found]["k"] == key, T[found]["v"]))
+
+    return let(table, search)

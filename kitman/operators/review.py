@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, sorted_lookup
 from ..functions.text import confidence_percent, kind_label, low_confidence, span_id
 
 SPAN_COLUMNS = ["document_id", "span_id", "kind", "text", "start", "end", "bstart", "bend",
@@ -90,16 +91,22 @@ def review_list(spans: DataFrame, ui_lang: str | Column = "en") -> DataFrame:
 
 
 def decisions_as_map(decisions: DataFrame) -> DataFrame:
-    """Latest decisions folded to one ``span_id → approved`` map per document,
-    for applying inside the document row (no span explode/regroup)."""
+    """Latest decisions folded to one sorted ``(span_id, approved)`` array per
+    document, for applying inside the document row (no span explode/regroup).
+    Sorted so each span finds its decision by binary search."""
     return (latest_decisions(decisions).groupBy("document_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("span_id", "approved"))).alias("decided")))
+            .agg(F.sort_array(F.collect_list(F.struct(F.col("span_id").alias("k"),
+                                                       F.col("approved").alias("v")))).alias("decided")))
+
+
+NO_DECISIONS = "array<struct<k:string,v:boolean>>"
 
 
 def apply_decision_map(spans: Column, document_id: Column, decided: Column) -> Column:
     """In-row O05 on a detected span array: approved = decided[span_id] ?? true."""
-    def one(s: Column) -> Column:
+    def one(s: Column, D: Column) -> Column:
         sid = span_id(document_id, s["start"], s["end"], s["kind"], s["text"])
         return s.withField("span_id", sid).withField(
-            "approved", F.coalesce(F.try_element_at(decided, sid), F.lit(True)))
-    return F.transform(spans, one)
+            "approved", F.coalesce(sorted_lookup(D, sid), F.lit(True)))
+    return let(F.coalesce(decided, F.array().cast(NO_DECISIONS)),
+               lambda D: F.transform(spans, lambda s: one(s, D)))

@@ -50,8 +50,15 @@ def regex_hits(work: Column, rule: R.Rule, original_bytes: Column | None = None,
     and a running length over the segments gives exact offsets.
     """
     marked = F.regexp_replace(work, dialect.java_pattern(rule), dialect.marker_replacement(rule))
+    # whole-text facts are bound once: referenced inside the per-hit lambda
+    # they would be re-evaluated (a full text scan) for every hit
+    if has_pua is None:
+        has_pua = F.lit(False)
 
-    def from_segments(segs: Column) -> Column:
+    def with_flag(B: Column) -> Column:
+        return from_segments(B["segs"], B["pua"])
+
+    def from_segments(segs: Column, pua: Column) -> Column:
         clen = F.transform(segs, lambda s: F.char_length(s))
         blen = F.transform(segs, lambda s: F.octet_length(s))
         ends = F.struct(inclusive_scan(clen).alias("c"), inclusive_scan(blen).alias("b"))
@@ -65,7 +72,7 @@ def regex_hits(work: Column, rule: R.Rule, original_bytes: Column | None = None,
                 b_start = b_end - F.octet_length(segs[i])
                 raw = segs[i]
                 if original_bytes is not None:
-                    raw = F.when(has_pua, original_bytes.substr(b_start + 1, b_end - b_start)
+                    raw = F.when(pua, original_bytes.substr(b_start + 1, b_end - b_start)
                                  .cast("string")).otherwise(raw)
                 text = strip_ws(raw) if rule.family == "structured" else clean_value(raw)
                 return span_struct(c_start, c_end, rule.order, F.floor(i / 2), b_start, b_end,
@@ -79,7 +86,8 @@ def regex_hits(work: Column, rule: R.Rule, original_bytes: Column | None = None,
         # one segment = no match: skip the offset scan entirely
         return F.when(F.size(segs) == 1, F.array().cast(SPAN_ARRAY)).otherwise(let(ends, build))
 
-    return let(F.split(marked, SPLIT_ON_SENTINELS, -1), from_segments)
+    return let(F.struct(F.split(marked, SPLIT_ON_SENTINELS, -1).alias("segs"), has_pua.alias("pua")),
+               with_flag)
 
 
 # -- O01: first rule wins an exact (start, end) --------------------------------
@@ -158,12 +166,10 @@ def _greedy(cluster: Column) -> Column:
     return F.sort_array(F.aggregate(ranked, empty_like(cluster), step))
 
 
-def resolve_overlaps(spans: Column) -> Column:
-    """Greedy non-overlap selection, exactly as a global greedy pass, but run
-    per *cluster* of transitively overlapping spans (spans in different
-    clusters cannot interact).  Clusters are cut where a span starts at or
-    after the running max end, so cost is linear in the span count for
-    ordinary documents instead of quadratic."""
+def _resolve_clusters(spans: Column) -> Column:
+    """Greedy selection per cluster of transitively overlapping spans (cut
+    where a span starts at or after the running max end).  Exact, and linear
+    while clusters stay small."""
     def by_start(S: Column) -> Column:
         n = F.size(S)
 
@@ -183,3 +189,45 @@ def resolve_overlaps(spans: Column) -> Column:
         return let(inclusive_scan(F.transform(S, lambda x: x["end"]), "max"), with_max)
 
     return let(F.sort_array(spans), by_start)
+
+
+def _overlaps_kept(K: Column, x: Column) -> Column:
+    """Does ``x`` overlap a span of ``K`` (disjoint, sorted by start)?  Binary
+    search for the last kept span starting before ``x`` ends; only it can
+    overlap ``x``."""
+    n = F.size(K)
+
+    def step(acc: Column, _r: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        right = F.when(lo < hi, K[mid]["start"] < x["end"]).otherwise(F.lit(False))
+        return F.when(lo >= hi, acc).otherwise(F.struct(
+            F.when(right, mid + 1).otherwise(lo).alias("lo"), F.when(right, hi).otherwise(mid).alias("hi")))
+
+    from ..functions.arrays import _rounds
+    first_after = F.aggregate(_rounds(n + 1), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step,
+                              lambda acc: acc["lo"])
+    pred = first_after - 1
+    return F.when(pred >= 0, K[pred]["end"] > x["start"]).otherwise(F.lit(False))
+
+
+def resolve_overlaps(spans: Column) -> Column:
+    """Rank by (confidence desc, length desc, emission order) and keep
+    each span that overlaps no span kept before it; result sorted by start.
+
+    Computed exactly as that global greedy pass, tier by tier in descending
+    confidence: a tier's spans that overlap anything kept from higher tiers
+    are dropped by binary search over the kept set (disjoint, start-sorted),
+    and the rest are resolved per overlap cluster.  Cost stays near-linear
+    even when one long span overlaps thousands of others."""
+    def run(S: Column) -> Column:
+        tiers = F.sort_array(F.array_distinct(F.transform(S, lambda x: x["confidence"])), asc=False)
+
+        def tier(K: Column, c: Column) -> Column:
+            fresh = F.filter(S, lambda x: (x["confidence"] == c) & ~_overlaps_kept(K, x))
+            return F.sort_array(F.concat(K, _resolve_clusters(fresh)))
+
+        return F.when(F.size(S) <= 1, S).otherwise(
+            F.aggregate(tiers, empty_like(S), tier))
+
+    return let(spans, run)

@@ -17,8 +17,8 @@ from ..functions.arrays import let
 from ..functions.text import redaction_fragments, strip_ws, value_preview
 from .detect import RULES_BY_ID, rule_hits_of
 from .redact import redact_column
-from .spans import SPLIT_ON_SENTINELS, resolve_overlaps, span_struct
-from ..functions.arrays import inclusive_scan, index_range
+from .spans import SPAN_ARRAY, SPLIT_ON_SENTINELS, resolve_overlaps, span_struct
+from ..functions.arrays import inclusive_scan, index_range, sorted_lookup
 
 
 def approved_values(spans: Column) -> Column:
@@ -46,31 +46,32 @@ def value_occurrences(text: Column, values: Column) -> Column:
         return F.array_distinct(F.sort_array(pairs))
 
     def occurrences(P: Column) -> Column:
-        kinds = F.map_from_entries(F.transform(
-            F.array_distinct(F.transform(P, lambda p: p["frag"])),
-            lambda f: F.struct(f, F.filter(P, lambda p: p["frag"] == f)[0]["kind"])))
+        # fragment → kind of its first value, as a sorted array searched by
+        # binary search; bound once, outside the per-occurrence lambda
+        firsts = F.filter(P, lambda p, i: ~F.exists(F.slice(P, 1, i), lambda q: q["frag"] == p["frag"]))
+        table = F.sort_array(F.transform(firsts, lambda p: F.struct(p["frag"].alias("k"), p["kind"].alias("v"))))
         pattern = F.array_join(F.transform(P, lambda p: _quote(p["frag"])), "|")
         marked = F.regexp_replace(text, pattern, F.lit(R.SENTINEL_OPEN + "$0" + R.SENTINEL_CLOSE))
-
-        def from_segments(segs: Column) -> Column:
-            ends = F.struct(inclusive_scan(F.transform(segs, lambda s: F.char_length(s))).alias("c"),
-                            inclusive_scan(F.transform(segs, lambda s: F.octet_length(s))).alias("b"))
-
-            def build(E: Column) -> Column:
-                odd = F.filter(index_range(F.size(segs)), lambda i: i % 2 == 1)
-                return F.transform(odd, lambda i: span_struct(
-                    E["c"][i] - F.char_length(segs[i]), E["c"][i], R.LINE_RULE_ORDER + 2, F.floor(i / 2),
-                    E["b"][i] - F.octet_length(segs[i]), E["b"][i],
-                    F.coalesce(F.try_element_at(kinds, segs[i]), F.lit(R.GUESS_KIND_DEFAULT)),
-                    segs[i], F.lit(1.0)))
-            return let(ends, build)
-
-        return F.when(F.size(P) == 0, F.array().cast(
-            "array<struct<start:int,end:int,rule:int,seq:int,bstart:int,bend:int,"
-            "kind:string,text:string,confidence:double>>")).otherwise(
-            let(F.split(marked, SPLIT_ON_SENTINELS, -1), from_segments))
-
-    return let(frags(values), occurrences)
+        return let(F.struct(F.split(marked, SPLIT_ON_SENTINELS, -1).alias("segs"), table.alias("kinds")),
+                   lambda B: from_bound(B["segs"], B["kinds"]))
+
+    def from_bound(segs: Column, kinds: Column) -> Column:
+        ends = F.struct(inclusive_scan(F.transform(segs, lambda s: F.char_length(s))).alias("c"),
+                        inclusive_scan(F.transform(segs, lambda s: F.octet_length(s))).alias("b"))
+
+        def build(E: Column) -> Column:
+            odd = F.filter(index_range(F.size(segs)), lambda i: i % 2 == 1)
+            return F.transform(odd, lambda i: span_struct(
+                E["c"][i] - F.char_length(segs[i]), E["c"][i], R.LINE_RULE_ORDER + 2, F.floor(i / 2),
+                E["b"][i] - F.octet_length(segs[i]), E["b"][i],
+                F.coalesce(sorted_lookup(kinds, segs[i]), F.lit(R.GUESS_KIND_DEFAULT)),
+                segs[i], F.lit(1.0)))
+        return let(ends, build)
+
+    def guarded(P: Column) -> Column:
+        return F.when(F.size(P) == 0, F.array().cast(SPAN_ARRAY)).otherwise(occurrences(P))
+
+    return let(frags(values), guarded)
 
 
 def redact_values(text: Column, spans: Column) -> Column:

@@ -319,7 +319,7 @@ def reviewed_extracts(spark, sf_dir) -> DataFrame:
     """Contract corpus extracts whose spans carry span_id/approved; e-mail
     spans of documents with k % 5 = 0 are rejected by the reviewer."""
     e = extract(corpus(spark, sf_dir))
-    no_map = F.lit(None).cast("map<string,boolean>")
+    no_map = F.lit(None).cast("array<struct<k:string,v:boolean>>")
     spans = V.apply_decision_map(F.col("spans"), F.col("document_id"), no_map)
     spans = F.transform(spans, lambda s: s.withField("approved", ~(
         (s["kind"] == "email") & (F.col("doc_id") % 5 == 0))))
@@ -339,7 +339,7 @@ def q_o15_value_redaction(spark, sf_dir):
 
 def q_o16_safety_net(spark, sf_dir):
     e = extract(documents(spark, sf_dir)).withColumn("spans", V.apply_decision_map(
-        F.col("spans"), F.col("document_id"), F.lit(None).cast("map<string,boolean>")))
+        F.col("spans"), F.col("document_id"), F.lit(None).cast("array<struct<k:string,v:boolean>>")))
     out = e.select("doc_id", VAL.redact_values(F.col("text"), F.col("spans")).alias("redacted"))
     return VAL.safety_net(out, "redacted")
 

@@ -37,7 +37,7 @@ def release(extracts: DataFrame, decisions: DataFrame | None = None, key: bytes
     if decisions is not None:
         docs = docs.join(decisions_as_map(decisions), "document_id", "left")
     else:
-        docs = docs.withColumn("decided", F.lit(None).cast("map<string,boolean>"))
+        docs = docs.withColumn("decided", F.lit(None).cast("array<struct<k:string,v:boolean>>"))
     if issued_at is None:
         issued = F.unix_timestamp(F.current_timestamp())
     else:
