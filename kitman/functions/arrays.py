@@ -62,7 +62,8 @@ def sorted_lookup(table: Column, key: Column) -> Column:
     """Value for ``key`` in an array<struct<k, v>> sorted by ``k`` (null when
     absent), by binary search: O(log n) per lookup.  Spark's map lookup scans
     every key, which makes per-element lookups into a big map quadratic."""
-    def search(T: Column) -> Column:
+    def search(B: Column) -> Column:
+        T, key = B["t"], B["k"]
         n = F.size(T)
 
         def step(acc: Column, _r: Column) -> Column:
@@ -77,4 +78,4 @@ def sorted_lookup(table: Column, key: Column) -> Column:
                             lambda acc: acc["lo"])
         return F.when(found < n, F.when(T[found]["k"] == key, T[found]["v"]))
 
-    return let(table, search)
+    return let(F.struct(table.alias("t"), key.alias("k")), search)

@@ -42,13 +42,22 @@ def _working_copy(text: Column) -> tuple[Column, Column]:
     return work, has_pua
 
 
-def rule_hits(text: Column, rule: R.Rule) -> Column:
-    """Valid hits of a single rule (before cross-rule dedupe)."""
+def text_context(text: Column) -> Column:
+    """Per-document facts every rule needs, computed once per document:
+    the working copy, whether it differs from the text, and a digit flag."""
     work, has_pua = _working_copy(text)
-    has_digit = text.rlike(r"\p{Nd}")
+    return F.struct(text.alias("text"), work.alias("work"), has_pua.alias("pua"),
+                    text.rlike(r"\p{Nd}").alias("digit"))
+
+
+def rule_hits(text: Column, rule: R.Rule, ctx: Column | None = None) -> Column:
+    """Valid hits of a single rule (before cross-rule dedupe).  ``ctx`` is a
+    bound ``text_context``; without it the facts are computed here."""
+    if ctx is None:
+        return let(text_context(text), lambda C: rule_hits(C["text"], rule, C))
     empty = F.array().cast(_SPAN_ARRAY)
-    hits = regex_hits(work, rule, F.encode(text, "UTF-8"), has_pua)
-    return F.when(_gate(rule, text, has_digit), hits).otherwise(empty)
+    hits = regex_hits(ctx["work"], rule, F.encode(ctx["text"], "UTF-8"), ctx["pua"])
+    return F.when(_gate(rule, ctx["text"], ctx["digit"]), hits).otherwise(empty)
 
 
 _SPAN_ARRAY = ("array<struct<start:int,end:int,rule:int,seq:int,bstart:int,bend:int,"
@@ -71,13 +80,15 @@ def family_gate(family: str, text: Column) -> Column | None:
 
 
 def candidate_spans(text: Column, families: tuple[str, ...] = ("structured", "label_en", "label_ar"),
-                    kinds: tuple[str, ...] | None = None) -> Column:
+                    kinds: tuple[str, ...] | None = None, ctx: Column | None = None) -> Column:
     """Concatenated valid hits of the selected regex rules, in emission order."""
+    if ctx is None:
+        return let(text_context(text), lambda C: candidate_spans(C["text"], families, kinds, C))
     parts = []
     for fam in ("structured", "label_en", "label_ar"):
         if fam not in families:
             continue
-        hits = [rule_hits(text, r) for r in _RULES
+        hits = [rule_hits(text, r, ctx) for r in _RULES
                 if r.family == fam and (kinds is None or r.kind in kinds)]
         if not hits:
             continue

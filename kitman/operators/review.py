@@ -106,7 +106,7 @@ def apply_decision_map(spans: Column, document_id: Column, decided: Column) -> C
     """In-row O05 on a detected span array: approved = decided[span_id] ?? true."""
     def one(s: Column, D: Column) -> Column:
         sid = span_id(document_id, s["start"], s["end"], s["kind"], s["text"])
-        return s.withField("span_id", sid).withField(
-            "approved", F.coalesce(sorted_lookup(D, sid), F.lit(True)))
+        return let(sid, lambda SID: s.withField("span_id", SID).withField(
+            "approved", F.coalesce(sorted_lookup(D, SID), F.lit(True))))
     return let(F.coalesce(decided, F.array().cast(NO_DECISIONS)),
                lambda D: F.transform(spans, lambda s: one(s, D)))

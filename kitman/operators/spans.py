@@ -50,14 +50,11 @@ def regex_hits(work: Column, rule: R.Rule, original_bytes: Column | None = None,
     and a running length over the segments gives exact offsets.
     """
     marked = F.regexp_replace(work, dialect.java_pattern(rule), dialect.marker_replacement(rule))
-    # whole-text facts are bound once: referenced inside the per-hit lambda
-    # they would be re-evaluated (a full text scan) for every hit
+    # ``has_pua`` must be a bound value (a lambda variable or literal), not a
+    # text scan: it is referenced inside the per-hit lambda
     if has_pua is None:
         has_pua = F.lit(False)
 
-    def with_flag(B: Column) -> Column:
-        return from_segments(B["segs"], B["pua"])
-
     def from_segments(segs: Column, pua: Column) -> Column:
         clen = F.transform(segs, lambda s: F.char_length(s))
         blen = F.transform(segs, lambda s: F.octet_length(s))
@@ -86,8 +83,7 @@ def regex_hits(work: Column, rule: R.Rule, original_bytes: Column | None = None,
         # one segment = no match: skip the offset scan entirely
         return F.when(F.size(segs) == 1, F.array().cast(SPAN_ARRAY)).otherwise(let(ends, build))
 
-    return let(F.struct(F.split(marked, SPLIT_ON_SENTINELS, -1).alias("segs"), has_pua.alias("pua")),
-               with_flag)
+    return let(F.split(marked, SPLIT_ON_SENTINELS, -1), lambda segs: from_segments(segs, has_pua))
 
 
 # -- O01: first rule wins an exact (start, end) --------------------------------
@@ -211,6 +207,25 @@ def _overlaps_kept(K: Column, x: Column) -> Column:
     return F.when(pred >= 0, K[pred]["end"] > x["start"]).otherwise(F.lit(False))
 
 
+SMALL_CLUSTER = 32
+
+
+def _max_cluster(spans: Column) -> Column:
+    """Size of the largest cluster of transitively overlapping spans."""
+    def by_start(S: Column) -> Column:
+        n = F.size(S)
+
+        def with_max(PM: Column) -> Column:
+            heads = F.filter(index_range(n), lambda i: F.when(i == 0, F.lit(True))
+                             .otherwise(S[i]["start"] >= PM[i - 1]))
+            return let(heads, lambda H: F.array_max(F.transform(
+                H, lambda h, c: F.when(c + 1 < F.size(H), H[c + 1]).otherwise(n) - h)))
+
+        return let(inclusive_scan(F.transform(S, lambda x: x["end"]), "max"), with_max)
+
+    return let(F.sort_array(spans), by_start)
+
+
 def resolve_overlaps(spans: Column) -> Column:
     """Rank by (confidence desc, length desc, emission order) and keep
     each span that overlaps no span kept before it; result sorted by start.
@@ -227,7 +242,10 @@ def resolve_overlaps(spans: Column) -> Column:
             fresh = F.filter(S, lambda x: (x["confidence"] == c) & ~_overlaps_kept(K, x))
             return F.sort_array(F.concat(K, _resolve_clusters(fresh)))
 
-        return F.when(F.size(S) <= 1, S).otherwise(
-            F.aggregate(tiers, empty_like(S), tier))
+        # both branches are the exact greedy; the tiered one only pays off
+        # when some cluster is large
+        return (F.when(F.size(S) <= 1, S)
+                .when(_max_cluster(S) <= SMALL_CLUSTER, _resolve_clusters(S))
+                .otherwise(F.aggregate(tiers, empty_like(S), tier)))
 
     return let(spans, run)
