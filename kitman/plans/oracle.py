@@ -70,12 +70,15 @@ for _r in R.rules():
 _RULE_OBJ = {f"{r.family}:{r.kind}": r for r in R.rules()}
 
 
-def hits_cte(rule_id: str, src: str) -> str:
-    """SELECT doc_id, text, start, end, kind, text, confidence, rule, seq."""
+def hits_cte(rule_id: str, src: str, norm_col: str | None = None) -> str:
+    """SELECT doc_id, text, start, end, kind, text, confidence, rule, seq.
+    ``norm_col`` names a column of ``src`` to match on instead of the text."""
     rule = _RULE_OBJ[rule_id]
     pat, after = RE2_RULES[rule_id]
     structured = rule.family == "structured"
     norm = f"translate(text, '{AR_DIGITS}', '{R.ASCII_DIGITS}')" if structured else "text"
+    if norm_col:
+        norm = norm_col
     value = strip_sql("substring(text, s + 1, n)") if structured else clean_sql("core")
     keep = f"length({value}) >= {R.MIN_VALUE_LEN}" if structured else f"length({value}) > 0"
     if after:
@@ -96,15 +99,41 @@ def hits_cte(rule_id: str, src: str) -> str:
                 + length(coalesce(g1[i], '')) AS BIGINT) AS s,
                   length(coalesce(g2[i], '')) + length(coalesce(g3[i], '')) AS n,
                   g2[i] AS core FROM u)
-     SELECT doc_id, text AS doc_text, CAST(s AS INTEGER) AS start, CAST(s + n AS INTEGER) AS "end",
+     SELECT doc_id, text AS doc_text, norm AS doc_norm, CAST(s AS INTEGER) AS start, CAST(s + n AS INTEGER) AS "end",
+            CAST(s + length(coalesce(core, '')) AS INTEGER) AS core_end,
             '{rule.kind}' AS kind, {value} AS text, CAST({rule.confidence} AS DOUBLE) AS confidence,
             {rule.order} AS rule, CAST(i - 1 AS INTEGER) AS seq
      FROM o WHERE {keep})"""
 
 
+def card_hits_cte(src: str) -> str:
+    """Card hits in two passes.  RE2 checks the closing boundary after a kept
+    separator by consuming the next character, which blocks a card starting
+    right there.  Pass 2 reruns on the text with the pass-1 values masked by a
+    word character (length preserved, boundaries unchanged) and recovers
+    exactly those blocked matches."""
+    rid = "structured:credit_card"
+    p1 = hits_cte(rid, src)
+    prev = "(CASE WHEN i = 1 THEN 0 ELSE L[i - 1].e END)"
+    mask = (f"array_to_string(list_transform(range(1, len(L) + 1), lambda i: "
+            f"substring(norm, {prev} + 1, L[i].s - {prev}) || repeat('a', L[i].e - L[i].s)), '') "
+            f"|| substring(norm, (CASE WHEN len(L) = 0 THEN 0 ELSE L[len(L)].e END) + 1)")
+    masked = f"""SELECT s0.doc_id, s0.text, {mask} AS masked FROM
+        (SELECT doc_id, text, translate(text, '{AR_DIGITS}', '{R.ASCII_DIGITS}') AS norm FROM ({src})) s0
+        LEFT JOIN (SELECT doc_id, list(struct_pack(s := start, e := core_end) ORDER BY start) AS L0
+                   FROM {p1} GROUP BY doc_id) h USING (doc_id),
+        LATERAL (SELECT coalesce(h.L0, []) AS L)"""
+    p2 = hits_cte(rid, masked, norm_col="masked")
+    cols = 'doc_id, doc_text, start, "end", kind, text, confidence, rule'
+    return f"""
+    (SELECT {cols}, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS seq
+     FROM (SELECT {cols} FROM {p1} UNION ALL SELECT {cols} FROM {p2}))"""
+
+
 def rule_sql(rule_id: str, source: str) -> str:
     src = DOCS_SRC if source == "documents" else CORPUS_SRC
-    return (f"SELECT doc_id, start, \"end\", kind, text, confidence FROM {hits_cte(rule_id, src)}")
+    h = card_hits_cte(src) if rule_id == "structured:credit_card" else hits_cte(rule_id, src)
+    return f"SELECT doc_id, start, \"end\", kind, text, confidence FROM {h}"
 
 
 # -- per-line labels -------------------------------------------------------------------
@@ -224,8 +253,8 @@ def candidates_sql(src: str, families: tuple[str, ...], lines: bool) -> str:
     """Valid hits of the chosen rule families after O01 (first rule wins an
     exact offset), plus the unchecked line hits."""
     cols = 'doc_id, start, "end", kind, text, confidence, rule, seq'
-    parts = [f"SELECT {cols} FROM {hits_cte(rid, src)}" for rid, r in _RULE_OBJ.items()
-             if r.family in families]
+    parts = [f"SELECT {cols} FROM {card_hits_cte(src) if rid == 'structured:credit_card' else hits_cte(rid, src)}"
+             for rid, r in _RULE_OBJ.items() if r.family in families]
     dedup = (f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start, \"end\" "
              f"ORDER BY rule, seq) AS rn FROM ({' UNION ALL '.join(parts)})) WHERE rn = 1")
     if lines:
@@ -257,10 +286,7 @@ def build() -> dict[str, str]:
     q: dict[str, str] = {
         "d01_email": rule_sql("structured:email", "documents"),
         "d02_iban": rule_sql("structured:iban", "corpus"),
-        # d03_credit_card (documents): no RE2 form — a card whose match keeps its
-        # trailing separator can be followed directly by the next card, and RE2
-        # can only test the closing boundary by consuming that next character.
-        # Checked against the brute-force Python oracle in tests instead.
+        "d03_credit_card": rule_sql("structured:credit_card", "documents"),
         "d03_credit_card_corpus": rule_sql("structured:credit_card", "corpus"),
         "d04_national_id": rule_sql("structured:national_id", "corpus"),
         "d05_phone": rule_sql("structured:phone", "documents"),
@@ -361,6 +387,13 @@ def build() -> dict[str, str]:
     q["o02_resolve"] = (f"SELECT doc_id, start, \"end\", kind, text, confidence FROM "
                         f"{resolved_sql(candidates_sql(CORPUS_SRC, ('structured',), False))}")
     q["d25_detect_corpus"] = f"SELECT * FROM {resolved_sql(candidates_sql(CORPUS_SRC, allfam, True))}"
+    docs_resolved = resolved_sql(candidates_sql(DOCS_SRC, allfam, True))
+    q["d25_detect_documents"] = f"SELECT * FROM {docs_resolved}"
+    docs_decided = (f"decided AS (SELECT {DOC_ID} AS document_id, start, \"end\", kind, text, confidence, lang, "
+                    f"true AS approved FROM {docs_resolved})")
+    q["o22_release"] = (_with(docs_decided, _released_cte())
+                        + f" SELECT document_id, CAST(cnt AS INTEGER) AS redacted_count, "
+                          f"substring(redacted, 1, {R.PREVIEW_CHARS}) AS redacted_preview, seal FROM sealed")
 
     from .catalog import RESPONSE_SQL
     shape = ('{"output": {"markdown": "VARCHAR", "elements": [{"type": "VARCHAR", "text": "VARCHAR", '
