@@ -437,6 +437,42 @@ def build() -> dict[str, str]:
               FROM (SELECT doc_id, n, {strip_sql('text')} AS value, kind FROM {resolved}
                     WHERE NOT (kind = 'email' AND doc_id % 5 = 0)))
         WHERE first = 1 AND length(value) >= {R.MIN_VALUE_LEN}"""
+    frags_v = (f"list_concat([v], list_filter(list_transform(regexp_split_to_array(v, '{R.FRAGMENT_SPLIT}'), "
+               f"lambda p: {strip_sql('p')}), lambda p: length(p) >= 3))")
+    pv = strip_sql("replace(v, chr(10), ' ')")
+    preview_v = (f"CASE WHEN length({pv}) <= {R.VALUE_PREVIEW_CHARS} THEN {pv} "
+                 f"ELSE concat(substring({pv}, 1, {R.VALUE_PREVIEW_CHARS}), '…') END")
+    q["o17_operation_log"] = f"""
+        WITH vals AS ({q["o14_approved_values"]}),
+        per AS (SELECT doc_id, list(value ORDER BY n) AS V FROM vals GROUP BY doc_id),
+        docs AS ({CORPUS_SRC})
+        SELECT d.doc_id, list_concat(list_transform(list_filter(coalesce(p.V, []),
+                   lambda v: len(list_filter({frags_v}, lambda f: strpos(d.text, f) > 0)) > 0),
+                   lambda v: concat('stage_value «', {preview_v}, '»')),
+               ['apply_redactions', 'seal (hmac-sha256)']) AS ops
+        FROM docs d LEFT JOIN per p USING (doc_id)"""
+    frag_list = (f"list_concat([value], list_filter(list_transform(regexp_split_to_array(value, '{R.FRAGMENT_SPLIT}'), "
+                 f"lambda p: {strip_sql('p')}), lambda p: length(p) >= 3))")
+    q["o15_value_redaction"] = f"""
+        WITH vals AS ({q["o14_approved_values"]}),
+        fr AS (SELECT DISTINCT doc_id, -length(f) AS nl, f, kind FROM
+               (SELECT doc_id, kind, unnest({frag_list}) AS f FROM vals)),
+        kinds AS (SELECT doc_id, f, min(kind) AS kind FROM fr GROUP BY ALL),
+        pat AS (SELECT doc_id, string_agg(concat('\\Q', f, '\\E'), '|' ORDER BY nl, f, kind) AS p FROM fr GROUP BY doc_id),
+        docs AS ({CORPUS_SRC}),
+        x AS (SELECT d.doc_id, d.text, regexp_extract_all(d.text, pat.p) AS w, regexp_split_to_array(d.text, pat.p) AS gaps
+              FROM docs d JOIN pat USING (doc_id)),
+        u AS (SELECT doc_id, text, w, gaps, unnest(range(1, len(w) + 1)) AS i FROM x),
+        o AS (SELECT doc_id, w[i] AS hit,
+                     CAST(coalesce(list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g))), 0)
+                        + coalesce(list_sum(list_transform(list_slice(w, 1, i - 1), lambda h: length(h))), 0) AS BIGINT) AS s
+              FROM u),
+        occ AS (SELECT o.doc_id, o.s AS start, o.s + length(o.hit) AS "end", k.kind, o.hit AS text
+                FROM o JOIN kinds k ON k.doc_id = o.doc_id AND k.f = o.hit),
+        per AS (SELECT doc_id, list(struct_pack(s := start, e := "end", k := kind, t := text, a := true) ORDER BY start) AS L
+                FROM occ GROUP BY doc_id)
+        SELECT d.doc_id, {splice_sql('d.text', 'coalesce(p.L, [])')} AS redacted
+        FROM docs d LEFT JOIN per p USING (doc_id)"""
     corpus_decided = (f"decided AS (SELECT {cdoc} AS document_id, start, \"end\", kind, text, confidence, lang, "
                       f"true AS approved FROM {resolved})")
     corpus_docs = f"SELECT c_custkey AS doc_id, {C.DOCUMENT_ID} AS document_id, {C.TEXT} AS text FROM customer"
