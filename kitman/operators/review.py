@@ -90,10 +90,19 @@ def review_list(spans: DataFrame, ui_lang: str | Column = "en") -> DataFrame:
         .orderBy("document_id", "start"))
 
 
-def decisions_as_map(decisions: DataFrame) -> DataFrame:
+def decisions_as_map(decisions: DataFrame, co_partitions: int | None = None) -> DataFrame:
     """Latest decisions folded to one sorted ``(span_id, approved)`` array per
     document, for applying inside the document row (no span explode/regroup).
-    Sorted so each span finds its decision by binary search."""
+    Sorted so each span finds its decision by binary search.
+
+    ``co_partitions``: bucket count of a ``document_id``-bucketed extracts
+    table.  Decisions are then hash-partitioned once by ``document_id`` into
+    that many partitions, and both aggregations and the join reuse it (one
+    exchange in total, none on the extracts side).  Without it the latest-wins
+    step shuffles by (document, span), which stays balanced even when one
+    document holds a large share of all decisions."""
+    if co_partitions:
+        decisions = decisions.repartition(co_partitions, "document_id")
     return (latest_decisions(decisions).groupBy("document_id")
             .agg(F.sort_array(F.collect_list(F.struct(F.col("span_id").alias("k"),
                                                        F.col("approved").alias("v")))).alias("decided")))

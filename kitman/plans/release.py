@@ -31,11 +31,14 @@ def extract(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
 def release(extracts: DataFrame, decisions: DataFrame | None = None, key: bytes = DEMO_KEY,
             issued_at: Column | int | None = None, product: str = R.PRODUCT,
-            text_col: str = "text") -> DataFrame:
+            text_col: str = "text", co_partitions: int | None = None) -> DataFrame:
+    """``co_partitions``: pass the bucket count when ``extracts`` is a table
+    bucketed by ``document_id`` (``sinks.save_extracts_bucketed``, with at
+    least ``spark.sql.shuffle.partitions`` buckets) so only decisions move."""
     docs = extracts if "engine" in extracts.columns else extracts.withColumn(
         "engine", F.lit("local-fallback"))
     if decisions is not None:
-        docs = docs.join(decisions_as_map(decisions), "document_id", "left")
+        docs = docs.join(decisions_as_map(decisions, co_partitions), "document_id", "left")
     else:
         docs = docs.withColumn("decided", F.lit(None).cast("array<struct<k:string,v:boolean>>"))
     if issued_at is None:

@@ -54,3 +54,13 @@ def save_table(df: DataFrame, path: str) -> DataFrame:
     shared location, unlike a local checkpoint)."""
     _write(df, path, "parquet")
     return df.sparkSession.read.parquet(path).drop("bucket")
+
+
+def save_extracts_bucketed(extracts: DataFrame, table: str, n_buckets: int = N_BUCKETS) -> DataFrame:
+    """Store extracts (text + span arrays) bucketed and sorted by
+    ``document_id``.  A later release joins decisions to this table with an
+    exchange on the decision side only: the big text side is already
+    partitioned by the join key."""
+    (extracts.write.mode("overwrite").format("parquet")
+     .bucketBy(n_buckets, "document_id").sortBy("document_id").saveAsTable(table))
+    return extracts.sparkSession.table(table)

@@ -76,3 +76,23 @@ def test_review_list(spark):
     assert {r.kind_label for r in rows} >= {"اسم", "بريد", "آيبان"}
     assert all(r.confidence_pct in (72, 75, 80, 85, 97, 98) and not r.low_confidence for r in rows)
     assert all(not r.approved for r in V.decide_all(sp, False).collect())
+
+
+def test_bucketed_release_moves_only_decisions(spark):
+    from conftest import SF_SMALL
+    from kitman.plans import catalog
+    from kitman.sources.sinks import save_extracts_bucketed
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = catalog.email_extracts(spark, SF_SMALL)
+    dec = catalog.labels_decisions(spark, SF_SMALL)
+    bucketed = save_extracts_bucketed(plain, "extracts_bucketed_test", n)
+    a = release(bucketed, dec, issued_at=FIXED_ISSUED_AT, co_partitions=n)
+    b = release(plain, dec, issued_at=FIXED_ISSUED_AT)
+    cols = ["document_id", "redacted_count", "redacted_text", "seal"]
+    assert sorted(a.select(cols).collect()) == sorted(b.select(cols).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = a._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan
