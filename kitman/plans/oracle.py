@@ -415,6 +415,34 @@ def build() -> dict[str, str]:
                0 AS start, 0 AS "end", coalesce(nullif(try_cast(p.confidence AS DOUBLE), 0), {R.EXTERNAL_DEFAULT_CONFIDENCE}) AS confidence
         FROM (SELECT doc_id, unnest(P) AS p, unnest(range(1, len(P) + 1)) AS n
               FROM (SELECT doc_id, {kv} AS P FROM ({parsed}) WHERE ok))"""
+    # Own-text detection, detection on the external text (when non-empty
+    # and different), then external candidates; B-side spans are kept only if
+    # their (kind, text) is new.  Malformed JSON → own spans, local-fallback.
+    ext = f"SELECT p.doc_id, p.valid_json, p.ext_text FROM ({q['s06_parse']}) p"
+    own_text = f"SELECT c_custkey AS doc_id, {C.TEXT} AS text FROM customer"
+    ext_src = (f"SELECT e.doc_id, e.ext_text AS text FROM ({ext}) e JOIN ({own_text}) o USING (doc_id) "
+               f"WHERE e.valid_json AND length(e.ext_text) > 0 AND e.ext_text <> o.text")
+    own_sp = resolved_sql(candidates_sql(CORPUS_SRC, allfam, True))
+    ext_sp = resolved_sql(candidates_sql(ext_src, allfam, True))
+    cands = f"SELECT doc_id, CAST(substr(span_id, 5) AS INTEGER) AS n, kind, text, start, \"end\", confidence FROM ({q['o11_external_candidates']})"
+    merged = f"""
+        WITH parts AS (
+            SELECT doc_id, 0 AS part, n AS idx, kind, text, start, "end", confidence FROM {own_sp}
+            UNION ALL SELECT doc_id, 1, n, kind, text, start, "end", confidence FROM {ext_sp}
+            UNION ALL SELECT doc_id, 2, n, kind, text, start, "end", confidence FROM ({cands})),
+        valid AS (SELECT doc_id, valid_json FROM ({ext})),
+        kept AS (SELECT p.* FROM parts p JOIN valid v USING (doc_id)
+                 WHERE p.part = 0 OR v.valid_json),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, text ORDER BY part, idx) AS rn FROM kept)
+        SELECT r.doc_id, CASE WHEN v.valid_json THEN 'external' ELSE 'local-fallback' END AS engine,
+               CAST(row_number() OVER (PARTITION BY r.doc_id ORDER BY part, idx) - 1 AS INTEGER) AS n,
+               kind, text, start, "end", confidence
+        FROM ranked r JOIN valid v USING (doc_id) WHERE part = 0 OR rn = 1"""
+    q["o13_extract_external"] = merged
+    q["o12_merge"] = f"""
+        SELECT d.doc_id, CAST(coalesce(m.k, 0) AS INTEGER) AS n_spans
+        FROM (SELECT c_custkey AS doc_id FROM customer) d
+        LEFT JOIN (SELECT doc_id, count(*) AS k FROM ({merged}) GROUP BY doc_id) m USING (doc_id)"""
     q["s09_clean_copy"] = (
         f"SELECT document_id, CASE WHEN d.doc_id IS NOT NULL AND d.doc_id % 4 = 0 THEN 'signed' "
         f"WHEN d.doc_id IS NOT NULL AND d.doc_id % 3 = 0 THEN 'redacted' ELSE 'not_found' END AS source "
