@@ -278,6 +278,50 @@ def resolved_sql(cand: str) -> str:
      FROM g)"""
 
 
+def approved_values_sql(resolved: str, approved: str) -> str:
+    """Stripped text of approved spans, length >= 3, first-seen order."""
+    return f"""
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS n, value, kind
+        FROM (SELECT doc_id, n, value, kind, row_number() OVER (PARTITION BY doc_id, value ORDER BY n) AS first
+              FROM (SELECT doc_id, n, {strip_sql('text')} AS value, kind FROM {resolved} WHERE {approved}))
+        WHERE first = 1 AND length(value) >= {R.MIN_VALUE_LEN}"""
+
+
+def value_redaction_sql(vals: str, docs: str) -> str:
+    """Every literal occurrence of each approved value and fragment (one
+    alternation per document, longest first) replaced by its bar."""
+    frag_list = (f"list_concat([value], list_filter(list_transform(regexp_split_to_array(value, '{R.FRAGMENT_SPLIT}'), "
+                 f"lambda p: {strip_sql('p')}), lambda p: length(p) >= 3))")
+    return f"""
+        WITH vals AS ({vals}),
+        fr AS (SELECT DISTINCT doc_id, -length(f) AS nl, f, kind FROM
+               (SELECT doc_id, kind, unnest({frag_list}) AS f FROM vals)),
+        kinds AS (SELECT doc_id, f, min(kind) AS kind FROM fr GROUP BY ALL),
+        pat AS (SELECT doc_id, string_agg(concat('\\Q', f, '\\E'), '|' ORDER BY nl, f, kind) AS p FROM fr GROUP BY doc_id),
+        docs AS ({docs}),
+        x AS (SELECT d.doc_id, d.text, regexp_extract_all(d.text, pat.p) AS w, regexp_split_to_array(d.text, pat.p) AS gaps
+              FROM docs d JOIN pat USING (doc_id)),
+        u AS (SELECT doc_id, text, w, gaps, unnest(range(1, len(w) + 1)) AS i FROM x),
+        o AS (SELECT doc_id, w[i] AS hit,
+                     CAST(coalesce(list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g))), 0)
+                        + coalesce(list_sum(list_transform(list_slice(w, 1, i - 1), lambda h: length(h))), 0) AS BIGINT) AS s
+              FROM u),
+        occ AS (SELECT o.doc_id, o.s AS start, o.s + length(o.hit) AS "end", k.kind, o.hit AS text
+                FROM o JOIN kinds k ON k.doc_id = o.doc_id AND k.f = o.hit),
+        per AS (SELECT doc_id, list(struct_pack(s := start, e := "end", k := kind, t := text, a := true) ORDER BY start) AS L
+                FROM occ GROUP BY doc_id)
+        SELECT d.doc_id, {splice_sql('d.text', 'coalesce(p.L, [])')} AS redacted
+        FROM docs d LEFT JOIN per p USING (doc_id)"""
+
+
+def redact_rule_sql(rule_id: str, src: str) -> str:
+    """Hits of one structured rule on ``src`` (doc_id, text) replaced by bars."""
+    h = card_hits_cte(src) if rule_id == "structured:credit_card" else hits_cte(rule_id, src)
+    return f"""SELECT s.doc_id, {splice_sql('s.text', 'coalesce(p.L, [])')} AS text FROM ({src}) s
+        LEFT JOIN (SELECT doc_id, list(struct_pack(s := start, e := "end", k := kind, t := text, a := true)
+                   ORDER BY start) AS L FROM {h} GROUP BY doc_id) p USING (doc_id)"""
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n    ".join(c.strip() for c in ctes)
 
@@ -459,12 +503,7 @@ def build() -> dict[str, str]:
                true AS approved, CAST(floor(confidence * 100 + 0.5) AS INTEGER) AS confidence_pct,
                confidence < {R.LOW_CONFIDENCE} AS low_confidence
         FROM {resolved}"""
-    q["o14_approved_values"] = f"""
-        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS n, value, kind
-        FROM (SELECT doc_id, n, value, kind, row_number() OVER (PARTITION BY doc_id, value ORDER BY n) AS first
-              FROM (SELECT doc_id, n, {strip_sql('text')} AS value, kind FROM {resolved}
-                    WHERE NOT (kind = 'email' AND doc_id % 5 = 0)))
-        WHERE first = 1 AND length(value) >= {R.MIN_VALUE_LEN}"""
+    q["o14_approved_values"] = approved_values_sql(resolved, "NOT (kind = 'email' AND doc_id % 5 = 0)")
     frags_v = (f"list_concat([v], list_filter(list_transform(regexp_split_to_array(v, '{R.FRAGMENT_SPLIT}'), "
                f"lambda p: {strip_sql('p')}), lambda p: length(p) >= 3))")
     pv = strip_sql("replace(v, chr(10), ' ')")
@@ -479,28 +518,12 @@ def build() -> dict[str, str]:
                    lambda v: concat('stage_value «', {preview_v}, '»')),
                ['apply_redactions', 'seal (hmac-sha256)']) AS ops
         FROM docs d LEFT JOIN per p USING (doc_id)"""
-    frag_list = (f"list_concat([value], list_filter(list_transform(regexp_split_to_array(value, '{R.FRAGMENT_SPLIT}'), "
-                 f"lambda p: {strip_sql('p')}), lambda p: length(p) >= 3))")
-    q["o15_value_redaction"] = f"""
-        WITH vals AS ({q["o14_approved_values"]}),
-        fr AS (SELECT DISTINCT doc_id, -length(f) AS nl, f, kind FROM
-               (SELECT doc_id, kind, unnest({frag_list}) AS f FROM vals)),
-        kinds AS (SELECT doc_id, f, min(kind) AS kind FROM fr GROUP BY ALL),
-        pat AS (SELECT doc_id, string_agg(concat('\\Q', f, '\\E'), '|' ORDER BY nl, f, kind) AS p FROM fr GROUP BY doc_id),
-        docs AS ({CORPUS_SRC}),
-        x AS (SELECT d.doc_id, d.text, regexp_extract_all(d.text, pat.p) AS w, regexp_split_to_array(d.text, pat.p) AS gaps
-              FROM docs d JOIN pat USING (doc_id)),
-        u AS (SELECT doc_id, text, w, gaps, unnest(range(1, len(w) + 1)) AS i FROM x),
-        o AS (SELECT doc_id, w[i] AS hit,
-                     CAST(coalesce(list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g))), 0)
-                        + coalesce(list_sum(list_transform(list_slice(w, 1, i - 1), lambda h: length(h))), 0) AS BIGINT) AS s
-              FROM u),
-        occ AS (SELECT o.doc_id, o.s AS start, o.s + length(o.hit) AS "end", k.kind, o.hit AS text
-                FROM o JOIN kinds k ON k.doc_id = o.doc_id AND k.f = o.hit),
-        per AS (SELECT doc_id, list(struct_pack(s := start, e := "end", k := kind, t := text, a := true) ORDER BY start) AS L
-                FROM occ GROUP BY doc_id)
-        SELECT d.doc_id, {splice_sql('d.text', 'coalesce(p.L, [])')} AS redacted
-        FROM docs d LEFT JOIN per p USING (doc_id)"""
+    q["o15_value_redaction"] = value_redaction_sql(q["o14_approved_values"], CORPUS_SRC)
+    docs_vals = approved_values_sql(docs_resolved, "true")
+    net = f"SELECT doc_id, redacted AS text FROM ({value_redaction_sql(docs_vals, DOCS_SRC)})"
+    for rid in ("structured:email", "structured:credit_card", "structured:phone"):
+        net = redact_rule_sql(rid, net)
+    q["o16_safety_net"] = f"SELECT doc_id, text AS redacted FROM ({net})"
     corpus_decided = (f"decided AS (SELECT {cdoc} AS document_id, start, \"end\", kind, text, confidence, lang, "
                       f"true AS approved FROM {resolved})")
     corpus_docs = f"SELECT c_custkey AS doc_id, {C.DOCUMENT_ID} AS document_id, {C.TEXT} AS text FROM customer"
