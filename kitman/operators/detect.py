@@ -107,7 +107,8 @@ def _memo(key: tuple, build) -> Column:
     calls (seconds); the result only names its input column, so it is built
     once per session and column name and reused by every DataFrame."""
     from pyspark import SparkContext
-    k = (id(SparkContext._active_spark_context),) + key
+    sc = SparkContext._active_spark_context
+    k = (sc.applicationId if sc is not None else None,) + key
     if k not in _BUILT:
         _BUILT[k] = build()
     return _BUILT[k]
