@@ -74,7 +74,17 @@ def java_pattern(rule: R.Rule) -> str:
     group is the value and everything before it becomes group 1.
     """
     if rule.family == "structured":
-        return _translate(rule.python_pattern, fold_digits=True)
+        py = rule.python_pattern
+        # A ``\b`` next to a token that can only match a word character is
+        # one-sided: before it, "previous char is not a word char"; after it,
+        # "next char is not a word char".  Same matches, one look-around
+        # instead of two look-around pairs at every text position.
+        if py.startswith(r"\b") and py[2:].startswith(("[A-Z]", r"(?:\d")):
+            py = "\0LEAD" + py[2:]
+        if py.endswith(r"\b") and py[:-2].endswith(("[A-Z0-9]){11,30}", r"\d{1,3}")):
+            py = py[:-2] + "\0TRAIL"
+        out = _translate(py, fold_digits=True)
+        return out.replace("\0LEAD", f"(?<!{WORD})").replace("\0TRAIL", f"(?!{WORD})")
     py = rule.python_pattern
     idx = py.rfind("(")
     assert py[idx:idx + 3] != "(?:", "label value group must be last"

@@ -25,12 +25,22 @@ _RULES = R.rules()
 RULES_BY_ID = {f"{r.family}:{r.kind}": r for r in _RULES}
 
 
+# Necessary conditions implied by each structured pattern (cheap scans with
+# no look-around), checked before the full rule.
+_STRUCTURED_GATES = {
+    "iban": r"[A-Z][A-Z]\p{Nd}\p{Nd}",
+    "ip_address": r"\p{Nd}\.\p{Nd}",
+    "national_id": r"[12\x{661}\x{662}]\p{Nd}{9}",
+}
+
+
 def _gate(rule: R.Rule, text: Column, has_digit: Column) -> Column:
     if rule.family != "structured":
         return text.rlike(dialect.label_gate(rule))
     if rule.kind == "email":
         return F.instr(text, "@") > 0
-    return has_digit
+    extra = _STRUCTURED_GATES.get(rule.kind)
+    return has_digit & text.rlike(extra) if extra else has_digit
 
 
 def _working_copy(text: Column) -> tuple[Column, Column]:
