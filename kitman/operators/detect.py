@@ -151,9 +151,3 @@ def detect(df: DataFrame, text_col: str = "text") -> DataFrame:
         "char_count": F.char_length(t),
         "spans": with_span_lang(detect_column(text_col)),
     })
-
-
-def explode_spans(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Flat span rows (one per span) with the given key columns."""
-    return (df.select(*keep, F.posexplode("spans").alias("emit_order", "s"))
-              .select(*keep, "emit_order", "s.*"))

@@ -17,7 +17,7 @@ from ..operators import external as X
 from ..operators import proof as P
 from ..operators import review as V
 from ..operators import values as VAL
-from ..operators.detect import RULES_BY_ID, detect, rule_hits, rule_hits_of, with_span_lang
+from ..operators.detect import RULES_BY_ID, detect, rule_hits_of, with_span_lang
 from ..operators.redact import redact_column
 from ..operators.spans import dedupe_exact_offsets, line_label_hits, resolve_overlaps
 from ..sources import intake as I
@@ -27,9 +27,6 @@ from .release import DEMO_KEY, FIXED_ISSUED_AT, extract, release
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-HIT_COLUMNS = ["doc_id", "start", "end", "kind", "text", "confidence"]
-
-
 # -- inputs ---------------------------------------------------------------------
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
