@@ -400,6 +400,18 @@ def q_s10_proof_lookup(spark, sf_dir):
     return proof_lookup(req, _sealed(spark, sf_dir)).select("document_id", "seal")
 
 
+def q_st1_stream_detect(spark, sf_dir):
+    """ST1: the ``documents`` file consumed as a stream (availableNow);
+    output must equal batch detection (D25)."""
+    import os
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.pipelines import stream_detect_table
+    run = os.path.join(ensure_checkpoint_dir(spark), "st1-" + uuid.uuid4().hex)
+    return stream_detect_table(spark, sf_dir, "documents", os.path.join(run, "out"),
+                               os.path.join(run, "checkpoint"))
+
+
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {
         "d01_email": rule_query("structured:email", "documents"),
@@ -468,5 +480,6 @@ def build() -> dict[str, Query]:
         "s06_parse": q_s06_parse,
         "s09_clean_copy": q_s09_clean_copy,
         "s10_proof_lookup": q_s10_proof_lookup,
+        "st1_stream_detect": q_st1_stream_detect,
     })
     return q

@@ -433,6 +433,7 @@ def build() -> dict[str, str]:
     q["d25_detect_corpus"] = f"SELECT * FROM {resolved_sql(candidates_sql(CORPUS_SRC, allfam, True))}"
     docs_resolved = resolved_sql(candidates_sql(DOCS_SRC, allfam, True))
     q["d25_detect_documents"] = f"SELECT * FROM {docs_resolved}"
+    q["st1_stream_detect"] = q["d25_detect_documents"]          # stream = batch
     docs_decided = (f"decided AS (SELECT {DOC_ID} AS document_id, start, \"end\", kind, text, confidence, lang, "
                     f"true AS approved FROM {docs_resolved})")
     q["o22_release"] = (_with(docs_decided, _released_cte())

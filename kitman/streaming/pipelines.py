@@ -124,3 +124,25 @@ def start_decisions(spark: SparkSession, decisions_dir: str, state_dir: str,
          .option("checkpointLocation", _checkpoint(spark, "st2-decisions", checkpoint)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def stream_detect_table(spark: SparkSession, table_dir: str, table: str, out_dir: str,
+                        checkpoint: str, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """ST1 over a parquet table: the table's files are the stream source
+    (``availableNow``), each micro-batch is detected and appended under
+    ``batch=<id>`` (overwrite per batch, so replays are idempotent); returns
+    the flat span rows written."""
+    schema = spark.read.parquet(f"{table_dir}/{table}.parquet").schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+           .parquet(table_dir))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        ex = extract(batch.select(key_col, text_col), text_col)
+        (ex.select(key_col, F.posexplode("spans").alias("n", "s"))
+         .select(key_col, "n", "s.start", "s.end", "s.kind", "s.text", "s.confidence", "s.lang")
+         .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}")))
+
+    q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_dir).drop("batch")
