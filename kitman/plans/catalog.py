@@ -412,6 +412,24 @@ def q_st1_stream_detect(spark, sf_dir):
                                os.path.join(run, "checkpoint"))
 
 
+def q_st2_stream_decisions(spark, sf_dir):
+    """ST2: stored extracts + reviewer decisions arriving as JSON files on a
+    stream; releases of the touched documents must equal the batch release."""
+    import os
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.pipelines import read_latest, start_decisions
+    run = os.path.join(ensure_checkpoint_dir(spark), "st2-" + uuid.uuid4().hex)
+    state, dec_dir = os.path.join(run, "state"), os.path.join(run, "decisions")
+    email_extracts(spark, sf_dir).select("document_id", "text", "spans").write.parquet(
+        os.path.join(state, "extracts", "batch=0"))
+    labels_decisions(spark, sf_dir).write.json(dec_dir)
+    q = start_decisions(spark, dec_dir, state, checkpoint=os.path.join(run, "checkpoint"),
+                        issued_at=FIXED_ISSUED_AT)
+    q.awaitTermination()
+    return read_latest(spark, os.path.join(state, "releases")).select("document_id", "redacted_count", "seal")
+
+
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {
         "d01_email": rule_query("structured:email", "documents"),
@@ -481,5 +499,6 @@ def build() -> dict[str, Query]:
         "s09_clean_copy": q_s09_clean_copy,
         "s10_proof_lookup": q_s10_proof_lookup,
         "st1_stream_detect": q_st1_stream_detect,
+        "st2_stream_decisions": q_st2_stream_decisions,
     })
     return q

@@ -422,6 +422,8 @@ def build() -> dict[str, str]:
         '{R.VERIFY_OK}' AS detail FROM sealed"""
     q["o19_tamper"] = rel + f""" SELECT document_id, false AS valid, issued_at_iso, {R.TAMPER_COUNT} AS redaction_count,
         '{R.VERIFY_BAD}' AS detail FROM sealed"""
+    q["st2_stream_decisions"] = rel + """ SELECT document_id, CAST(cnt AS INTEGER) AS redacted_count, seal
+        FROM sealed WHERE document_id IN (SELECT document_id FROM dec)"""
     q["s10_proof_lookup"] = rel + f""" SELECT document_id, seal FROM sealed WHERE document_id IN
         (SELECT {DOC_ID} FROM labels WHERE quality = 1)"""
 

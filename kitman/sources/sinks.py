@@ -18,9 +18,8 @@ def with_bucket(df: DataFrame, n: int = N_BUCKETS) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, fmt: str) -> None:
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (with_bucket(df).repartition("bucket").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").format(fmt).save(path))
 
 

@@ -37,8 +37,8 @@ def _checkpoint(spark: SparkSession, name: str, given: str | None) -> str:
 
 
 def _overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    with_bucket(df, N_BUCKETS).write.mode("overwrite").partitionBy("bucket").format(fmt).save(path)
+    (with_bucket(df, N_BUCKETS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").format(fmt).save(path))
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
