@@ -118,8 +118,10 @@ def sha256_hex(text) -> Column:
 
 # T13 --------------------------------------------------------------------------
 def iso_utc(epoch_seconds) -> Column:
-    return F.date_format(F.timestamp_seconds(_c(epoch_seconds)),
-                         "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """``YYYY-MM-DDThh:mm:ssZ`` in UTC whatever the session time zone
+    (``date_format`` renders in the session zone, so shift to UTC first)."""
+    ts = F.to_utc_timestamp(F.timestamp_seconds(_c(epoch_seconds)), F.current_timezone())
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 # T16 --------------------------------------------------------------------------
