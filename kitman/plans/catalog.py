@@ -430,6 +430,54 @@ def q_st2_stream_decisions(spark, sf_dir):
     return read_latest(spark, os.path.join(state, "releases")).select("document_id", "redacted_count", "seal")
 
 
+def corpus_lines(spark, sf_dir) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return c.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+def q_t02_strip_bidi(spark, sf_dir):
+    return corpus_lines(spark, sf_dir).select("doc_id", "line_no", T.strip_bidi(F.col("line")).alias("stripped"))
+
+
+def q_t04_either_order(spark, sf_dir):
+    """Lines containing a label phrase of each per-line kind, forward or
+    word-reversed (the phrase patterns built by T04)."""
+    from ..functions import dialect
+    lines = corpus_lines(spark, sf_dir)
+    hits = F.array(*[F.when(F.col("line").rlike(dialect.line_label_pattern(ph)), F.lit(k))
+                     for k, ph in R.LINE_LABEL_SPECS])
+    return lines.select("doc_id", "line_no", F.explode(F.array_compact(hits)).alias("kind"))
+
+
+def q_t06_span_language(spark, sf_dir):
+    return corpus_lines(spark, sf_dir).select("doc_id", "line_no", T.span_language(F.col("line")).alias("lang"))
+
+
+def q_t07_span_id(spark, sf_dir):
+    return email_spans(spark, sf_dir).select("document_id", "start", "span_id")
+
+
+def q_t11_text_preview(spark, sf_dir):
+    return documents(spark, sf_dir).select("document_id", T.text_preview(F.col("text")).alias("preview"))
+
+
+def q_t14_round_length(spark, sf_dir):
+    sp = line_spans(spark, sf_dir)
+    return sp.select("document_id", "start", F.round("confidence", 2).alias("confidence"),
+                     F.char_length("text").alias("length"))
+
+
+def q_t15_char_count(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.char_length("text").alias("char_count"))
+
+
+def q_t19_verify_message(spark, sf_dir):
+    sealed = _sealed(spark, sf_dir)
+    ok = P.verify(sealed, DEMO_KEY).select("document_id", "valid", "detail", F.lit("stored").alias("copy"))
+    bad = P.verify(P.tamper(sealed), DEMO_KEY).select("document_id", "valid", "detail", F.lit("tampered").alias("copy"))
+    return ok.unionByName(bad)
+
+
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {
         "d01_email": rule_query("structured:email", "documents"),
@@ -458,6 +506,14 @@ def build() -> dict[str, Query]:
         "d25_detect_documents": q_d25_detect("documents"),
         "d25_detect_corpus": q_d25_detect("corpus"),
         "t01_fold_digits": q_t01_fold_digits,
+        "t02_strip_bidi": q_t02_strip_bidi,
+        "t04_either_order": q_t04_either_order,
+        "t06_span_language": q_t06_span_language,
+        "t07_span_id": q_t07_span_id,
+        "t11_text_preview": q_t11_text_preview,
+        "t14_round_length": q_t14_round_length,
+        "t15_char_count": q_t15_char_count,
+        "t19_verify_message": q_t19_verify_message,
         "t03_clean_value": q_t03_clean_value,
         "t05_document_language": q_t05_document_language,
         "t08_guess_kind": q_t08_guess_kind,

