@@ -78,14 +78,15 @@ def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two decisions per labelled document's spans, derived from ``labels``:
-    first approve = (quality = 1), later approve = (toxic = 0); last wins."""
+    """Decisions for the spans of every labelled document, derived from
+    ``labels``: first approve = (quality = 1); documents flagged toxic get a
+    later review with approve = (toxic = 0), which wins."""
     lab = load(spark, sf_dir, "labels")
     sp = email_spans(spark, sf_dir).select("doc_id", "document_id", "span_id")
     j = sp.join(lab, "doc_id")
     first = j.select("document_id", "span_id", (F.col("quality") == 1).alias("approved"),
                      F.lit(1).cast("long").alias("decided_at"), F.lit(1).alias("ord"))
-    later = j.filter(F.col("doc_id") % 2 == 0).select(
+    later = j.filter(F.col("toxic") == 1).select(
         "document_id", "span_id", (F.col("toxic") == 0).alias("approved"),
         F.lit(2).cast("long").alias("decided_at"), F.lit(1).alias("ord"))
     return first.unionByName(later)
@@ -385,11 +386,15 @@ def q_s05_valid_id(spark, sf_dir):
 def q_s09_clean_copy(spark, sf_dir):
     from ..sources.sinks import clean_copy
     d = documents(spark, sf_dir)
-    signed = d.filter(F.col("doc_id") % 4 == 0).select("document_id", F.concat(
-        F.lit("signed/"), F.col("document_id"), F.lit(".pdf")).alias("uri"))
-    red = release(extract(d.filter(F.col("doc_id") % 3 == 0)), None, issued_at=FIXED_ISSUED_AT).select(
+    raw = load(spark, sf_dir, "documents").select("doc_id", "lang")
+    # English documents also have a signed copy; every document is released
+    signed = d.join(raw.filter(F.col("lang") == "en"), "doc_id", "left_semi").select(
+        "document_id", F.concat(F.lit("signed/"), F.col("document_id"), F.lit(".pdf")).alias("uri"))
+    red = release(extract(d), None, issued_at=FIXED_ISSUED_AT).select(
         "document_id", F.col("redacted_text").alias("text"))
-    req = load(spark, sf_dir, "labels").select(T.document_id_from_key(F.col("doc_id")).alias("document_id"))
+    lab = load(spark, sf_dir, "labels")
+    req = lab.select(T.document_id_from_key(F.col("doc_id")).alias("document_id")).unionByName(
+        lab.select(T.document_id_from_key(F.col("doc_id") * 7 + 3).alias("document_id")))
     return clean_copy(req, signed, red).select("document_id", "source")
 
 

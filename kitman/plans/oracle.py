@@ -204,7 +204,7 @@ DECISIONS_CTE = """dec AS (
         SELECT e.document_id, e.span_id, l.quality = 1 AS approved, 1 AS decided_at FROM espans e JOIN labels l USING (doc_id)
         UNION ALL
         SELECT e.document_id, e.span_id, l.toxic = 0 AS approved, 2 AS decided_at FROM espans e JOIN labels l USING (doc_id)
-        WHERE doc_id % 2 = 0),
+        WHERE l.toxic = 1),
     latest AS (SELECT document_id, span_id, arg_max(approved, decided_at) AS approved FROM dec GROUP BY ALL),
     decided AS (SELECT e.*, coalesce(l.approved, true) AS approved FROM espans e LEFT JOIN latest l USING (document_id, span_id))"""
 
@@ -504,10 +504,11 @@ def build() -> dict[str, str]:
         FROM (SELECT c_custkey AS doc_id FROM customer) d
         LEFT JOIN (SELECT doc_id, count(*) AS k FROM ({merged}) GROUP BY doc_id) m USING (doc_id)"""
     q["s09_clean_copy"] = (
-        f"SELECT document_id, CASE WHEN d.doc_id IS NOT NULL AND d.doc_id % 4 = 0 THEN 'signed' "
-        f"WHEN d.doc_id IS NOT NULL AND d.doc_id % 3 = 0 THEN 'redacted' ELSE 'not_found' END AS source "
-        f"FROM (SELECT {DOC_ID} AS document_id FROM labels) l LEFT JOIN "
-        f"(SELECT doc_id, {DOC_ID} AS document_id FROM documents) d USING (document_id)")
+        f"SELECT r.document_id, CASE WHEN d.lang = 'en' THEN 'signed' WHEN d.doc_id IS NOT NULL THEN 'redacted' "
+        f"ELSE 'not_found' END AS source FROM "
+        f"(SELECT {DOC_ID} AS document_id FROM labels UNION ALL "
+        f"SELECT concat('doc_', lpad(lower(hex(doc_id * 7 + 3)), 10, '0')) AS document_id FROM labels) r LEFT JOIN "
+        f"(SELECT doc_id, lang, {DOC_ID} AS document_id FROM documents) d USING (document_id)")
 
     cdoc = C.DOCUMENT_ID.replace("c_custkey", "doc_id")
     resolved = resolved_sql(candidates_sql(CORPUS_SRC, allfam, True))
