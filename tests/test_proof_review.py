@@ -76,6 +76,8 @@ def test_review_list(spark):
     assert {r.kind_label for r in rows} >= {"اسم", "بريد", "آيبان"}
     assert all(r.confidence_pct in (72, 75, 80, 85, 97, 98) and not r.low_confidence for r in rows)
     assert all(not r.approved for r in V.decide_all(sp, False).collect())
+    rejected = V.decide_all(sp, False)
+    assert all(r.approved for r in V.decide_all(rejected, True).collect())
 
 
 def test_bucketed_release_moves_only_decisions(spark):
