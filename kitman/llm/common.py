@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitman.session import ensure_checkpoint_dir
@@ -56,3 +56,31 @@ def mix(a: np.ndarray, b) -> np.ndarray:
 def fold(doc_id: str, mod: int):
     """crc32 of the id's decimal text modulo ``mod`` (fixed train/held-out folds)."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")
+
+
+#: Bound of the number of stretches that ids are cut into (their bounds are sent to the tasks).
+MOST_STRETCHES = 20_000
+LEAST_ID = -(1 << 63)               # stands for a null id: first in order
+
+
+def id_key(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(LEAST_ID))
+
+
+def stretches(docs: DataFrame, rows_each: int) -> list[int]:
+    """Lower bounds that cut the ids into stretches of about equal rows."""
+    ids = docs.select(id_key().alias("d"))
+    parts = min(MOST_STRETCHES, -(-ids.count() // rows_each))
+    if parts < 2:
+        return []
+    at = ids.agg(F.percentile_approx("d", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    return sorted(set(at or []))
+
+
+def stretch_of(key: Column, lows: list[int]) -> Column:
+    """How many of the sorted bounds are at most ``key``, by binary search."""
+    if not lows:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(lows).bit_length()))]
+    bounds = F.lit(lows).cast("array<bigint>")
+    return F.aggregate(F.lit(steps), F.lit(0), lambda a, st: F.when(F.get(bounds, a + st - 1) <= key, a + st).otherwise(a))

@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import id_key, stretch_of, stretches
+
 WIDTH, BIN_BITS, BITS, PROBES = 5, 7, 8, 12
 BINS = 1 << BIN_BITS
-#: Rows of a stretch of neighbouring ids, and the bound of the number of stretches.
-STRETCH_ROWS, MOST_STRETCHES = 2000, 20_000
+#: Rows of a stretch of neighbouring ids.
+STRETCH_ROWS = 2000
 
 
 def _with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -69,16 +71,6 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return _with_bins(rows, "__t", "__f").select("doc_id", packed(F.col("__f")).alias("fingerprint"))
 
 
-def _stretches(ids: DataFrame, rows_each: int) -> list[int]:
-    """Lower bounds of stretches of ids with about equal rows."""
-    n = ids.count()
-    parts = min(MOST_STRETCHES, -(-n // rows_each))
-    if parts < 2:
-        return []
-    at = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    return sorted(set(at or []))
-
-
 def edited(docs: DataFrame, rows_each: int = STRETCH_ROWS) -> DataFrame:
     """(doc_id, text, bins, next_bins, edited_text): beside each text its edit, the
     last floor(n_chars / 2) code points replaced by the first as many (or all) of
@@ -89,15 +81,8 @@ def edited(docs: DataFrame, rows_each: int = STRETCH_ROWS) -> DataFrame:
     shuffled once.  Null texts are empty, null ids come first, rows that repeat an
     id are ordered by text; a single document follows itself."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"))
-    lows = _stretches(ids, rows_each)
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    if lows:                                               # binary search in the bounds
-        steps = [1 << i for i in reversed(range(len(lows).bit_length()))]
-        part = F.aggregate(F.lit(steps), F.lit(0), lambda a, st: F.when(
-            F.get(F.lit(lows).cast("array<bigint>"), a + st - 1) <= key, a + st).otherwise(a))
-    else:
-        part = F.lit(0)
+    key = id_key()
+    part = stretch_of(key, stretches(rows, rows_each))
     heads = {r["p"]: r["d"] for r in rows.select(part.alias("p"), key.alias("d")).groupBy("p").agg(F.min("d").alias("d")).collect()}
     order = sorted(heads)
     before = {heads[p]: order[i - 1] for i, p in enumerate(order)}     # head id -> the stretch it follows

@@ -8,8 +8,8 @@ symbols wherever they stand, except at their ends, where the context decides.
 
 What a window keeps in every context is its core: a round takes the first
 symbol off if it could join one before it, and the last if it could join one
-after it.  The anchor of a window is the first symbol of its core in the last
-round that leaves it one.  It depends on the window's words alone, so equal
+after it.  The anchor of a window is the symbol of least name in its core, in the
+last round that leaves it ``CORE`` symbols.  It depends on the window's words alone, so equal
 windows have equal anchors, and no repeat is missed.
 
 Occurrences of an anchor carry a digest of all the windows anchored there.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, mix, save, sized, word_hashes
 
-WINDOW, ROUNDS, RUN_ROUNDS = 50, 14, (0, 4)
+WINDOW, ROUNDS, RUN_ROUNDS, CORE = 50, 14, (0, 4), 1
 #: Words parsed at once; longer texts and batches are cut with an overlap that keeps every window whole.
 SEGMENT = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -53,37 +53,52 @@ def _spans(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((sums[stop] - sums[start]) * _powers(_INVERSE, len(h))[start], (stop - start).astype(np.uint64))
 
 
+def _least(name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Position of the least name among lo .. hi, the first of equals."""
+    pos, best = lo.copy(), name[lo]
+    for j in range(1, int((hi - lo).max(initial=0)) + 1):
+        k = np.minimum(lo + j, hi)
+        less = name[k] < best
+        pos, best = np.where(less, k, pos), np.where(less, name[k], best)
+    return pos
+
+
 def anchors(h: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every window inside one document: its first word, the name of its
     anchor and the anchor's first word.  ``doc`` is the document of each word."""
     n = len(h)
     p = np.flatnonzero(doc[:max(n - window + 1, 0)] == doc[window - 1:]) if n >= window else np.zeros(0, np.int64)
     name, at = mix(h, 1), np.arange(n)
-    lo, hi, alive = p.copy(), p + window - 1, np.arange(len(p))
-    best, where = name[lo], at[lo]
+    lo, hi, left = p.copy(), p + window - 1, np.arange(len(p))
+    best, where = np.zeros(len(p), np.uint64), np.zeros(len(p), np.int64)
+
+    def settle(which: np.ndarray) -> None:
+        pos = _least(name, lo[which], hi[which])
+        best[left[which]], where[left[which]] = name[pos], at[pos]
+
     for r in range(ROUNDS):
         if r in RUN_ROUNDS:
             head = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[at[1:]] != doc[at[:-1]])])
-            run = np.cumsum(head) - 1
-            first = np.flatnonzero(head)
+            to, first = np.cumsum(head) - 1, np.flatnonzero(head)
             length = np.diff(np.append(first, len(name))).astype(np.uint64)
-            name = np.where(length > 1, mix(mix(name[first], length), 2 * r + 2), name[first])
-            at, lo, hi = at[first], run[lo] + 1, run[hi] - 1   # either end may go on outside
+            name2, at2 = np.where(length > 1, mix(mix(name[first], length), 2 * r + 2), name[first]), at[first]
+            lo2, hi2 = to[lo] + 1, to[hi] - 1               # either end may go on outside
         else:
             right = (mix(name, 2 * r + 3) & np.uint64(1)).astype(bool)
-            lo, hi = lo + right[lo], hi - ~right[hi]
             joins = ~right[:-1] & right[1:] & (doc[at[:-1]] == doc[at[1:]])
             kept = np.concatenate([[True], ~joins])
             to = np.cumsum(kept) - 1
-            name = np.where(np.append(joins, False), mix(mix(name, np.append(name[1:], np.uint64(0))), 2 * r + 3), name)[kept]
-            ok = lo <= hi
-            lo, hi, alive = to[lo[ok]], to[hi[ok]], alive[ok]
-            at = at[kept]
-        ok = lo <= hi
-        lo, hi, alive = lo[ok], hi[ok], alive[ok]
-        if not len(alive):
+            pair = mix(mix(name, np.append(name[1:], np.uint64(0))), 2 * r + 3)
+            name2, at2 = np.where(np.append(joins, False), pair, name)[kept], at[kept]
+            lo2, hi2 = lo + right[lo], hi - ~right[hi]      # a right half may join one before, a left half one after
+            some = lo2 <= hi2
+            lo2, hi2 = np.where(some, to[np.minimum(lo2, hi)], 1), np.where(some, to[hi2], 0)
+        few = hi2 - lo2 + 1 < CORE
+        settle(few)
+        name, at, lo, hi, left = name2, at2, lo2[~few], hi2[~few], left[~few]
+        if not len(left):
             break
-        best[alive], where[alive] = name[lo], at[lo]
+    settle(np.ones(len(left), bool))
     return p, best, where
 
 
@@ -177,21 +192,21 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names = (seen.groupBy("name").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1"),
                                       F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
              .where("least < most").select("name", "least", (F.col("d0") != F.col("d1")).alias("open")))
-    mine = save(seen.join(sized(save(names, "names")), "name"), "shared")
+    mine = save(seen.join(save(names, "names"), "name"), "shared")
     one = mine.where("not open and doc_id > least").select("doc_id", "version", "a", (F.col("b") + window).alias("b"))
     # anchors with several stretches: the least document of each stretch, the rest is verified by it
     many = mine.where("open").drop("least")
-    least = many.groupBy("name", "digest").agg(F.min("doc_id").alias("least"))
+    least = save(many.groupBy("name", "digest").agg(F.min("doc_id").alias("least")), "least")
     many = save(many.join(least, ["name", "digest"]), "stretches")
     whole = many.where("doc_id > least").select("doc_id", "version", "a", (F.col("b") + window).alias("b"))
     asked = save(many.where("doc_id = least").groupBy("doc_id", "version")     # bounded by the document's own windows
                  .agg(F.collect_list(F.struct("name", "a", "b")).alias("asked")), "asked")
-    some = base.join(sized(asked.select("doc_id").distinct()), "doc_id", "left_semi")
+    some = base.join(sized(save(asked.select("doc_id").distinct(), "asked-ids")), "doc_id")   # texts of these documents only
     single = save(some.join(asked, ["doc_id", "version"]).select("doc_id", "version", "text", "asked")
                   .mapInArrow(_windows(window), f"name long, digest long, {_KEY}, a int"), "windows")
     first = (single.groupBy("name", "digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
              .where("most > least").select("name", "digest", "least"))
-    edge = (single.join(sized(save(first, "first")), ["name", "digest"]).where("doc_id > least")
+    edge = (single.join(save(first, "first"), ["name", "digest"]).where("doc_id > least")
             .select("doc_id", "version", "a", (F.col("a") + window).alias("b")))
     found = one.unionAll(whole).unionAll(edge)
     return save(found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))

@@ -9,8 +9,8 @@ frame, then the number of frames, a descriptor byte and a magic number.  A
 reader needs the table and the frames it is asked for, nothing else.
 
 Texts are tokenized where they are read; what is shuffled to the files is the
-compressed frames.  A task writes under its own name and renames at the end, so
-a repeated or lost attempt leaves at most an unnamed file.
+compressed frames.  A file is written under a name of its own and renamed at the
+end, so a repeated or lost attempt leaves at most a hidden file.
 """
 from __future__ import annotations
 
@@ -24,10 +24,11 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import id_key, stretch_of, stretches
+
 # fixed values of the zstandard seekable format
 SKIPPABLE, SEEK_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 HAS_CHECKSUM = 0x80
@@ -79,7 +80,7 @@ class Encoder:
                 yield b"".join(self.known[p] if p in self.known else self._encode([p])[0] for p in t)
 
 
-def frames(docs: DataFrame, tokenizer: str, end_id: int, batch: int = 64) -> DataFrame:
+def frames(docs: DataFrame, tokenizer: str, end_id: int, batch: int = 256) -> DataFrame:
     """(doc_id, n_tokens, frame, checksum): the ids of every text as a frame."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pack, end = Encoder(tokenizer), zstandard.ZstdCompressor(level=LEVEL), struct.pack("<I", end_id)
@@ -106,41 +107,61 @@ def _skippable(magic: int, body: bytes) -> bytes:
 
 
 MANIFEST = "file string, part int, first_doc long, n_docs long, n_tokens long"
-
-
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
+#: Documents of a file, about (more where the number of files would pass its bound).
+FILE_DOCS = 5000
+
+
+class _Writer:
+    """One file in the making, under a name of its own until it is closed."""
+
+    def __init__(self, path: str, part: int):
+        self.part, self.name = part, f"part-{part:06d}.zst"
+        self.path, (self.fs, self.root) = path, _open(path)
+        self.fs.create_dir(self.root, recursive=True)
+        self.tmp = f"{self.root}/.{self.name}-{uuid.uuid4().hex}"
+        self.out, self.ids, self.table, self.tokens = self.fs.open_output_stream(self.tmp), [], [], 0
+
+    def add(self, doc_id: int, n: int, frame: bytes, check: int) -> None:
+        self.out.write(frame)
+        self.ids.append(doc_id)
+        self.table.append(struct.pack("<III", len(frame), 4 * n, check))
+        self.tokens += n
+
+    def close(self) -> pa.RecordBatch:
+        self.out.write(_skippable(INDEX_MAGIC, np.array(self.ids, "<i8").tobytes()))
+        tail = struct.pack("<IBI", len(self.table), HAS_CHECKSUM, SEEK_MAGIC)
+        self.out.write(_skippable(SKIPPABLE, b"".join(self.table) + tail))
+        self.out.close()
+        self.fs.move(self.tmp, f"{self.root}/{self.name}")
+        return pa.RecordBatch.from_arrays(
+            [pa.array([f"{self.path}/{self.name}"]), pa.array([self.part], pa.int32()), pa.array([self.ids[0]], pa.int64()),
+             pa.array([len(self.ids)], pa.int64()), pa.array([self.tokens], pa.int64())],
+            names=["file", "part", "first_doc", "n_docs", "n_tokens"])
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_docs: int = FILE_DOCS) -> DataFrame:
     """Writes the files below ``path`` (any file system that all nodes reach) and
     returns the manifest: file, part (files in ascending doc_id), first_doc,
-    n_docs, n_tokens.  Null texts are empty: just the end id.  Null ids come first
-    and are kept as the least 64-bit number; an empty table makes no file."""
-    least = -(1 << 63)
-    rows = frames(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), "text"), tokenizer, end_id)
+    n_docs, n_tokens; the files are written when it is.  Null texts are empty: just
+    the end id.  Null ids come first and are kept as the least 64-bit number; rows
+    that repeat an id are ordered by their ids' bytes; an empty table makes no file."""
+    part = stretch_of(F.col("doc_id"), stretches(docs, file_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        fs, root = _open(path)
-        name, tmp = f"{root}/part-{part:06d}.zst", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
-        out, ids, table, tokens = None, [], [], 0
+        out = None
         for b in batches:
-            for d, n, frame, check in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if out is None:
-                    fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(tmp)
-                out.write(frame)
-                ids.append(d)
-                table.append(struct.pack("<III", len(frame), 4 * n, check))
-                tokens += n
+            for p, d, n, frame, check in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if out is not None and out.part != p:
+                    yield out.close()
+                    out = None
+                out = out or _Writer(path, p)
+                out.add(d, n, frame, check)
         if out is not None:
-            out.write(_skippable(INDEX_MAGIC, np.array(ids, "<i8").tobytes()))
-            out.write(_skippable(SKIPPABLE, b"".join(table) + struct.pack("<IBI", len(table), HAS_CHECKSUM, SEEK_MAGIC)))
-            out.close()
-            fs.move(tmp, name)
-            yield pa.RecordBatch.from_pylist(
-                [{"file": f"{path}/part-{part:06d}.zst", "part": part, "first_doc": ids[0], "n_docs": len(ids), "n_tokens": tokens}],
-                schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("first_doc", pa.int64()),
-                                  ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
-
-    return (rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "checksum", "n_tokens", "frame")
+            yield out.close()
+
+    made = frames(docs.select(id_key().alias("doc_id"), "text"), tokenizer, end_id).select(
+        part.alias("part"), "doc_id", "n_tokens", "frame", "checksum")
+    return (made.repartition("part").sortWithinPartitions("part", "doc_id", "checksum", "n_tokens", "frame")
             .mapInArrow(run, MANIFEST))
 
 
