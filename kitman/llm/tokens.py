@@ -21,6 +21,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -33,61 +34,116 @@ from .common import id_key, stretch_of, stretches
 SKIPPABLE, SEEK_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 HAS_CHECKSUM = 0x80
 LEVEL = 1
+#: Characters encoded at once: a batch encodes each of its distinct words once.
+BATCH_CHARS = 8_000_000
 #: Bounds of a worker's cache of encoded pieces.
-CACHE_PIECES, CACHE_BYTES = 300_000, 48
-_TAIL = b".,;:!?*$#%&()[]\"|-"
+CACHE_PIECES, CACHE_BYTES = 500_000, 48
+_TAIL = b".,;:!?*$#%&()[]\"|-"          # no apostrophe: it starts contractions
+
+
+class Recent:
+    """Remembered results; the half not asked for lately is forgotten."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, wanted: set[bytes]) -> dict[bytes, bytes]:
+        got, new, young, old = {}, [], self.young, self.old
+        for p in wanted:
+            ids = young.get(p)
+            if ids is None:
+                ids = old.get(p)
+                if ids is None:
+                    new.append(p)
+                    continue
+                young[p] = ids
+            got[p] = ids
+        if new:
+            made = dict(zip(new, self.make(new)))
+            got.update(made)
+            young.update((p, x) for p, x in made.items() if len(p) <= CACHE_BYTES)
+        if len(young) > self.most // 2:
+            self.young, self.old = {}, young
+        return got
 
 
 class Encoder:
-    """Ids of whole texts; pieces between ASCII white space are encoded on their
-    own and remembered.  Exact for tokenizers that drop white space and never
-    join across it: the piece is what the tokenizer itself would cut."""
+    """Ids of whole texts, piece by piece between ASCII white space.
+
+    Made for tokenizers that drop white space and cut between letters and marks:
+    a word of letters is encoded once and remembered, a tail of ASCII marks apart
+    from it.  What was not asked for lately is forgotten."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.lowers = self._each([b"QxZ"]) == self._each([b"qxz"])
+        self.words, self.others, self.pieces = (
+            Recent(f, CACHE_PIECES) for f in (self._words, self._each, self._pieces))
+
+    def _each(self, pieces: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Encode the unknown pieces of a batch at once: letters and a tail of
-        ASCII marks apart, since the tokenizer always cuts there."""
-        new = {p for t in texts for p in t if p not in self.known}
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = {p for t in texts for p in t}
-        split = {}
-        for p in new:
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters at once: joined by spaces and cut where a word ends."""
+        texts = [b" ".join(words[i:i + 500]).decode() for i in range(0, len(words), 500)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(words):                          # some word is not one run of letters to the tokenizer
+            return self._each(words)
+        raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+        return [raw[x:y] for x, y in zip(at, at[1:])]
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """A word of letters and a tail of ASCII marks apart, anything else as it is."""
+        words, others, split = set(), set(), []
+        for p in pieces:
             core = p.rstrip(_TAIL)
-            split[p] = (core.lower(), p[len(core):]) if core.isalpha() else (p, b"")   # isalpha: ASCII letters only
-        parts = [p for p in {x for c in split.values() for x in c if x} if p not in self.known]
-        self.known.update(zip(parts, self._encode(parts)))
-        for p, (core, tail) in split.items():
-            if p not in self.known:
-                self.known[p] = self.known.get(core, b"") + self.known.get(tail, b"")
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        cut = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.learn([[p for p in t if len(p) <= CACHE_BYTES] for t in cut])
-        for t in cut:
-            if all(map(self.known.__contains__, t)):
-                yield b"".join(map(self.known.__getitem__, t))
+            if core and (core.isalpha() or core.decode().isalpha()):
+                core, tail = core.lower() if self.lowers else core, p[len(core):]
+                words.add(core)
             else:
-                yield b"".join(self.known[p] if p in self.known else self._encode([p])[0] for p in t)
+                core, tail = b"", p
+            others.add(tail)
+            split.append((core, tail))
+        ids = {b"": b"", **self.words(words), **self.others(others)}
+        return [ids[core] + ids[tail] for core, tail in split]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        cut = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        whole = self.pieces(set().union(*cut))
+        return [b"".join(map(whole.__getitem__, t)) for t in cut]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a worker, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-def frames(docs: DataFrame, tokenizer: str, end_id: int, batch: int = 256) -> DataFrame:
+def frames(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, n_tokens, frame, checksum): the ids of every text as a frame."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack, end = Encoder(tokenizer), zstandard.ZstdCompressor(level=LEVEL), struct.pack("<I", end_id)
+        encode, pack, end = encoder(tokenizer).encode, zstandard.ZstdCompressor(level=LEVEL), struct.pack("<I", end_id)
         for b in batches:
-            for at in range(0, b.num_rows, batch):
-                part = b.slice(at, batch)
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+            chars = np.asarray(pc.fill_null(pc.utf8_length(b.column(1)), 0))
+            for rows in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(np.cumsum(chars) // BATCH_CHARS)) + 1):
+                if not len(rows):
+                    continue
+                part = b.slice(int(rows[0]), len(rows))
+                ids = [x + end for x in encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
                      pa.array([pack.compress(x) for x in ids], pa.binary()),
