@@ -48,10 +48,11 @@ def _hashes(ws: list[bytes], width: int) -> np.ndarray:
     """Hash of each shingle; fewer words than ``width`` make one shingle of all."""
     h = word_hashes(ws)
     w = min(width, len(ws))
-    out = np.full(_count(len(ws), width), np.uint64(w))
-    for i in range(w if len(ws) else 0):
-        out = mix(out, h[i:i + len(out)])
-    return out
+    out = np.zeros(_count(len(ws), width), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(w if len(ws) else 0):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i:i + len(out)]
+    return mix(out, w)
 
 
 @dataclass
