@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from kitman.plans import catalog  # noqa: E402
-from kitman.plans.release import FIXED_ISSUED_AT, extract, release  # noqa: E402
+from kitman.plans.release import DEMO_KEY, FIXED_ISSUED_AT, extract, release  # noqa: E402
 from kitman.session import local_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -31,16 +31,16 @@ def q_detect(spark):
 
 
 def q_release(spark):
-    return release(extract(catalog.documents(spark, SF_DIR)), None, issued_at=FIXED_ISSUED_AT)
+    return release(extract(catalog.documents(spark, SF_DIR)), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
 
 
 def q_release_corpus(spark):
-    return release(extract(catalog.corpus(spark, SF_DIR)), None, issued_at=FIXED_ISSUED_AT)
+    return release(extract(catalog.corpus(spark, SF_DIR)), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
 
 
 def q_decisions_release(spark):
-    return release(catalog.email_extracts(spark, SF_DIR), catalog.labels_decisions(spark, SF_DIR),
-                   issued_at=FIXED_ISSUED_AT)
+    return release(catalog.detected(spark, SF_DIR), catalog.labels_decisions(spark, SF_DIR),
+                   key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
 
 
 def q_value_redaction(spark):

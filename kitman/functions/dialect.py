@@ -18,6 +18,7 @@ original, so hit text and byte offsets come straight out of the split.
 """
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from .. import rules as R
@@ -89,6 +90,8 @@ def java_pattern(rule: R.Rule) -> str:
     idx = py.rfind("(")
     assert py[idx:idx + 3] != "(?:", "label value group must be last"
     prefix, value = py[:idx], py[idx:]
+    # under IGNORECASE Python's A-Z also takes the Kelvin sign and dotted capital I
+    value = value.replace("[A-Z0-9", r"[A-Z\x{212A}\x{130}0-9")
     return "(?iu)(" + _translate(prefix, False) + ")" + _translate(value, False)
 
 
@@ -98,20 +101,15 @@ def marker_replacement(rule: R.Rule) -> str:
     return "$1" + R.SENTINEL_OPEN + "$2" + R.SENTINEL_CLOSE
 
 
-def _java_literal(word: str) -> str:
-    return "\\Q" + word + "\\E"
+def either_order(phrase: str, quote=lambda w: "\\Q" + w + "\\E", gap: str = WS + "+") -> str:
+    """Regex group for the words of a phrase as written or last to first."""
+    words = tuple(map(quote, phrase.split()))
+    orders = dict.fromkeys([words, words[::-1]])             # a single word has one order
+    return "(?:" + "|".join(gap.join(o) for o in orders) + ")"
 
 
-def either_order(phrase: str) -> str:
-    """Phrase → regex that matches its words forward or fully reversed."""
-    words = [_java_literal(w) for w in phrase.split()]
-    if len(words) == 1:
-        return words[0]
-    return "(?:" + f"{WS}+".join(words) + "|" + f"{WS}+".join(reversed(words)) + ")"
-
-
-def line_label_pattern(phrases: list[str]) -> str:
-    return "|".join(either_order(p) for p in phrases)
+def line_label_pattern(phrases: list[str], quote=None) -> str:
+    return "|".join(either_order(p, quote) if quote else either_order(p) for p in phrases)
 
 
 def line_label_union() -> str:
@@ -133,3 +131,17 @@ def label_gate(rule: R.Rule) -> str:
         if depth == 0:
             break
     return "(?iu)" + _translate(py[:i], False)
+
+
+def label_words(rules) -> list[str]:
+    """Lower-case literal heads of the rules' label alternatives: a text without
+    any of them matches none of the rules."""
+    heads = []
+    for rule in rules:
+        py = rule.python_pattern
+        inner = py[py.index("(?:") + 3:]
+        for alternative in inner.replace("(?:no\\.?|number)", "").replace("(?:", "").split(")")[0].split("|"):
+            head = re.match("[a-z ]+", alternative)
+            if head is not None:
+                heads.append(head[0].rstrip())
+    return sorted(h for h in set(heads) if not any(o != h and o in h for o in heads))

@@ -28,8 +28,8 @@ _EDGE = f"[{WS_INNER}{R.VALUE_EDGE_SEPARATORS}]+"
 
 # T03 -------------------------------------------------------------------------
 def clean_value(value) -> Column:
-    """Drop bidi marks, collapse whitespace runs, trim whitespace and
-    separator runs from both edges."""
+    """Text without bidi marks, its whitespace runs single spaces, its edges
+    free of whitespace and separators."""
     v = strip_bidi(value)
     v = F.regexp_replace(v, f"{WS}+", " ")
     return F.regexp_replace(v, f"\\A{_EDGE}|{_EDGE}\\z", "")
@@ -71,9 +71,10 @@ def span_id(document_id, start, end, kind, text) -> Column:
 
 
 def document_id_from_key(key, width: int = R.ID_HEX_WIDTH) -> Column:
-    """``doc_`` + zero-padded lower-case hex of an integer key (table input)."""
-    return F.concat(F.lit(R.DOC_ID_PREFIX),
-                    F.lpad(F.lower(F.hex(_c(key).cast("long"))), width, "0"))
+    """``doc_`` + lower-case hex of an integer key (table input), zero-padded to
+    ``width`` digits; keys that need more digits keep them all."""
+    digits = F.lower(F.hex(_c(key).cast("long")))
+    return F.concat(F.lit(R.DOC_ID_PREFIX), F.when(F.char_length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits))
 
 
 # T08 --------------------------------------------------------------------------
@@ -91,8 +92,8 @@ def guess_kind(label) -> Column:
 
 # T09 --------------------------------------------------------------------------
 def redaction_fragments(value) -> Column:
-    """Whole value first, then each separator-delimited part (stripped,
-    length >= 3), order preserving, duplicates removed."""
+    """Distinct pieces of a value worth finding: itself, then its parts of 3 or
+    more characters."""
     v = _c(value)
     parts = F.transform(F.split(v, R.FRAGMENT_SPLIT, -1), lambda p: strip_ws(p))
     parts = F.filter(parts, lambda p: F.char_length(p) >= R.MIN_VALUE_LEN)

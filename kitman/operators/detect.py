@@ -12,6 +12,9 @@ document that cannot match skips the rule's ``regexp_replace``/``split``.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,17 +78,18 @@ _SPAN_ARRAY = ("array<struct<start:int,end:int,rule:int,seq:int,bstart:int,bend:
 
 
 HAS_ARABIC = f"[{R.ARABIC_RANGE}]"
+FOLDS_TO_ASCII = "[\u017f\u0130\u0131\u212a]"
 
 
 def family_gate(family: str, text: Column) -> Column | None:
     """One cheap scan that every rule of a family implies: each Arabic label
-    contains an Arabic-block letter; the English labels are merged into one
-    alternation so a document is scanned once, not once per rule."""
+    contains an Arabic-block letter, each English one a literal word of the
+    lower-cased text (or a letter that folds to ASCII only in a regex)."""
     if family == "label_ar":
         return text.rlike(HAS_ARABIC)
     if family == "label_en":
-        heads = [dialect.label_gate(r)[len("(?iu)"):] for r in _RULES if r.family == "label_en"]
-        return text.rlike("(?iu)" + "|".join(heads))
+        heads = dialect.label_words(r for r in _RULES if r.family == "label_en")
+        return let(F.lower(text), lambda low: reduce(or_, (low.contains(h) for h in heads))) | text.rlike(FOLDS_TO_ASCII)
     return None
 
 

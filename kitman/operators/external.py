@@ -73,26 +73,34 @@ def external_text(parsed: Column) -> Column:
 def merge_spans(a: Column, b: Column) -> Column:
     """A then the spans of B whose (kind, text) is new to A and to the
     earlier part of B.  Duplicates inside A are kept; no overlap pass."""
-    def body(A: Column, B: Column) -> Column:
-        def fresh(x: Column, i: Column) -> Column:
-            same = lambda y: (y["kind"] == x["kind"]) & (y["text"] == x["text"])
-            return ~F.exists(A, same) & ~F.exists(F.slice(B, 1, i), same)
-        return F.concat(A, F.filter(B, fresh))
-    return let(a, lambda A: let(b, lambda B: body(A, B)))
+    def tagged(spans: Column, part: int) -> Column:
+        return F.transform(spans, lambda x, i: F.struct(
+            x["kind"].alias("kind"), x["text"].alias("text"), F.lit(part).alias("part"), i.alias("i"), x.alias("span")))
+
+    def keep(S: Column) -> Column:        # sorted: equal (kind, text) lie together, A's before B's
+        kept = F.filter(S, lambda x, i: F.when((x["part"] == 0) | (i == 0), F.lit(True)).otherwise(
+            ~(x["kind"].eqNullSafe(S[i - 1]["kind"]) & x["text"].eqNullSafe(S[i - 1]["text"]))))
+        return F.transform(F.sort_array(F.transform(kept, lambda x: F.struct(
+            x["part"].alias("part"), x["i"].alias("i"), x["span"].alias("span")))), lambda x: x["span"])
+    return let(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), keep)
 
 
 def extract_with_external(docs: DataFrame, text_col: str = "text",
                           response_col: str = "response") -> DataFrame:
     """Local detection on the own text, merged with detection on the
     external text (when non-empty and different) and the external
-    candidates.  An unusable response (null after parsing) → local only."""
+    candidates.  Spans of the external text are value-only (all offsets 0): they
+    name values, not places in the own text.  An unusable response (null after
+    parsing) → local only."""
     staged = docs.withColumns({
         "_parsed": parse_response(F.col(response_col)),
         "_own": with_span_lang(detect_column(text_col)),
     }).withColumn("_ext_text", external_text(F.col("_parsed")))
     own, ext_text, parsed = F.col("_own"), F.col("_ext_text"), F.col("_parsed")
-    from_ext_text = F.when((F.char_length(ext_text) > 0) & (ext_text != F.col(text_col)),
-                           with_span_lang(detect_column("_ext_text"))).otherwise(F.slice(own, 1, 0))
+    nowhere = lambda s: s.withField("start", F.lit(0)).withField("end", F.lit(0)).withField(
+        "bstart", F.lit(0)).withField("bend", F.lit(0))
+    from_ext_text = F.when((F.char_length(ext_text) > 0) & (ext_text != F.coalesce(F.col(text_col), F.lit(""))),
+                           F.transform(with_span_lang(detect_column("_ext_text")), nowhere)).otherwise(F.slice(own, 1, 0))
     cands = F.transform(external_candidates(parsed),
                         lambda s: s.withField("lang", span_language(s["text"])))
     # malformed JSON is the failed remote call → local only; well-formed but

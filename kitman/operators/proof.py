@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.arrays import let
 from ..functions.text import iso_utc, sha256_hex, verify_message
+from ..sources.intake import valid_document_id
 
 PROOF_FIELDS = ["document_id", "issued_at", "issued_at_iso", "original_sha256", "product",
                 "redacted_sha256", "redaction_count", "redactions"]
@@ -50,16 +52,20 @@ def build_proof(document_id: Column, original: Column, redacted: Column, spans:
 
 
 def _q(c: Column) -> Column:
-    return F.concat(F.lit('"'), c, F.lit('"'))
+    """A JSON string; most need no escape, which one scan tells."""
+    escaped = F.substring(F.to_json(F.array(c)), F.lit(2), F.char_length(F.to_json(F.array(c))) - 2)
+    return F.when(c.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
 
 
 def canonical_json(proof: Column) -> Column:
-    """Key-sorted JSON text of a proof struct; null if any field is missing."""
+    """Key-sorted JSON text of a proof struct; null if any field, or any field of
+    any item, is missing (``array_join`` would pass over a null item)."""
     item = lambda r: F.concat(
         F.lit('{"confidence": '), r["confidence"].cast("string"),
         F.lit(', "kind": '), _q(r["kind"]), F.lit(', "lang": '), _q(r["lang"]),
         F.lit(', "length": '), r["length"].cast("string"), F.lit("}"))
-    reds = F.array_join(F.transform(proof["redactions"], item), ", ")
+    reds = let(F.transform(proof["redactions"], item), lambda items: F.when(
+        ~F.exists(items, lambda x: x.isNull()), F.array_join(items, ", ")))
     return F.concat(
         F.lit('{"document_id": '), _q(proof["document_id"]),
         F.lit(', "issued_at": '), proof["issued_at"].cast("string"),
@@ -112,12 +118,16 @@ def verify(proofs: DataFrame, key: bytes) -> DataFrame:
 
 
 def verify_requests(requests: DataFrame, proofs: DataFrame, key: bytes) -> DataFrame:
-    """O18 lookup by id: requested ids with no stored proof → found = false."""
+    """O18 lookup by id: malformed ids (S05) are rejected before the lookup;
+    ids with no stored proof → found = false."""
+    ask = requests.select("document_id", valid_document_id(F.col("document_id")).alias("well_formed"))
     v = verify(proofs, key)
-    return (requests.select("document_id").join(v, "document_id", "left")
-            .withColumn("found", F.col("valid").isNotNull())
-            .withColumn("valid", F.coalesce("valid", F.lit(False)))
-            .withColumn("detail", F.coalesce("detail", F.lit("Not found."))))
+    return (ask.join(v, "document_id", "left")
+            .withColumn("found", F.col("valid").isNotNull() & F.col("well_formed"))
+            .withColumn("valid", F.coalesce("valid", F.lit(False)) & F.col("well_formed"))
+            .withColumn("detail", F.when(~F.col("well_formed"), "Invalid document id.")
+                        .otherwise(F.coalesce("detail", F.lit("Not found."))))
+            .drop("well_formed"))
 
 
 def tamper(proofs: DataFrame, count: int = R.TAMPER_COUNT) -> DataFrame:

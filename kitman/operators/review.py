@@ -17,14 +17,15 @@ SPAN_COLUMNS = ["document_id", "span_id", "kind", "text", "start", "end", "bstar
                 "confidence", "lang", "approved", "emit_order"]
 
 
-def spans_table(extracts: DataFrame, doc_col: str = "document_id") -> DataFrame:
-    """Flat spans (one row per span) from per-document span arrays.
+def spans_table(extracts: DataFrame, doc_col: str = "document_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Flat spans (one row per span) from per-document span arrays, with
+    the columns of the document named in ``keep``.
     Every span starts approved (the reviewer unticks)."""
-    flat = (extracts.select(F.col(doc_col).alias("document_id"),
+    flat = (extracts.select(F.col(doc_col).alias("document_id"), *keep,
                             F.posexplode("spans").alias("emit_order", "s"))
-            .select("document_id", "emit_order", "s.*"))
+            .select("document_id", *keep, "emit_order", "s.*"))
     return flat.select(
-        "document_id",
+        "document_id", *keep,
         span_id(F.col("document_id"), F.col("start"), F.col("end"), F.col("kind"), F.col("text")).alias("span_id"),
         "kind", "text", "start", "end", "bstart", "bend", "confidence", "lang",
         F.lit(True).alias("approved"), F.col("emit_order").cast("int").alias("emit_order"))
@@ -37,16 +38,17 @@ def approved_only(spans: DataFrame) -> DataFrame:
 
 # O06 --------------------------------------------------------------------------
 def latest_decisions(decisions: DataFrame) -> DataFrame:
-    """Last decision per (document, span) wins, ordered by (decided_at, ord).
-    Map-side partial aggregation keeps the shuffle at one row per key per task."""
+    """Last decision per (document, span) wins, ordered by (decided_at, ord); of
+    equal ones the approval, so that a tie redacts.  Map-side partial aggregation
+    keeps the shuffle at one row per key per task."""
     return (decisions.groupBy("document_id", "span_id")
-            .agg(F.max_by("approved", F.struct("decided_at", "ord")).alias("approved")))
+            .agg(F.max_by("approved", F.struct("decided_at", "ord", "approved")).alias("approved")))
 
 
 # O07 --------------------------------------------------------------------------
 def unknown_document_decisions(decisions: DataFrame, documents: DataFrame) -> DataFrame:
     """Decisions naming a document we do not hold: the dead-letter rows."""
-    return decisions.join(documents.select("document_id").distinct(), "document_id", "left_anti")
+    return decisions.join(documents.select("document_id"), "document_id", "left_anti")
 
 
 # O05 --------------------------------------------------------------------------
@@ -80,20 +82,24 @@ def review_counts(documents: DataFrame, spans: DataFrame) -> DataFrame:
 
 # O21 --------------------------------------------------------------------------
 def review_list(spans: DataFrame, ui_lang: str | Column = "en") -> DataFrame:
+    """Spans as the reviewer sees them.  The spans of a document come in the
+    order of its span array, by start; documents are not sorted among themselves."""
     ui = F.lit(ui_lang) if isinstance(ui_lang, str) else ui_lang
     return (spans.select(
         "document_id", "span_id", "start", "kind",
         kind_label(F.col("kind"), ui).alias("kind_label"),
         "text", "lang", "approved",
         confidence_percent(F.col("confidence")).alias("confidence_pct"),
-        low_confidence(F.col("confidence")).alias("low_confidence"))
-        .orderBy("document_id", "start"))
+        low_confidence(F.col("confidence")).alias("low_confidence")))
 
 
-def decisions_as_map(decisions: DataFrame, co_partitions: int | None = None) -> DataFrame:
+def decisions_as_map(decisions: DataFrame, co_partitions: int | None = None,
+                     known: DataFrame | None = None) -> DataFrame:
     """Latest decisions folded to one sorted ``(span_id, approved)`` array per
     document, for applying inside the document row (no span explode/regroup).
-    Sorted so each span finds its decision by binary search.
+    Sorted so each span finds its decision by binary search.  ``known``: the
+    stored spans (document_id, span_id); decisions that name none of them are
+    dropped first, which bounds an array by the document's own spans.
 
     ``co_partitions``: bucket count of a ``document_id``-bucketed extracts
     table.  Decisions are then hash-partitioned once by ``document_id`` into
@@ -103,7 +109,10 @@ def decisions_as_map(decisions: DataFrame, co_partitions: int | None = None) ->
     document holds a large share of all decisions."""
     if co_partitions:
         decisions = decisions.repartition(co_partitions, "document_id")
-    return (latest_decisions(decisions).groupBy("document_id")
+    latest = latest_decisions(decisions)
+    if known is not None:
+        latest = latest.join(known.select("document_id", "span_id"), ["document_id", "span_id"], "left_semi")
+    return (latest.groupBy("document_id")
             .agg(F.sort_array(F.collect_list(F.struct(F.col("span_id").alias("k"),
                                                        F.col("approved").alias("v")))).alias("decided")))
 

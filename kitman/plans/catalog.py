@@ -23,7 +23,7 @@ from ..operators.spans import dedupe_exact_offsets, line_label_hits, resolve_ove
 from ..sources import intake as I
 from ..sources.corpus import contract_corpus_from, load
 from ..session import spread
-from .release import DEMO_KEY, FIXED_ISSUED_AT, extract, release
+from .release import DEMO_KEY, FIXED_ISSUED_AT, extract, release, release_external
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,36 +60,34 @@ def line_query(kind: str) -> Query:
     return q
 
 
-# -- email-span working set for the review / release operators ------------------
-# Review and release operators are exercised on the e-mail hits of the whole
-# ``documents`` table (real data; the detector itself is tested separately).
+# -- working set of the review / release operators -------------------------------
+# They run on the full detection of the contract corpus: several spans of most
+# kinds a document.
 
-EMAIL = RULES_BY_ID["structured:email"]
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(corpus(spark, sf_dir))
 
 
-def email_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    return d.withColumn("spans", with_span_lang(dedupe_exact_offsets(rule_hits_of("text", EMAIL))))
-
-
-def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.spans_table(email_extracts(spark, sf_dir)).join(
-        documents(spark, sf_dir).select("document_id", "doc_id"), "document_id")
+def detected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.spans_table(detected(spark, sf_dir), keep=("doc_id",))
 
 
 def labels_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions for the spans of every labelled document, derived from
-    ``labels``: first approve = (quality = 1); documents flagged toxic get a
-    later review with approve = (toxic = 0), which wins."""
+    ``labels``: first approve = (quality = 1), sent twice; documents flagged toxic
+    get a later review with approve = (toxic = 0), which wins; where 7 divides the
+    id two reviewers disagree at the same moment; and each span brings a decision
+    for a span that does not exist."""
     lab = load(spark, sf_dir, "labels")
-    sp = email_spans(spark, sf_dir).select("doc_id", "document_id", "span_id")
-    j = sp.join(lab, "doc_id")
-    first = j.select("document_id", "span_id", (F.col("quality") == 1).alias("approved"),
-                     F.lit(1).cast("long").alias("decided_at"), F.lit(1).alias("ord"))
-    later = j.filter(F.col("toxic") == 1).select(
-        "document_id", "span_id", (F.col("toxic") == 0).alias("approved"),
-        F.lit(2).cast("long").alias("decided_at"), F.lit(1).alias("ord"))
-    return first.unionByName(later)
+    one = lambda span, approved, at: F.struct(
+        span.alias("span_id"), approved.alias("approved"), F.lit(at).cast("long").alias("decided_at"), F.lit(1).alias("ord"))
+    own, quality, toxic = F.col("span_id"), F.col("quality") == 1, F.col("toxic") == 0
+    sent = F.array(
+        one(own, quality, 1), one(own, quality, 1), F.when(F.col("toxic") == 1, one(own, toxic, 2)),
+        F.when(F.col("doc_id") % 7 == 0, one(own, F.lit(True), 3)), F.when(F.col("doc_id") % 7 == 0, one(own, F.lit(False), 3)),
+        one(F.lit("pii_nowhere"), F.lit(False), 9))
+    j = detected_spans(spark, sf_dir).select("doc_id", "document_id", "span_id").join(lab, "doc_id")
+    return j.select("document_id", F.explode(F.array_compact(sent)).alias("d")).select("document_id", "d.*")
 
 
 # -- queries ----------------------------------------------------------------------
@@ -129,7 +127,7 @@ def q_t09_fragments(spark, sf_dir):
 
 
 def q_t10_value_preview(spark, sf_dir):
-    sp = email_spans(spark, sf_dir)
+    sp = detected_spans(spark, sf_dir)
     return sp.select("document_id", "span_id", T.value_preview(F.col("text")).alias("preview"))
 
 
@@ -154,9 +152,8 @@ def line_spans(spark, sf_dir) -> DataFrame:
 
 
 def q_t16_review_flags(spark, sf_dir):
-    sp = line_spans(spark, sf_dir)
-    return sp.select("document_id", "span_id", T.confidence_percent(F.col("confidence")).alias("pct"),
-                     T.low_confidence(F.col("confidence")).alias("low"))
+    return q_o13_extract_external(spark, sf_dir).select(
+        "doc_id", "n", T.confidence_percent(F.col("confidence")).alias("pct"), T.low_confidence(F.col("confidence")).alias("low"))
 
 
 def q_t17_kind_label(spark, sf_dir):
@@ -166,7 +163,7 @@ def q_t17_kind_label(spark, sf_dir):
 
 
 def q_t18_redaction_bar(spark, sf_dir):
-    sp = email_spans(spark, sf_dir)
+    sp = detected_spans(spark, sf_dir)
     return sp.select("document_id", "span_id", T.redaction_bar(F.col("kind"), F.col("text")).alias("bar"))
 
 
@@ -185,26 +182,25 @@ def q_o01_dedupe(spark, sf_dir):
 
 
 def q_o02_resolve(spark, sf_dir):
-    """Overlap resolution over the raw hits of all structured rules on the
-    contract corpus (phone hits overlap national ids, IBANs and cards)."""
+    """Overlap resolution over the raw hits of all rules on the contract corpus
+    (phone hits overlap national ids, IBANs and cards, labels overlap them all)."""
     d = corpus(spark, sf_dir)
     from ..operators.detect import candidate_spans
-    return _hits(d, resolve_overlaps(dedupe_exact_offsets(
-        candidate_spans(F.col("text"), families=("structured",)))))
+    return _hits(d, resolve_overlaps(dedupe_exact_offsets(candidate_spans(F.col("text")))))
 
 
 def q_o03_redact(spark, sf_dir):
-    e = email_extracts(spark, sf_dir)
+    e = detected(spark, sf_dir)
     return e.select("doc_id", redact_column(F.col("text"), F.col("spans"), None).alias("redacted"))
 
 
 def q_o04_approved(spark, sf_dir):
-    sp = V.apply_decisions(email_spans(spark, sf_dir), labels_decisions(spark, sf_dir))
+    sp = V.apply_decisions(detected_spans(spark, sf_dir), labels_decisions(spark, sf_dir))
     return V.approved_only(sp).select("document_id", "span_id", "start", "end")
 
 
 def q_o05_apply_decisions(spark, sf_dir):
-    sp = V.apply_decisions(email_spans(spark, sf_dir), labels_decisions(spark, sf_dir))
+    sp = V.apply_decisions(detected_spans(spark, sf_dir), labels_decisions(spark, sf_dir))
     return sp.select("document_id", "span_id", "start", "approved")
 
 
@@ -221,24 +217,24 @@ def q_o07_unknown_documents(spark, sf_dir):
 
 
 def q_o08_counts(spark, sf_dir):
-    sp = V.apply_decisions(email_spans(spark, sf_dir), labels_decisions(spark, sf_dir))
-    return V.review_counts(documents(spark, sf_dir), sp)
+    sp = V.apply_decisions(detected_spans(spark, sf_dir), labels_decisions(spark, sf_dir))
+    return V.review_counts(corpus(spark, sf_dir), sp)
 
 
 def q_o09_proof(spark, sf_dir):
-    r = release(email_extracts(spark, sf_dir), labels_decisions(spark, sf_dir), issued_at=FIXED_ISSUED_AT)
+    r = release(detected(spark, sf_dir), labels_decisions(spark, sf_dir), key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
     return r.select("document_id", "redacted_count", F.col("proof.original_sha256").alias("original_sha256"),
                     F.col("proof.redacted_sha256").alias("redacted_sha256"),
                     F.col("proof.issued_at_iso").alias("issued_at_iso"), "body_json")
 
 
 def q_o10_seal(spark, sf_dir):
-    r = release(email_extracts(spark, sf_dir), labels_decisions(spark, sf_dir), issued_at=FIXED_ISSUED_AT)
+    r = release(detected(spark, sf_dir), labels_decisions(spark, sf_dir), key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
     return r.select("document_id", "seal", "key_id")
 
 
 def _sealed(spark, sf_dir):
-    r = release(email_extracts(spark, sf_dir), labels_decisions(spark, sf_dir), issued_at=FIXED_ISSUED_AT)
+    r = release(detected(spark, sf_dir), labels_decisions(spark, sf_dir), key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
     return r.select("document_id", "proof", "seal")
 
 
@@ -247,12 +243,30 @@ def q_o18_verify(spark, sf_dir):
 
 
 def q_o19_tamper(spark, sf_dir):
-    return P.verify(P.tamper(_sealed(spark, sf_dir)), DEMO_KEY)
+    """One altered copy of each proof per field and per way to alter the items."""
+    sealed = _sealed(spark, sf_dir)
+    proof, items = F.col("proof"), F.col("proof.redactions")
+    item = lambda **k: F.struct(*(F.lit(k.get(n, v)).cast(t).alias(n) for n, v, t in (
+        ("confidence", 0.9, "double"), ("kind", "name", "string"), ("lang", "en", "string"), ("length", 9, "int"))))
+    ways = {
+        "count": proof.withField("redaction_count", F.lit(R.TAMPER_COUNT)),
+        "text_field": proof.withField("product", F.concat(F.col("proof.product"), F.lit('", "x": "'))),
+        "time": proof.withField("issued_at", F.col("proof.issued_at") + 1),
+        "null_field": proof.withField("original_sha256", F.lit(None).cast("string")),
+        "added": proof.withField("redactions", F.concat(items, F.array(item()))),
+        "added_null": proof.withField("redactions", F.concat(items, F.array(item(kind=None)))),
+        "dropped": F.when(F.size(items) > 0, proof.withField("redactions", F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0)))))
+        .otherwise(proof.withField("document_id", F.lit("doc_0000000000"))),
+    }
+    copies = F.explode(F.array(*(F.struct(F.lit(w).alias("way"), p.alias("proof")) for w, p in ways.items())))
+    altered = sealed.select("document_id", "seal", copies.alias("c")).select("document_id", "seal", "c.*")
+    valid = P.seal_valid(F.col("proof"), F.col("seal"), DEMO_KEY)
+    return altered.select("document_id", valid.alias("valid"), T.verify_message(valid).alias("detail"), "way")
 
 
 def q_o20_reject_all(spark, sf_dir):
-    sp = V.decide_all(email_spans(spark, sf_dir), False)
-    return V.review_counts(documents(spark, sf_dir), sp)
+    sp = V.decide_all(detected_spans(spark, sf_dir), False)
+    return V.review_counts(corpus(spark, sf_dir), sp)
 
 
 def q_o21_review_list(spark, sf_dir):
@@ -260,12 +274,12 @@ def q_o21_review_list(spark, sf_dir):
 
 
 def q_o22_release(spark, sf_dir):
-    r = release(extract(documents(spark, sf_dir)), None, issued_at=FIXED_ISSUED_AT)
+    r = release(extract(documents(spark, sf_dir)), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
     return r.select("document_id", "redacted_count", "redacted_preview", "seal")
 
 
 def q_o22_release_corpus(spark, sf_dir):
-    r = release(extract(corpus(spark, sf_dir)), None, issued_at=FIXED_ISSUED_AT)
+    r = release(extract(corpus(spark, sf_dir)), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
     return r.select("document_id", "redacted_count", "redacted_text", "seal")
 
 
@@ -274,10 +288,10 @@ RESPONSE_SQL = (
     "CASE WHEN c_custkey % 11 = 0 THEN 'not json' ELSE concat("
     "'{\"output\": {', CASE WHEN c_custkey % 5 = 0 THEN concat('\"markdown\": \"Tenant: ', c_name, '\", ') ELSE '' END, "
     "'\"elements\": [{\"type\": \"keyValueRegion\", \"pairs\": ["
-    "{\"key\": {\"value\": \"الاسم\"}, \"value\": {\"value\": \"', c_name, '\"}, \"confidence\": 0.91}, "
+    "{\"key\": {\"value\": \"الاسم\"}, \"value\": {\"value\": \"', c_name, '\"}, \"confidence\": ', CASE WHEN c_custkey % 4 = 0 THEN '0.5549' ELSE '0.9151' END, '}, "
     "{\"key\": {\"value\": \"Email\"}, \"value\": {\"value\": \"c', cast(c_custkey as string), '@example.com\"}, "
     "\"confidence\": ', CASE WHEN c_custkey % 3 = 0 THEN '0' ELSE '0.99' END, '}, "
-    "{\"key\": {\"value\": \"Residence\"}, \"value\": {\"value\": \"حي النرجس، الرياض\"}}, "
+    "{\"key\": {\"value\": \"Residence\"}, \"value\": {\"value\": \"حي السلام، حائل\"}}, "
     "{\"key\": {\"value\": \"Note\"}, \"value\": {\"value\": \"\"}, \"confidence\": 0.5}]}, "
     "{\"type\": \"paragraph\", \"text\": \"Phone: +966 55 ', lpad(cast(c_custkey % 1000 as string), 3, '0'), ' 1234\"}]}}') END")
 
@@ -285,7 +299,7 @@ RESPONSE_SQL = (
 def responses(spark, sf_dir):
     c = corpus(spark, sf_dir)
     cust = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name",
-                                                  F.expr(RESPONSE_SQL.replace("c_custkey", "c_custkey")).alias("response"))
+                                                  F.expr(RESPONSE_SQL).alias("response"))
     return c.join(cust, "doc_id")
 
 
@@ -309,8 +323,11 @@ def q_o13_extract_external(spark, sf_dir):
 
 
 def q_o12_merge(spark, sf_dir):
+    """O12 as sets: the distinct (kind, text) that own, external and candidate
+    spans merge to, and how often each stays."""
     r = X.extract_with_external(responses(spark, sf_dir))
-    return r.select("doc_id", F.size("spans").alias("n_spans"))
+    return (r.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id", "s.kind", "s.text")
+            .agg(F.count("*").alias("n")))
 
 
 def reviewed_extracts(spark, sf_dir) -> DataFrame:
@@ -332,19 +349,19 @@ def q_o14_approved_values(spark, sf_dir):
 
 def q_o15_value_redaction(spark, sf_dir):
     e = reviewed_extracts(spark, sf_dir)
-    return e.select("doc_id", VAL.redact_values(F.col("text"), F.col("spans")).alias("redacted"))
+    return VAL.redact_values(e.select("doc_id", "text", "spans")).select("doc_id", "redacted")
 
 
 def q_o16_safety_net(spark, sf_dir):
     e = extract(documents(spark, sf_dir)).withColumn("spans", V.apply_decision_map(
         F.col("spans"), F.col("document_id"), F.lit(None).cast("array<struct<k:string,v:boolean>>")))
-    out = e.select("doc_id", VAL.redact_values(F.col("text"), F.col("spans")).alias("redacted"))
+    out = VAL.redact_values(e.select("doc_id", "text", "spans")).select("doc_id", "redacted")
     return VAL.safety_net(out, "redacted")
 
 
 def q_o17_operation_log(spark, sf_dir):
     e = reviewed_extracts(spark, sf_dir)
-    return e.select("doc_id", VAL.operation_log(F.col("text"), F.col("spans")).alias("ops"))
+    return VAL.operation_log(e.select("doc_id", "text", "spans")).select("doc_id", "ops")
 
 
 def intake_rows(spark, sf_dir):
@@ -390,7 +407,7 @@ def q_s09_clean_copy(spark, sf_dir):
     # English documents also have a signed copy; every document is released
     signed = d.join(raw.filter(F.col("lang") == "en"), "doc_id", "left_semi").select(
         "document_id", F.concat(F.lit("signed/"), F.col("document_id"), F.lit(".pdf")).alias("uri"))
-    red = release(extract(d), None, issued_at=FIXED_ISSUED_AT).select(
+    red = release(extract(d), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT).select(
         "document_id", F.col("redacted_text").alias("text"))
     lab = load(spark, sf_dir, "labels")
     req = lab.select(T.document_id_from_key(F.col("doc_id")).alias("document_id")).unionByName(
@@ -419,22 +436,90 @@ def q_st1_stream_detect(spark, sf_dir):
 
 def q_st2_stream_decisions(spark, sf_dir):
     """ST2: stored extracts + reviewer decisions arriving as JSON files on a
-    stream; releases of the touched documents must equal the batch release."""
+    stream, two micro-batches; releases of the touched documents must equal the
+    batch release."""
     import os
     import uuid
     from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import write_rows
     from ..streaming.pipelines import read_latest, start_decisions
     run = os.path.join(ensure_checkpoint_dir(spark), "st2-" + uuid.uuid4().hex)
     state, dec_dir = os.path.join(run, "state"), os.path.join(run, "decisions")
-    email_extracts(spark, sf_dir).select("document_id", "text", "spans").write.parquet(
-        os.path.join(state, "extracts", "batch=0"))
-    labels_decisions(spark, sf_dir).write.json(dec_dir)
-    q = start_decisions(spark, dec_dir, state, checkpoint=os.path.join(run, "checkpoint"),
-                        issued_at=FIXED_ISSUED_AT)
+    write_rows(detected(spark, sf_dir).select("document_id", "text", "spans", "engine"), os.path.join(state, "extracts"))
+    sent = labels_decisions(spark, sf_dir)
+    sent.filter("decided_at = 1").coalesce(1).write.json(dec_dir)
+    sent.filter("decided_at > 1").coalesce(1).write.mode("append").json(dec_dir)
+    q = start_decisions(spark, dec_dir, state, key=DEMO_KEY, checkpoint=os.path.join(run, "checkpoint"),
+                        issued_at=FIXED_ISSUED_AT, max_files=1)
     q.awaitTermination()
     return read_latest(spark, os.path.join(state, "releases")).select("document_id", "redacted_count", "seal")
 
 
+# -- stores: write all, rewrite some, read back -----------------------------------
+
+def _store(spark, kind: str) -> str:
+    import os
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+
+
+def _corpus_release(spark, sf_dir, issued_at=FIXED_ISSUED_AT):
+    e = detected(spark, sf_dir)
+    return e, release(e, None, key=DEMO_KEY, issued_at=issued_at)
+
+
+def q_s07_clean_text(spark, sf_dir):
+    """Clean texts of all documents, then of every seventh again, revised."""
+    from ..sources import sinks
+    path = _store(spark, "s07")
+    _, r = _corpus_release(spark, sf_dir)
+    sinks.write_clean_text(r, path)
+    again = corpus(spark, sf_dir).filter("doc_id % 7 = 0").select("document_id")
+    revised = sinks.read_rows(spark, path, only=again).select(
+        "document_id", F.concat(F.lit("revised: "), F.col("text")).alias("redacted_text"))
+    sinks.write_clean_text(revised, path)
+    return sinks.read_rows(spark, path).select("document_id", "text")
+
+
+def q_s08_proofs(spark, sf_dir):
+    """Proofs of all documents, then of every seventh issued an hour later."""
+    from ..sources import sinks
+    path = _store(spark, "s08")
+    sinks.write_proofs(_corpus_release(spark, sf_dir)[1], path)
+    later = release(detected(spark, sf_dir).filter("doc_id % 7 = 0"), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT + 3600)
+    sinks.write_proofs(later, path)
+    return sinks.read_rows(spark, path, "json").select("document_id", "body_json", "seal")
+
+
+def q_s11_state(spark, sf_dir):
+    """Span state of all documents, then of every seventh with all e-mails rejected."""
+    from ..sources import sinks
+    path = _store(spark, "s11")
+    spans = sinks.save_table(detected_spans(spark, sf_dir), path)
+    again = spans.filter("doc_id % 7 = 0").withColumn("approved", F.col("kind") != "email")
+    return sinks.save_table(again, path).select("document_id", "span_id", "approved")
+
+
+def q_o18_verify_requests(spark, sf_dir):
+    """Lookups by id: known, unknown and malformed ids."""
+    lab = load(spark, sf_dir, "labels").select("doc_id").distinct()
+    ids = F.array(T.document_id_from_key(F.col("doc_id")), F.concat(F.lit("../doc_"), F.col("doc_id").cast("string")))
+    req = lab.select(F.explode(ids).alias("document_id"))
+    return P.verify_requests(req, _sealed(spark, sf_dir), DEMO_KEY).select("document_id", "found", "valid", "detail")
+
+
+def q_o22_release_external(spark, sf_dir):
+    """External path over derived responses; e-mail spans of documents whose id 5
+    divides are rejected."""
+    docs = responses(spark, sf_dir).select("doc_id", "document_id", "text", "response")
+    spans = V.spans_table(X.extract_with_external(docs), keep=("doc_id",))
+    rejected = spans.filter((F.col("kind") == "email") & (F.col("doc_id") % 5 == 0)).select(
+        "document_id", "span_id", F.lit(False).alias("approved"), F.lit(1).cast("long").alias("decided_at"), F.lit(1).alias("ord"))
+    r = release_external(docs, rejected, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
+    return r.select("document_id", "engine", "redacted_count", "redacted_text", "operations", "signature_valid")
+
+
 def corpus_lines(spark, sf_dir) -> DataFrame:
     c = corpus(spark, sf_dir)
     return c.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
@@ -459,7 +544,7 @@ def q_t06_span_language(spark, sf_dir):
 
 
 def q_t07_span_id(spark, sf_dir):
-    return email_spans(spark, sf_dir).select("document_id", "start", "span_id")
+    return detected_spans(spark, sf_dir).select("document_id", "start", "span_id")
 
 
 def q_t11_text_preview(spark, sf_dir):
@@ -467,9 +552,8 @@ def q_t11_text_preview(spark, sf_dir):
 
 
 def q_t14_round_length(spark, sf_dir):
-    sp = line_spans(spark, sf_dir)
-    return sp.select("document_id", "start", F.round("confidence", 2).alias("confidence"),
-                     F.char_length("text").alias("length"))
+    return q_o13_extract_external(spark, sf_dir).select(
+        "doc_id", "n", F.round("confidence", 2).alias("confidence"), F.char_length("text").alias("length"))
 
 
 def q_t15_char_count(spark, sf_dir):
@@ -551,6 +635,11 @@ def build() -> dict[str, Query]:
         "o20_reject_all": q_o20_reject_all,
         "o21_review_list": q_o21_review_list,
         "o22_release": q_o22_release,
+        "o22_release_external": q_o22_release_external,
+        "o18_verify_requests": q_o18_verify_requests,
+        "s07_clean_text": q_s07_clean_text,
+        "s08_proofs": q_s08_proofs,
+        "s11_state": q_s11_state,
         "o22_release_corpus": q_o22_release_corpus,
         "s02_decode": q_s02_decode,
         "s03_intake_guards": q_s03_intake_guards,

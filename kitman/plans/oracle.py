@@ -11,7 +11,7 @@ no oracle here and are checked against a brute-force Python oracle in tests.
 from __future__ import annotations
 
 from .. import rules as R
-from ..functions.dialect import HWS_INNER, WS_INNER
+from ..functions.dialect import HWS_INNER, WS_INNER, either_order
 from ..operators.proof import _pads, key_id
 from ..sources import corpus as C
 from .release import DEMO_KEY, FIXED_ISSUED_AT
@@ -138,11 +138,8 @@ def rule_sql(rule_id: str, source: str) -> str:
 
 # -- per-line labels -------------------------------------------------------------------
 
-def _phrase_re2(p: str) -> str:
-    w = p.split()
-    if len(w) == 1:
-        return w[0]
-    return "(?:" + f"{WS}+".join(w) + "|" + f"{WS}+".join(reversed(w)) + ")"
+def _phrases(phrases: list[str]) -> str:
+    return "|".join(either_order(p, str, f"{WS}+") for p in phrases)
 
 
 def _strip_side(x: str) -> str:
@@ -153,7 +150,7 @@ def _strip_side(x: str) -> str:
 def line_hits_sql(src: str) -> str:
     cols, picks = [], []
     for k, (kind, phrases) in enumerate(R.LINE_LABEL_SPECS, 1):
-        rx = "|".join(_phrase_re2(p) for p in phrases)
+        rx = _phrases(phrases)
         full = f"^(.*?)(?:{rx})(.*)$"
         cols.append(f"""regexp_matches(line, '{rx}') AS m{k},
             regexp_extract(line, '{full}', 1) AS b{k}, regexp_extract(line, '{full}', 2) AS a{k}""")
@@ -190,21 +187,22 @@ def line_sql(kind: str) -> str:
 
 # -- e-mail span working set, decisions, redaction, proof --------------------------------
 
-def email_spans_cte() -> str:
-    h = hits_cte("structured:email", DOCS_SRC)
+def spans_cte(resolved: str) -> str:
+    """Working set: resolved spans of the contract corpus, with ids."""
     return f"""espans AS (
-        SELECT doc_id, {DOC_ID} AS document_id, start, "end", kind, text, confidence,
-               {lang_sql('text')} AS lang,
-               concat('pii_', substr(sha256(concat_ws('|', {DOC_ID}, start, "end", kind, text)), 1, 10)) AS span_id,
-               doc_text
-        FROM {h})"""
+        SELECT doc_id, {DOC_ID} AS document_id, start, "end", kind, text, confidence, lang,
+               concat('pii_', substr(sha256(concat_ws('|', {DOC_ID}, start, "end", kind, text)), 1, 10)) AS span_id
+        FROM {resolved})"""
 
 
 DECISIONS_CTE = """dec AS (
         SELECT e.document_id, e.span_id, l.quality = 1 AS approved, 1 AS decided_at FROM espans e JOIN labels l USING (doc_id)
         UNION ALL
-        SELECT e.document_id, e.span_id, l.toxic = 0 AS approved, 2 AS decided_at FROM espans e JOIN labels l USING (doc_id)
-        WHERE l.toxic = 1),
+        SELECT e.document_id, e.span_id, false, 2 FROM espans e JOIN labels l USING (doc_id) WHERE l.toxic = 1
+        UNION ALL
+        SELECT e.document_id, e.span_id, true, 3 FROM espans e JOIN labels l USING (doc_id) WHERE doc_id % 7 = 0
+        UNION ALL
+        SELECT e.document_id, 'pii_nowhere', false, 9 FROM espans e JOIN labels l USING (doc_id)),
     latest AS (SELECT document_id, span_id, arg_max(approved, decided_at) AS approved FROM dec GROUP BY ALL),
     decided AS (SELECT e.*, coalesce(l.approved, true) AS approved FROM espans e LEFT JOIN latest l USING (document_id, span_id))"""
 
@@ -226,12 +224,13 @@ def splice_sql(text: str, spans: str) -> str:
             f"|| substring({text}, {last} + 1))")
 
 
-def _released_cte(docs: str = f"SELECT doc_id, {DOC_ID} AS document_id, text FROM documents") -> str:
+def _released_cte(docs: str = f"SELECT doc_id, {DOC_ID} AS document_id, text FROM documents",
+                  issued: int = FIXED_ISSUED_AT) -> str:
     ipad, opad = _pads(DEMO_KEY)
     items = ("list(CASE WHEN approved THEN concat('{\"confidence\": ', CAST(round(confidence, 2) AS VARCHAR), "
              "', \"kind\": \"', kind, '\", \"lang\": \"', lang, '\", \"length\": ', CAST(length(text) AS VARCHAR), '}') END "
              "ORDER BY start) FILTER (WHERE approved)")
-    iso = f"strftime(to_timestamp({FIXED_ISSUED_AT}), '%Y-%m-%dT%H:%M:%SZ')"
+    iso = f"strftime(to_timestamp({issued}), '%Y-%m-%dT%H:%M:%SZ')"
     return f"""
     per AS (SELECT document_id,
                    list(struct_pack(s := start, e := "end", k := kind, t := text, a := approved) ORDER BY start) AS L,
@@ -242,7 +241,7 @@ def _released_cte(docs: str = f"SELECT doc_id, {DOC_ID} AS document_id, text FRO
             FROM ({docs}) d
             LEFT JOIN per p USING (document_id)),
     red AS (SELECT *, {splice_sql('text', 'L')} AS redacted FROM rel),
-    body AS (SELECT *, concat('{{"document_id": "', document_id, '", "issued_at": {FIXED_ISSUED_AT}, "issued_at_iso": "',
+    body AS (SELECT *, concat('{{"document_id": "', document_id, '", "issued_at": {issued}, "issued_at_iso": "',
                     {iso}, '", "original_sha256": "', sha256(text), '", "product": "{R.PRODUCT}", "redacted_sha256": "',
                     sha256(redacted), '", "redaction_count": ', CAST(cnt AS VARCHAR), ', "redactions": [',
                     array_to_string(items, ', '), ']}}') AS body_json, {iso} AS issued_at_iso FROM red),
@@ -288,28 +287,27 @@ def approved_values_sql(resolved: str, approved: str) -> str:
 
 
 def value_redaction_sql(vals: str, docs: str) -> str:
-    """Every literal occurrence of each approved value and fragment (one
-    alternation per document, longest first) replaced by its bar."""
+    """Each place where an approved value or a fragment of one stands (no
+    fragment of these data overlaps itself); overlapping places are one island,
+    replaced by one bar of the kind that starts it (the longest there)."""
     frag_list = (f"list_concat([value], list_filter(list_transform(regexp_split_to_array(value, '{R.FRAGMENT_SPLIT}'), "
                  f"lambda p: {strip_sql('p')}), lambda p: length(p) >= 3))")
     return f"""
         WITH vals AS ({vals}),
-        fr AS (SELECT DISTINCT doc_id, -length(f) AS nl, f, kind FROM
-               (SELECT doc_id, kind, unnest({frag_list}) AS f FROM vals)),
-        kinds AS (SELECT doc_id, f, min(kind) AS kind FROM fr GROUP BY ALL),
-        pat AS (SELECT doc_id, string_agg(concat('\\Q', f, '\\E'), '|' ORDER BY nl, f, kind) AS p FROM fr GROUP BY doc_id),
+        fr AS (SELECT doc_id, f, arg_min(kind, n) AS kind FROM
+               (SELECT doc_id, n, kind, unnest({frag_list}) AS f FROM vals) WHERE f <> '' GROUP BY ALL),
         docs AS ({docs}),
-        x AS (SELECT d.doc_id, d.text, regexp_extract_all(d.text, pat.p) AS w, regexp_split_to_array(d.text, pat.p) AS gaps
-              FROM docs d JOIN pat USING (doc_id)),
-        u AS (SELECT doc_id, text, w, gaps, unnest(range(1, len(w) + 1)) AS i FROM x),
-        o AS (SELECT doc_id, w[i] AS hit,
-                     CAST(coalesce(list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g))), 0)
-                        + coalesce(list_sum(list_transform(list_slice(w, 1, i - 1), lambda h: length(h))), 0) AS BIGINT) AS s
-              FROM u),
-        occ AS (SELECT o.doc_id, o.s AS start, o.s + length(o.hit) AS "end", k.kind, o.hit AS text
-                FROM o JOIN kinds k ON k.doc_id = o.doc_id AND k.f = o.hit),
-        per AS (SELECT doc_id, list(struct_pack(s := start, e := "end", k := kind, t := text, a := true) ORDER BY start) AS L
-                FROM occ GROUP BY doc_id)
+        parts AS (SELECT d.doc_id, d.text, fr.f, fr.kind, list_transform(string_split(d.text, fr.f), lambda x: length(x)) AS l
+                  FROM docs d JOIN fr USING (doc_id) WHERE contains(d.text, fr.f)),
+        places AS (SELECT doc_id, text, f, kind, unnest(list_transform(range(1, len(l)),
+                   lambda i: list_sum(list_slice(l, 1, i)) + (i - 1) * length(f))) AS s FROM parts),
+        o AS (SELECT doc_id, text, kind, CAST(s AS BIGINT) AS s, CAST(s + length(f) AS BIGINT) AS e FROM places),
+        b AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM o),
+        g AS (SELECT *, sum(CASE WHEN far IS NULL OR s >= far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e DESC) AS island FROM b),
+        u AS (SELECT doc_id, island, any_value(text) AS text, min(s) AS s, max(e) AS e,
+                     first(kind ORDER BY s, e DESC) AS kind FROM g GROUP BY doc_id, island),
+        per AS (SELECT doc_id, list(struct_pack(s := s, e := e, k := kind, t := substring(text, s + 1, e - s), a := true) ORDER BY s) AS L
+                FROM u GROUP BY doc_id)
         SELECT d.doc_id, {splice_sql('d.text', 'coalesce(p.L, [])')} AS redacted
         FROM docs d LEFT JOIN per p USING (doc_id)"""
 
@@ -366,7 +364,7 @@ def build() -> dict[str, str]:
     q["t02_strip_bidi"] = f"SELECT doc_id, line_no, translate(line, '{BIDI}', '') AS stripped FROM ({lines})"
     q["t04_either_order"] = " UNION ALL ".join(
         f"SELECT doc_id, line_no, '{kind}' AS kind FROM ({lines}) WHERE regexp_matches(line, "
-        f"'{'|'.join(_phrase_re2(p) for p in phrases)}')" for kind, phrases in R.LINE_LABEL_SPECS)
+        f"'{_phrases(phrases)}')" for kind, phrases in R.LINE_LABEL_SPECS)
     q["t06_span_language"] = f"SELECT doc_id, line_no, {lang_sql('line')} AS lang FROM ({lines})"
     q["t15_char_count"] = "SELECT doc_id, CAST(length(text) AS INTEGER) AS char_count FROM documents"
     q["t11_text_preview"] = f"SELECT {DOC_ID} AS document_id, substring(text, 1, {R.PREVIEW_CHARS}) AS preview FROM documents"
@@ -388,18 +386,15 @@ def build() -> dict[str, str]:
     lspans = (f"SELECT {C.DOCUMENT_ID.replace('c_custkey', 'doc_id')} AS document_id, "
               f"concat('pii_', substr(sha256(concat_ws('|', {C.DOCUMENT_ID.replace('c_custkey', 'doc_id')}, start, \"end\", kind, text)), 1, 10)) AS span_id, "
               f"kind, text, confidence, {lang_sql('text')} AS lang FROM {line_hits_sql(CORPUS_SRC)}")
-    q["t14_round_length"] = (f"SELECT {C.DOCUMENT_ID.replace('c_custkey', 'doc_id')} AS document_id, start, "
-                             f"round(confidence, 2) AS confidence, CAST(length(text) AS INTEGER) AS length "
-                             f"FROM {line_hits_sql(CORPUS_SRC)}")
-    q["t16_review_flags"] = (f"SELECT document_id, span_id, CAST(floor(confidence * 100 + 0.5) AS INTEGER) AS pct, "
-                             f"confidence < {R.LOW_CONFIDENCE} AS low FROM ({lspans})")
     labels = "CASE " + " ".join(
         f"WHEN ui = '{lang}' AND kind = '{k}' THEN '{v}'" for lang, t in R.KIND_LABELS.items() for k, v in t.items()
     ) + " ELSE replace(kind, '_', ' ') END"
     q["t17_kind_label"] = (f"SELECT document_id, span_id, kind, lang, {labels} AS label FROM "
                            f"(SELECT *, CASE WHEN lang = 'ar' THEN 'ar' ELSE 'en' END AS ui FROM ({lspans}))")
 
-    es = email_spans_cte()
+    allfam = ("structured", "label_en", "label_ar")
+    corpus_docs = f"SELECT c_custkey AS doc_id, {C.DOCUMENT_ID} AS document_id, {C.TEXT} AS text FROM customer"
+    es = spans_cte(resolved_sql(candidates_sql(CORPUS_SRC, allfam, True)))
     q["t10_value_preview"] = _with(es) + f"""
         SELECT document_id, span_id, CASE WHEN length(v) <= {R.VALUE_PREVIEW_CHARS} THEN v
                ELSE concat(substring(v, 1, {R.VALUE_PREVIEW_CHARS}), '…') END AS preview
@@ -410,11 +405,11 @@ def build() -> dict[str, str]:
     q["o05_apply_decisions"] = _with(es, DECISIONS_CTE) + " SELECT document_id, span_id, start, approved FROM decided"
     q["o04_approved"] = _with(es, DECISIONS_CTE) + ' SELECT document_id, span_id, start, "end" FROM decided WHERE approved'
     counts = """ SELECT d.document_id, coalesce(c.items_found, 0) AS items_found, coalesce(c.redacted_count, 0) AS redacted_count
-        FROM (SELECT {doc_id} AS document_id FROM documents) d LEFT JOIN
+        FROM (SELECT {doc_id} AS document_id FROM customer) d LEFT JOIN
              (SELECT document_id, count(*) AS items_found, count(*) FILTER (WHERE {flag}) AS redacted_count
               FROM decided GROUP BY document_id) c USING (document_id)"""
-    q["o08_counts"] = _with(es, DECISIONS_CTE) + counts.format(doc_id=DOC_ID, flag="approved")
-    q["o20_reject_all"] = _with(es, DECISIONS_CTE) + counts.format(doc_id=DOC_ID, flag="false")
+    q["o08_counts"] = _with(es, DECISIONS_CTE) + counts.format(doc_id=C.DOCUMENT_ID, flag="approved")
+    q["o20_reject_all"] = _with(es, DECISIONS_CTE) + counts.format(doc_id=C.DOCUMENT_ID, flag="false")
     q["o07_unknown_documents"] = (
         f"SELECT concat('doc_', lpad(lower(hex(doc_id * 7)), 10, '0')) AS document_id, 'pii_0000000000' AS span_id, "
         f"toxic = 0 AS approved FROM labels WHERE concat('doc_', lpad(lower(hex(doc_id * 7)), 10, '0')) NOT IN "
@@ -424,15 +419,21 @@ def build() -> dict[str, str]:
         , per AS (SELECT document_id, list(struct_pack(s := start, e := "end", k := kind, t := text, a := approved)
                   ORDER BY start) AS L FROM decided GROUP BY document_id)
         SELECT d.doc_id, {splice_sql('d.text', 'coalesce(p.L, [])')} AS redacted
-        FROM (SELECT doc_id, {DOC_ID} AS document_id, text FROM documents) d LEFT JOIN per p USING (document_id)"""
-    rel = _with(es, DECISIONS_CTE, _released_cte())
+        FROM ({corpus_docs}) d LEFT JOIN per p USING (document_id)"""
+    rel = _with(es, DECISIONS_CTE, _released_cte(corpus_docs))
     q["o09_proof"] = rel + """ SELECT document_id, CAST(cnt AS INTEGER) AS redacted_count, sha256(text) AS original_sha256,
         sha256(redacted) AS redacted_sha256, issued_at_iso, body_json FROM sealed"""
     q["o10_seal"] = rel + f" SELECT document_id, seal, '{key_id(DEMO_KEY)}' AS key_id FROM sealed"
     q["o18_verify"] = rel + f""" SELECT document_id, true AS valid, issued_at_iso, CAST(cnt AS INTEGER) AS redaction_count,
         '{R.VERIFY_OK}' AS detail FROM sealed"""
-    q["o19_tamper"] = rel + f""" SELECT document_id, false AS valid, issued_at_iso, {R.TAMPER_COUNT} AS redaction_count,
-        '{R.VERIFY_BAD}' AS detail FROM sealed"""
+    ways = ", ".join(f"'{w}'" for w in ("count", "text_field", "time", "null_field", "added", "added_null", "dropped"))
+    q["o19_tamper"] = rel + f""" SELECT document_id, false AS valid, '{R.VERIFY_BAD}' AS detail, way
+        FROM sealed, unnest([{ways}]) t(way)"""
+    q["o18_verify_requests"] = rel + f""" , req AS (SELECT DISTINCT doc_id, {DOC_ID} AS id, concat('../doc_', doc_id) AS bad FROM labels)
+        SELECT id AS document_id, s.seal IS NOT NULL AS found, s.seal IS NOT NULL AS valid,
+               CASE WHEN s.seal IS NOT NULL THEN '{R.VERIFY_OK}' ELSE 'Not found.' END AS detail
+        FROM req LEFT JOIN sealed s ON s.document_id = req.id
+        UNION ALL SELECT bad, false, false, 'Invalid document id.' FROM req"""
     q["st2_stream_decisions"] = rel + """ SELECT document_id, CAST(cnt AS INTEGER) AS redacted_count, seal
         FROM sealed WHERE document_id IN (SELECT document_id FROM dec)"""
     q["t19_verify_message"] = rel + f""" SELECT document_id, true AS valid, '{R.VERIFY_OK}' AS detail, 'stored' AS copy FROM sealed
@@ -440,11 +441,10 @@ def build() -> dict[str, str]:
     q["s10_proof_lookup"] = rel + f""" SELECT document_id, seal FROM sealed WHERE document_id IN
         (SELECT {DOC_ID} FROM labels WHERE quality = 1)"""
 
-    allfam = ("structured", "label_en", "label_ar")
     q["o01_dedupe"] = (f"SELECT doc_id, start, \"end\", kind, text, confidence FROM "
                        f"({candidates_sql(CORPUS_SRC, allfam, False)})")
     q["o02_resolve"] = (f"SELECT doc_id, start, \"end\", kind, text, confidence FROM "
-                        f"{resolved_sql(candidates_sql(CORPUS_SRC, ('structured',), False))}")
+                        f"{resolved_sql(candidates_sql(CORPUS_SRC, allfam, False))}")
     q["d25_detect_corpus"] = f"SELECT * FROM {resolved_sql(candidates_sql(CORPUS_SRC, allfam, True))}"
     docs_resolved = resolved_sql(candidates_sql(DOCS_SRC, allfam, True))
     q["d25_detect_documents"] = f"SELECT * FROM {docs_resolved}"
@@ -488,7 +488,7 @@ def build() -> dict[str, str]:
     merged = f"""
         WITH parts AS (
             SELECT doc_id, 0 AS part, n AS idx, kind, text, start, "end", confidence FROM {own_sp}
-            UNION ALL SELECT doc_id, 1, n, kind, text, start, "end", confidence FROM {ext_sp}
+            UNION ALL SELECT doc_id, 1, n, kind, text, 0, 0, confidence FROM {ext_sp}
             UNION ALL SELECT doc_id, 2, n, kind, text, start, "end", confidence FROM ({cands})),
         valid AS (SELECT doc_id, valid_json FROM ({ext})),
         kept AS (SELECT p.* FROM parts p JOIN valid v USING (doc_id)
@@ -499,10 +499,10 @@ def build() -> dict[str, str]:
                kind, text, start, "end", confidence
         FROM ranked r JOIN valid v USING (doc_id) WHERE part = 0 OR rn = 1"""
     q["o13_extract_external"] = merged
-    q["o12_merge"] = f"""
-        SELECT d.doc_id, CAST(coalesce(m.k, 0) AS INTEGER) AS n_spans
-        FROM (SELECT c_custkey AS doc_id FROM customer) d
-        LEFT JOIN (SELECT doc_id, count(*) AS k FROM ({merged}) GROUP BY doc_id) m USING (doc_id)"""
+    q["o12_merge"] = f"SELECT doc_id, kind, text, count(*) AS n FROM ({merged}) GROUP BY ALL"
+    q["t14_round_length"] = f"SELECT doc_id, n, round(confidence, 2) AS confidence, CAST(length(text) AS INTEGER) AS length FROM ({merged})"
+    q["t16_review_flags"] = (f"SELECT doc_id, n, CAST(floor(confidence * 100 + 0.5) AS INTEGER) AS pct, "
+                             f"confidence < {R.LOW_CONFIDENCE} AS low FROM ({merged})")
     q["s09_clean_copy"] = (
         f"SELECT r.document_id, CASE WHEN d.lang = 'en' THEN 'signed' WHEN d.doc_id IS NOT NULL THEN 'redacted' "
         f"ELSE 'not_found' END AS source FROM "
@@ -543,11 +543,43 @@ def build() -> dict[str, str]:
     q["o16_safety_net"] = f"SELECT doc_id, text AS redacted FROM ({net})"
     corpus_decided = (f"decided AS (SELECT {cdoc} AS document_id, start, \"end\", kind, text, confidence, lang, "
                       f"true AS approved FROM {resolved})")
-    corpus_docs = f"SELECT c_custkey AS doc_id, {C.DOCUMENT_ID} AS document_id, {C.TEXT} AS text FROM customer"
     q["o22_release_corpus"] = (_with(corpus_decided, _released_cte(corpus_docs))
                                + " SELECT document_id, CAST(cnt AS INTEGER) AS redacted_count, "
                                  "redacted AS redacted_text, seal FROM sealed")
 
+    released = _with(corpus_decided, _released_cte(corpus_docs))
+    later = _with(corpus_decided, _released_cte(corpus_docs, FIXED_ISSUED_AT + 3600))
+    q["s07_clean_text"] = released + """ SELECT document_id, CASE WHEN doc_id % 7 = 0 THEN concat('revised: ', redacted)
+        ELSE redacted END AS text FROM sealed"""
+    q["s08_proofs"] = (f"SELECT document_id, body_json, seal FROM ({released} SELECT * FROM sealed) WHERE doc_id % 7 <> 0 "
+                       f"UNION ALL SELECT document_id, body_json, seal FROM ({later} SELECT * FROM sealed) WHERE doc_id % 7 = 0")
+    q["s11_state"] = _with(es) + """ SELECT document_id, span_id, NOT (doc_id % 7 = 0 AND kind = 'email') AS approved FROM espans"""
+
+    # O22, external path: values of all approved merged spans relocated in the own
+    # text; documents with unusable responses are released locally
+    keep = "NOT (kind = 'email' AND doc_id % 5 = 0)"
+    outside = "SELECT doc_id, n, kind, text FROM mg WHERE engine = 'external'"
+    vals = approved_values_sql(f"({outside})", keep)
+    own_decided = (f"decided AS (SELECT {cdoc} AS document_id, start, \"end\", kind, text, confidence, lang, "
+                   f"{keep} AS approved FROM {own_sp})")
+    q["o22_release_external"] = f"""
+        WITH mg AS MATERIALIZED ({merged}),
+        counts AS (SELECT doc_id, count(*) FILTER (WHERE {keep}) AS cnt FROM mg GROUP BY doc_id),
+        ok AS (SELECT doc_id, valid_json FROM ({ext})),
+        ex AS ({value_redaction_sql(vals, CORPUS_SRC)}),
+        loc AS ({_with(own_decided, _released_cte(corpus_docs))} SELECT doc_id, redacted FROM sealed),
+        pv AS (SELECT doc_id, list(value ORDER BY n) AS V FROM ({vals}) GROUP BY doc_id),
+        ops AS (SELECT d.doc_id, list_concat(list_transform(list_filter(coalesce(p.V, []),
+                   lambda v: len(list_filter({frags_v}, lambda f: strpos(d.text, f) > 0)) > 0),
+                   lambda v: concat('stage_value «', {preview_v}, '»')),
+               ['apply_redactions', 'seal (hmac-sha256)']) AS ops
+               FROM ({CORPUS_SRC}) d LEFT JOIN pv p USING (doc_id))
+        SELECT {cdoc} AS document_id, CASE WHEN valid_json THEN 'external' ELSE 'local-fallback' END AS engine,
+               CAST(coalesce(cnt, 0) AS INTEGER) AS redacted_count,
+               CASE WHEN valid_json THEN ex.redacted ELSE loc.redacted END AS redacted_text,
+               CASE WHEN valid_json THEN ops.ops ELSE [] END AS operations, true AS signature_valid
+        FROM ok JOIN ex USING (doc_id) JOIN loc USING (doc_id) JOIN ops USING (doc_id) LEFT JOIN counts USING (doc_id)"""
+
     exts = ["'.txt'", "'.TXT'", "'.pdf'", "'.html'", "''"]
     ext = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(exts)) + " END"
     irows = (f"SELECT doc_id, concat('/corpus/', source, '/doc', CAST(doc_id AS VARCHAR), {ext}) AS path, "

@@ -31,10 +31,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) point it at a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset in local
+    mode (tests) point it at a fresh scratch folder."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not spark.sparkContext.getCheckpointDir() and not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         current = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="kitman-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():

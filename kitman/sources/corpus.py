@@ -25,8 +25,8 @@ def _pick(options: list[str]) -> str:
             "WHEN c_custkey % 16 < 12 THEN '{2}' ELSE '{3}' END").format(*o)
 
 
-NAMES_AR = ["خالد بن سعيد العتيبي", "سارة محمد القحطاني", "فهد عبدالله الدوسري", "نورة علي الشهري"]
-ADDRESSES_AR = ["حي النرجس، الرياض", "حي الروضة، جدة", "حي الشاطئ، الدمام", "حي العليا، الخبر"]
+NAMES_AR = ["عمر بن صالح الغامدي", "سارة محمد القحطاني", "فهد عبدالله الدوسري", "نورة علي الشهري"]
+ADDRESSES_AR = ["حي المروج، تبوك", "حي الروضة، جدة", "حي الشاطئ، الدمام", "حي العليا، الخبر"]
 
 
 def _reversed_words(s: str) -> str:
@@ -56,7 +56,7 @@ def _lines(*parts: str) -> str:
 
 
 LAYOUT_0 = _lines(
-    "'عقد إيجار'", NL,
+    "'وثيقة تعاقد'", NL,
     "'اسم العميل: '", NAME_AR, NL,
     "'رقم الهوية: '", NATIONAL_ID, NL,
     "'الجوال: '", PHONE, NL,
@@ -74,12 +74,12 @@ LAYOUT_2 = _lines(
     ADDRESS_AR_REV, "' :العنوان'", NL,
     "'Tenant: '", "c_name", NL)
 LAYOUT_3 = _lines(
-    "'Lease Agreement'", NL,
+    "'Contract record'", NL,
     "'Applicant: '", "c_name", NL,
     "'Email: '", EMAIL, NL,
     "'IBAN: '", IBAN, NL,
     "'Card: '", CARD, "' exp 12/29'", NL,
-    "'Address: '", K, "' King Fahd Road, Riyadh'", NL,
+    "'Address: '", K, "' Palm Street, Abha'", NL,
     "'Date of birth: '", DOB, NL,
     "'Phone: '", PHONE, NL,
     "'Server '", IP, "' ok'", NL)

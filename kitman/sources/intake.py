@@ -58,8 +58,10 @@ def valid_document_id(doc_id: Column, width: int = R.ID_HEX_WIDTH) -> Column:
     return F.coalesce(doc_id.rlike(f"^{R.DOC_ID_PREFIX}[0-9a-f]{{{width}}}$"), F.lit(False))
 
 
-def intake(raw: DataFrame, max_bytes: int = R.MAX_UPLOAD_BYTES) -> DataFrame:
-    """(path, length, content) → guarded rows; accepted rows carry id + text."""
+def intake(raw: DataFrame, max_bytes: int = R.MAX_UPLOAD_BYTES, id_width: int = R.ID_HEX_WIDTH) -> DataFrame:
+    """(path, length, content) → guarded rows; accepted rows carry id + text.
+    ``id_width``: hex digits of the ids (4 bits each; up to 64).  10 suit one
+    service; a corpus of n documents wants about 2 log16(n) + 10."""
     fname = filename_of(F.col("path"))
     reason = reject_reason(F.col("length"), fname, max_bytes)
     is_pdf = F.lower(fname).endswith(".pdf")
@@ -68,7 +70,7 @@ def intake(raw: DataFrame, max_bytes: int = R.MAX_UPLOAD_BYTES) -> DataFrame:
     return raw.select(
         "path", fname.alias("filename"), F.col("length").cast("long").alias("length"),
         reason.alias("reject_reason"),
-        F.when(accepted, document_id_for(F.col("path"), F.col("content"))).alias("document_id"),
+        F.when(accepted, document_id_for(F.col("path"), F.col("content"), id_width)).alias("document_id"),
         F.when(accepted, decode_utf8(F.col("content"))).alias("text"))
 
 

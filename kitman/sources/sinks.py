@@ -1,36 +1,76 @@
-"""Sinks and stores.
+"""Sinks and stores (S07–S11): tables keyed by ``document_id``.
 
-Outputs are tables keyed by ``document_id``.  Writes overwrite whole
-``bucket`` partitions (hash of the id) with dynamic partition overwrite, so
-re-running a release for some documents is idempotent and a failed job can be
-retried: a task that dies rewrites its files, nothing is appended twice.
+A write adds one folder ``version=<number>-<name>`` with just the rows handed
+in; readers take each document's rows from its newest version.  Documents that
+a write does not name keep theirs, nothing is shuffled to be written, and a
+writer that repeats a named write (a replayed micro-batch) overwrites its own
+folder only.  ``compact`` folds the versions into one.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-N_BUCKETS = 256
+#: Ids up to which a set of wanted documents is broadcast (counted before).
+BROADCAST_IDS = 500_000
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is there; listing errors are raised, not taken for absence."""
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n[len("version="):] for n in names if n.startswith("version="))
+
+
+def write_rows(df: DataFrame, path: str, fmt: str = "parquet", name: str | None = None) -> str:
+    """Add the rows as a new version; with a ``name`` written before, replace that one."""
+    name = name or uuid.uuid4().hex
+    have = _versions(df.sparkSession, path)
+    version = next((v for v in have if v.split("-", 1)[1] == name),
+                   f"{int(have[-1].split('-')[0]) + 1 if have else 1:012d}-{name}")
+    df.write.mode("overwrite").format(fmt).save(f"{path}/version={version}")
+    return version
 
 
-def with_bucket(df: DataFrame, n: int = N_BUCKETS) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(n)).cast("int"))
+def read_rows(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None,
+              only: DataFrame | None = None) -> DataFrame:
+    """The current rows of every document, or of the documents in ``only``
+    (document_id).  The wanted ids filter the scan before anything is shuffled."""
+    if schema is not None and not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.format(fmt).load(path)
+    if only is not None:
+        ids = only.select("document_id").distinct()
+        rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "document_id", "left_semi")
+    newest = rows.groupBy("document_id").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["document_id", "version"], "left_semi").drop("version")
 
 
-def _write(df: DataFrame, path: str, fmt: str) -> None:
-    (with_bucket(df).repartition("bucket").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").format(fmt).save(path))
+def compact(spark: SparkSession, path: str, to: str, fmt: str = "parquet") -> None:
+    """Current rows of ``path`` as the first version of a new table ``to``."""
+    write_rows(read_rows(spark, path, fmt), to, fmt)
 
 
-def write_clean_text(releases: DataFrame, path: str) -> None:
+def write_clean_text(releases: DataFrame, path: str, name: str | None = None) -> None:
     """Redacted text per document."""
-    _write(releases.select("document_id", F.col("redacted_text").alias("text")), path, "parquet")
+    write_rows(releases.select("document_id", F.col("redacted_text").alias("text")), path, name=name)
 
 
-def write_proofs(proofs: DataFrame, path: str) -> None:
+def write_proofs(proofs: DataFrame, path: str, name: str | None = None) -> None:
     """Proofs as JSON lines (non-ASCII kept as is)."""
-    _write(proofs.select("document_id", "proof", "body_json", "seal", "key_id"), path, "json")
+    write_rows(proofs.select("document_id", "proof", "body_json", "seal", "key_id"), path, "json", name)
 
 
 def clean_copy(requests: DataFrame, signed: DataFrame, redacted: DataFrame) -> DataFrame:
@@ -48,14 +88,13 @@ def proof_lookup(requests: DataFrame, proofs: DataFrame) -> DataFrame:
     return proofs.join(requests.select("document_id"), "document_id", "left_semi")
 
 
-def save_table(df: DataFrame, path: str) -> DataFrame:
-    """S11 state store: write and read back (cuts lineage durably in the
-    shared location, unlike a local checkpoint)."""
-    _write(df, path, "parquet")
-    return df.sparkSession.read.parquet(path).drop("bucket")
+def save_table(df: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    """S11 state store: write and read back (cuts lineage in the shared place)."""
+    write_rows(df, path, name=name)
+    return read_rows(df.sparkSession, path)
 
 
-def save_extracts_bucketed(extracts: DataFrame, table: str, n_buckets: int = N_BUCKETS) -> DataFrame:
+def save_extracts_bucketed(extracts: DataFrame, table: str, n_buckets: int) -> DataFrame:
     """Store extracts (text + span arrays) bucketed and sorted by
     ``document_id``.  A later release joins decisions to this table with an
     exchange on the decision side only: the big text side is already

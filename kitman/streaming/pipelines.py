@@ -7,27 +7,27 @@ ST2  reviewer decisions arrive later than documents.  Each micro-batch folds
      dead-letters decisions for unknown documents (O07) and re-releases only
      the documents it touched (O22).
 
-Both write through ``foreachBatch``: outputs go to ``batch=<id>`` partitions
-written in overwrite mode, and the decision state to hash buckets rewritten
-with dynamic partition overwrite, so replaying a micro-batch after a failure
-rewrites the same files with the same rows (idempotent); the checkpoint
-location gives exactly-once progress tracking.  Checkpoints
-live under the cluster's ``spark.checkpoint.dir`` unless given explicitly.
+Both write through ``foreachBatch`` into versioned tables (``sources.sinks``):
+a micro-batch is one version, named after the stream and the batch.  The
+stream's name is made with its checkpoint, so replaying a batch rewrites its own
+version only, and a new checkpoint never touches what an older one wrote.
+Checkpoints live under the cluster's ``spark.checkpoint.dir`` unless given.
 """
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import rules as R
-from ..operators.review import unknown_document_decisions
+from ..operators.review import spans_table, unknown_document_decisions
 from ..plans.release import extract, release
 from ..session import ensure_checkpoint_dir
 from ..sources.intake import accepted, intake, quarantined
-from ..sources.sinks import N_BUCKETS, with_bucket
+from ..sources.sinks import exists, read_rows, write_rows
 
 DECISION_SCHEMA = "document_id string, span_id string, approved boolean, decided_at long, ord int"
 
@@ -36,24 +36,17 @@ def _checkpoint(spark: SparkSession, name: str, given: str | None) -> str:
     return given or os.path.join(ensure_checkpoint_dir(spark), name)
 
 
-def _overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    (with_bucket(df, N_BUCKETS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").format(fmt).save(path))
+def _stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The stream's own name, kept in its checkpoint folder."""
+    path = f"{checkpoint}/kitman-stream"
+    if not exists(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).first()[0]
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path).drop("bucket")
-    except Exception:  # noqa: BLE001 - table not created yet
-        return spark.createDataFrame([], schema)
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a per-batch table, newest batch per document (replays and
-    re-deliveries of a document collapse to one row)."""
-    df = spark.read.parquet(path)
-    newest = df.groupBy("document_id").agg(F.max("batch").alias("batch"))
-    return df.join(newest, ["document_id", "batch"], "left_semi").drop("batch")
+def read_latest(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
+    """Rows of a table, the newest version of each document (or of ``only``)."""
+    return read_rows(spark, path, only=only)
 
 
 # ST1 ----------------------------------------------------------------------------
@@ -67,61 +60,60 @@ def start_intake(spark: SparkSession, source_dir: str, out_dir: str,
            .load(source_dir).select("path", "length", "content"))
     rows = intake(raw, max_bytes)
 
+    checkpoint = _checkpoint(spark, "st1-intake", checkpoint)
+    stream = _stream_name(spark, checkpoint)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         ex = extract(accepted(batch)).select("document_id", "path", "filename", "text",
                                               "lang", "char_count", "spans", "engine")
-        ex.write.mode("overwrite").parquet(os.path.join(out_dir, "extracts", f"batch={batch_id}"))
-        (quarantined(batch).select("path", "filename", "length", "reject_reason")
-         .write.mode("overwrite").parquet(os.path.join(out_dir, "quarantine", f"batch={batch_id}")))
+        write_rows(ex, os.path.join(out_dir, "extracts"), name=f"{stream}-{batch_id}")
+        write_rows(quarantined(batch).select("path", "filename", "length", "reject_reason"),
+                   os.path.join(out_dir, "quarantine"), name=f"{stream}-{batch_id}")
         batch.unpersist()
 
     w = (rows.writeStream.foreachBatch(sink)
-         .option("checkpointLocation", _checkpoint(spark, "st1-intake", checkpoint)))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
 # ST2 ----------------------------------------------------------------------------
 
-def start_decisions(spark: SparkSession, decisions_dir: str, state_dir: str,
-                    checkpoint: str | None = None, key: bytes | None = None,
-                    issued_at: int | None = None, available_now: bool = True) -> StreamingQuery:
+def start_decisions(spark: SparkSession, decisions_dir: str, state_dir: str, *, key: bytes,
+                    checkpoint: str | None = None, issued_at: int | None = None, available_now: bool = True,
+                    max_files: int = 1000) -> StreamingQuery:
     """``state_dir`` holds ``extracts`` (from ST1), and receives
-    ``decisions`` (state), ``dead_letter`` and ``releases``."""
-    stream = spark.readStream.schema(DECISION_SCHEMA).json(decisions_dir)
-    extracts_path = os.path.join(state_dir, "extracts")
-    state_path = os.path.join(state_dir, "decisions")
+    ``decisions`` (state), ``dead_letter`` and ``releases``.
+
+    A micro-batch first takes its documents' ids and reads only these documents'
+    extracts and state; the rest of the store is neither shuffled nor rewritten."""
+    rows = spark.readStream.schema(DECISION_SCHEMA).option("maxFilesPerTrigger", max_files).json(decisions_dir)
+    extracts_path, state_path = os.path.join(state_dir, "extracts"), os.path.join(state_dir, "decisions")
+    checkpoint = _checkpoint(spark, "st2-decisions", checkpoint)
+    stream = _stream_name(spark, checkpoint)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        name = f"{stream}-{batch_id}"
         cols = ["document_id", "span_id", "approved", "decided_at", "ord"]
-        extracts = read_latest(spark, extracts_path)
-        (unknown_document_decisions(batch, extracts).write.mode("overwrite")
-         .parquet(os.path.join(state_dir, "dead_letter", f"batch={batch_id}")))
-        known = batch.join(extracts.select("document_id"), "document_id", "left_semi").select(*cols)
-        touched = known.select("document_id").distinct()
-        prior = _read_or_empty(spark, state_path, DECISION_SCHEMA)
-        # latest decision per span over stored state and this batch
-        both = known.unionByName(prior.join(touched, "document_id", "left_semi").select(*cols))
-        winners = (both.groupBy("document_id", "span_id")
-                   .agg(F.max_by(F.struct("approved", "decided_at", "ord"),
-                                 F.struct("decided_at", "ord")).alias("w"))
-                   .select("document_id", "span_id", "w.approved", "w.decided_at", "w.ord"))
-        # rewrite only the hash buckets holding touched documents, carrying
-        # over their untouched documents; checkpoint() cuts the lineage to the
-        # files about to be overwritten (reliable storage, survives executor loss)
-        touched_buckets = with_bucket(touched).select("bucket").distinct()
-        carry = (with_bucket(prior).join(touched_buckets, "bucket", "left_semi")
-                 .join(touched, "document_id", "left_anti").drop("bucket"))
-        new_state = winners.unionByName(carry.select(*cols)).checkpoint(eager=True)
-        _overwrite(new_state, state_path)
-        docs = extracts.join(touched, "document_id", "left_semi")
-        rel = release(docs, new_state.join(touched, "document_id", "left_semi"),
-                      **({"key": key} if key else {}), issued_at=issued_at)
-        rel.write.mode("overwrite").parquet(os.path.join(state_dir, "releases", f"batch={batch_id}"))
-
-    w = (stream.writeStream.foreachBatch(sink)
-         .option("checkpointLocation", _checkpoint(spark, "st2-decisions", checkpoint)))
+        batch = batch.persist()
+        docs = read_rows(spark, extracts_path, only=batch)
+        held = docs.select("document_id").distinct().persist()
+        write_rows(unknown_document_decisions(batch, held), os.path.join(state_dir, "dead_letter"), name=name)
+        known = batch.join(held, "document_id", "left_semi").select(*cols)
+        prior = read_rows(spark, state_path, schema=DECISION_SCHEMA, only=held)
+        # latest decision per span over stored state and this batch (O06); checkpoint()
+        # cuts the lineage to a version that a replay is about to overwrite
+        new_state = (known.unionByName(prior.select(*cols)).groupBy("document_id", "span_id")
+                     .agg(F.max(F.struct("decided_at", "ord", "approved")).alias("w"))
+                     .select("document_id", "span_id", "w.approved", "w.decided_at", "w.ord")).checkpoint(eager=True)
+        write_rows(new_state, state_path, name=name)
+        rel = release(docs, new_state, key=key, issued_at=issued_at, known_spans=spans_table(docs))
+        write_rows(rel, os.path.join(state_dir, "releases"), name=name)
+        held.unpersist()
+        batch.unpersist()
+
+    w = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
@@ -129,20 +121,20 @@ def start_decisions(spark: SparkSession, decisions_dir: str, state_dir: str,
 def stream_detect_table(spark: SparkSession, table_dir: str, table: str, out_dir: str,
                         checkpoint: str, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """ST1 over a parquet table: the table's files are the stream source
-    (``availableNow``), each micro-batch is detected and appended under
-    ``batch=<id>`` (overwrite per batch, so replays are idempotent); returns
-    the flat span rows written."""
+    (``availableNow``), each micro-batch is detected and becomes a version named
+    after the batch; returns the flat span rows written."""
     schema = spark.read.parquet(f"{table_dir}/{table}.parquet").schema
     src = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
            .parquet(table_dir))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         ex = extract(batch.select(key_col, text_col), text_col)
-        (ex.select(key_col, F.posexplode("spans").alias("n", "s"))
-         .select(key_col, "n", "s.start", "s.end", "s.kind", "s.text", "s.confidence", "s.lang")
-         .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}")))
+        spans = (ex.select(key_col, F.posexplode("spans").alias("n", "s"))
+                 .select(key_col, "n", "s.start", "s.end", "s.kind", "s.text", "s.confidence", "s.lang"))
+        write_rows(spans, out_dir, name=f"{stream}-{batch_id}")
 
+    stream = _stream_name(spark, checkpoint)
     q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir).drop("batch")
+    return spark.read.parquet(out_dir).drop("version")

@@ -18,7 +18,7 @@ def _docs(spark):
 
 
 def test_release_proof_and_seal(spark):
-    rel = release(extract(_docs(spark)), None, issued_at=FIXED_ISSUED_AT).collect()
+    rel = release(extract(_docs(spark)), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT).collect()
     by = {r.document_id: r for r in rel}
     r = by["doc_00000000aa"]
     assert r.redacted_count == 9 and r.proof.redaction_count == 9
@@ -29,21 +29,41 @@ def test_release_proof_and_seal(spark):
     assert body["original_sha256"] == hashlib.sha256(F1_CONTRACT.encode()).hexdigest()
     assert body["issued_at_iso"] == "2026-01-01T00:00:00Z"
     assert all(set(x) == {"confidence", "kind", "lang", "length"} for x in body["redactions"])
-    assert "khalid" not in r.body_json          # no span text in the proof
+    assert "majed" not in r.body_json          # no span text in the proof
     assert by["doc_00000000bb"].redacted_count == 0
     assert by["doc_00000000bb"].redacted_text == "nothing here"
 
 
 def test_verify_and_tamper(spark):
-    rel = release(extract(_docs(spark)), None, issued_at=FIXED_ISSUED_AT).select("document_id", "proof", "seal")
+    rel = release(extract(_docs(spark)), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT).select("document_id", "proof", "seal")
     ok = P.verify(rel, DEMO_KEY).collect()
     assert all(r.valid and r.detail == R.VERIFY_OK for r in ok)
     bad = P.verify(P.tamper(rel), DEMO_KEY).collect()
     assert all((not r.valid) and r.redaction_count == R.TAMPER_COUNT for r in bad)
     assert all(not r.valid for r in P.verify(rel, b"other-key").collect())
-    req = rel.sparkSession.createDataFrame([("doc_00000000aa",), ("doc_0000000000",)], "document_id string")
+    req = rel.sparkSession.createDataFrame([("doc_00000000aa",), ("doc_0000000000",), ("../x",)], "document_id string")
     found = {r.document_id: r for r in P.verify_requests(req, rel, DEMO_KEY).collect()}
     assert found["doc_00000000aa"].found and not found["doc_0000000000"].found
+    assert found["../x"].detail == "Invalid document id."
+
+
+def test_null_items_and_quotes_do_not_pass(spark):
+    rel = release(extract(_docs(spark)), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT).select("document_id", "proof", "seal")
+    extra = F.struct(F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("kind"),
+                     F.lit("en").alias("lang"), F.lit(999).alias("length"))
+    added = rel.withColumn("proof", F.col("proof").withField("redactions", F.concat("proof.redactions", F.array(extra))))
+    assert not any(r.valid for r in P.verify(added, DEMO_KEY).collect())
+    odd = spark.createDataFrame([('doc_", "x": "\\\n', None)], "document_id string, text string")
+    r = release(extract(odd), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT).first()
+    assert json.loads(r.body_json) == r.proof.asDict(recursive=True)       # null text is empty text
+    assert r.redacted_text == "" and r.seal is not None and r.signature_valid
+
+
+def test_release_rejects_overlaps(spark):
+    import pytest
+    ex = extract(_docs(spark)).withColumn("spans", F.concat("spans", "spans"))
+    with pytest.raises(Exception, match="overlap"):
+        release(ex, None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT).collect()
 
 
 def test_decisions_latest_wins_and_release(spark):
@@ -63,10 +83,10 @@ def test_decisions_latest_wins_and_release(spark):
     counts = {r.document_id: (r.items_found, r.redacted_count)
               for r in V.review_counts(ex, V.apply_decisions(spans, dec)).collect()}
     assert counts == {"doc_00000000aa": (9, 8), "doc_00000000bb": (0, 0)}
-    rel = release(ex, dec, issued_at=FIXED_ISSUED_AT).filter("document_id = 'doc_00000000aa'").collect()[0]
+    rel = release(ex, dec, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT).filter("document_id = 'doc_00000000aa'").collect()[0]
     assert rel.redacted_count == 8
-    assert "khalid.otaibi@example.com" in rel.redacted_text
-    assert "sarah.miller@example.com" not in rel.redacted_text
+    assert "majed.harbi@example.net" in rel.redacted_text
+    assert "laura.bennett@example.net" not in rel.redacted_text
 
 
 def test_review_list(spark):
@@ -85,11 +105,11 @@ def test_bucketed_release_moves_only_decisions(spark):
     from kitman.plans import catalog
     from kitman.sources.sinks import save_extracts_bucketed
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plain = catalog.email_extracts(spark, SF_SMALL)
+    plain = catalog.detected(spark, SF_SMALL)
     dec = catalog.labels_decisions(spark, SF_SMALL)
     bucketed = save_extracts_bucketed(plain, "extracts_bucketed_test", n)
-    a = release(bucketed, dec, issued_at=FIXED_ISSUED_AT, co_partitions=n)
-    b = release(plain, dec, issued_at=FIXED_ISSUED_AT)
+    a = release(bucketed, dec, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT, co_partitions=n)
+    b = release(plain, dec, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
     cols = ["document_id", "redacted_count", "redacted_text", "seal"]
     assert sorted(a.select(cols).collect()) == sorted(b.select(cols).collect())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -5,7 +5,7 @@ import os
 import tempfile
 
 from fixtures import F1_CONTRACT, F2_LABELS
-from kitman.plans.release import FIXED_ISSUED_AT, extract
+from kitman.plans.release import DEMO_KEY, FIXED_ISSUED_AT, extract
 from kitman.sources import intake as I
 from kitman.streaming.pipelines import read_latest, start_decisions, start_intake
 
@@ -29,7 +29,7 @@ def test_intake_then_decisions_stream(spark):
     assert [r.reject_reason for r in q_rows] == ["unsupported_type"]
 
     from kitman.operators.review import spans_table
-    f1 = [r for r in ex.collect() if "Lease" in r.text][0]
+    f1 = [r for r in ex.collect() if "Service" in r.text][0]
     sp = spans_table(ex.filter(ex.document_id == f1.document_id)).filter("kind = 'email'").collect()
     lines = [dict(document_id=f1.document_id, span_id=sp[0].span_id, approved=False, decided_at=1, ord=1),
              dict(document_id=f1.document_id, span_id=sp[0].span_id, approved=True, decided_at=2, ord=1),
@@ -37,7 +37,7 @@ def test_intake_then_decisions_stream(spark):
              dict(document_id="doc_ffffffffff", span_id="pii_x", approved=False, decided_at=1, ord=1)]
     with open(os.path.join(dec, "d1.json"), "w") as fh:
         fh.write("\n".join(json.dumps(x) for x in lines))
-    q2 = start_decisions(spark, dec, state, checkpoint=os.path.join(base, "ck2"), issued_at=FIXED_ISSUED_AT)
+    q2 = start_decisions(spark, dec, state, key=DEMO_KEY, checkpoint=os.path.join(base, "ck2"), issued_at=FIXED_ISSUED_AT)
     q2.awaitTermination(180)
     rel = read_latest(spark, os.path.join(state, "releases")).collect()
     assert len(rel) == 1 and rel[0].redacted_count == 8
