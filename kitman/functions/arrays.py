@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _rounds(n: Column) -> Column:
+def search_rounds(n: Column) -> Column:
     """[0, 1, …, ceil(log2 n) - 1] as array<int>; empty when n <= 1."""
     k = F.ceil(F.log2(n.cast("double"))).cast("int")
     return F.when(n > 1, F.sequence(F.lit(0), k - 1)).otherwise(
@@ -28,7 +28,7 @@ def inclusive_scan(arr: Column, op: str = "sum") -> Column:
         return F.transform(
             acc, lambda x, i: F.when(i >= d, combine(x, acc[i - d])).otherwise(x))
 
-    return let(arr, lambda a: F.aggregate(_rounds(F.size(a)), a, one_round))
+    return let(arr, lambda a: F.aggregate(search_rounds(F.size(a)), a, one_round))
 
 
 def exclusive_scan_sum(arr: Column) -> Column:
@@ -74,7 +74,7 @@ def sorted_lookup(table: Column, key: Column) -> Column:
                 F.when(go_right, mid + 1).otherwise(lo).alias("lo"),
                 F.when(go_right, hi).otherwise(mid).alias("hi")))
 
-        found = F.aggregate(_rounds(n + 1), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step,
+        found = F.aggregate(search_rounds(n + 1), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step,
                             lambda acc: acc["lo"])
         return F.when(found < n, F.when(T[found]["k"] == key, T[found]["v"]))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import dialect
-from ..functions.arrays import empty_like, exclusive_scan_sum, inclusive_scan, index_range, let
+from ..functions.arrays import empty_like, exclusive_scan_sum, inclusive_scan, index_range, let, search_rounds
 from ..functions.text import clean_value, strip_chars, strip_ws
 
 SPLIT_ON_SENTINELS = f"[{R.SENTINEL_OPEN}{R.SENTINEL_CLOSE}]"
@@ -147,46 +147,6 @@ def line_label_hits(text: Column) -> Column:
 
 # -- O02: overlap resolution ----------------------------------------------------
 
-def _greedy(cluster: Column) -> Column:
-    """Rank by (confidence desc, length desc, emission order) and keep each span
-    that overlaps no span kept before it; result sorted by start."""
-    keyed = F.transform(cluster, lambda x: F.struct(
-        (-x["confidence"]).alias("k1"), (x["start"] - x["end"]).alias("k2"),
-        x["rule"].alias("k3"), x["seq"].alias("k4"), x.alias("span")))
-    ranked = F.transform(F.sort_array(keyed), lambda y: y["span"])
-
-    def step(acc: Column, x: Column) -> Column:
-        clash = F.exists(acc, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
-
-    return F.sort_array(F.aggregate(ranked, empty_like(cluster), step))
-
-
-def _resolve_clusters(spans: Column) -> Column:
-    """Greedy selection per cluster of transitively overlapping spans (cut
-    where a span starts at or after the running max end).  Exact, and linear
-    while clusters stay small."""
-    def by_start(S: Column) -> Column:
-        n = F.size(S)
-
-        def with_max(PM: Column) -> Column:
-            heads = F.filter(index_range(n), lambda i: F.when(i == 0, F.lit(True))
-                             .otherwise(S[i]["start"] >= PM[i - 1]))
-
-            def per_cluster(H: Column) -> Column:
-                def cluster(h: Column, c: Column) -> Column:
-                    nxt = F.when(c + 1 < F.size(H), H[c + 1]).otherwise(n)
-                    return let(F.slice(S, h + 1, nxt - h),
-                               lambda CL: F.when(F.size(CL) == 1, CL).otherwise(_greedy(CL)))
-                return F.flatten(F.transform(H, cluster))
-
-            return F.when(n <= 1, S).otherwise(let(heads, per_cluster))
-
-        return let(inclusive_scan(F.transform(S, lambda x: x["end"]), "max"), with_max)
-
-    return let(F.sort_array(spans), by_start)
-
-
 def _overlaps_kept(K: Column, x: Column) -> Column:
     """Does ``x`` overlap a span of ``K`` (disjoint, sorted by start)?  Binary
     search for the last kept span starting before ``x`` ends; only it can
@@ -200,52 +160,40 @@ def _overlaps_kept(K: Column, x: Column) -> Column:
         return F.when(lo >= hi, acc).otherwise(F.struct(
             F.when(right, mid + 1).otherwise(lo).alias("lo"), F.when(right, hi).otherwise(mid).alias("hi")))
 
-    from ..functions.arrays import _rounds
-    first_after = F.aggregate(_rounds(n + 1), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step,
+    first_after = F.aggregate(search_rounds(n + 1), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step,
                               lambda acc: acc["lo"])
     pred = first_after - 1
     return F.when(pred >= 0, K[pred]["end"] > x["start"]).otherwise(F.lit(False))
 
 
-SMALL_CLUSTER = 32
-
+def _ranked(spans: Column) -> Column:
+    """By confidence desc, length desc, emission order."""
+    keyed = F.transform(spans, lambda x: F.struct(
+        (-x["confidence"]).alias("k1"), (x["start"] - x["end"]).alias("k2"),
+        x["rule"].alias("k3"), x["seq"].alias("k4"), x.alias("span")))
+    return F.transform(F.sort_array(keyed), lambda y: y["span"])
 
-def _max_cluster(spans: Column) -> Column:
-    """Size of the largest cluster of transitively overlapping spans."""
-    def by_start(S: Column) -> Column:
-        n = F.size(S)
 
-        def with_max(PM: Column) -> Column:
-            heads = F.filter(index_range(n), lambda i: F.when(i == 0, F.lit(True))
-                             .otherwise(S[i]["start"] >= PM[i - 1]))
-            return let(heads, lambda H: F.array_max(F.transform(
-                H, lambda h, c: F.when(c + 1 < F.size(H), H[c + 1]).otherwise(n) - h)))
+def resolve_overlaps(spans: Column) -> Column:
+    """Rank by (confidence desc, length desc, emission order) and keep
+    each span that overlaps no span kept before it; result sorted by start.
 
-        return let(inclusive_scan(F.transform(S, lambda x: x["end"]), "max"), with_max)
+    The ranked spans are taken in blocks of about the square root of their
+    number.  A block first loses what overlaps the spans kept so far (disjoint,
+    sorted: binary search); the rest is compared only with what the same block
+    keeps, and the kept ones are merged into the sorted set once a block.  So n
+    spans cost O(n ** 1.5) steps however they overlap."""
+    def compete(acc: Column, x: Column) -> Column:
+        clash = F.exists(acc, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+        return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
 
-    return let(F.sort_array(spans), by_start)
+    def by_rank(S: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(S))).cast("int")
 
+        def block(kept: Column, b: Column) -> Column:
+            fresh = F.filter(F.slice(S, b * width + 1, width), lambda x: ~_overlaps_kept(kept, x))
+            return F.sort_array(F.concat(kept, F.aggregate(fresh, empty_like(S), compete)))
 
-def resolve_overlaps(spans: Column) -> Column:
-    """Rank by (confidence desc, length desc, emission order) and keep
-    each span that overlaps no span kept before it; result sorted by start.
+        return F.aggregate(index_range(F.ceil(F.size(S) / width).cast("int")), empty_like(S), block)
 
-    Computed exactly as that global greedy pass, tier by tier in descending
-    confidence: a tier's spans that overlap anything kept from higher tiers
-    are dropped by binary search over the kept set (disjoint, start-sorted),
-    and the rest are resolved per overlap cluster.  Cost stays near-linear
-    even when one long span overlaps thousands of others."""
-    def run(S: Column) -> Column:
-        tiers = F.sort_array(F.array_distinct(F.transform(S, lambda x: x["confidence"])), asc=False)
-
-        def tier(K: Column, c: Column) -> Column:
-            fresh = F.filter(S, lambda x: (x["confidence"] == c) & ~_overlaps_kept(K, x))
-            return F.sort_array(F.concat(K, _resolve_clusters(fresh)))
-
-        # both branches are the exact greedy; the tiered one only pays off
-        # when some cluster is large
-        return (F.when(F.size(S) <= 1, S)
-                .when(_max_cluster(S) <= SMALL_CLUSTER, _resolve_clusters(S))
-                .otherwise(F.aggregate(tiers, empty_like(S), tier)))
-
-    return let(spans, run)
+    return let(spans, lambda S: F.when(F.size(S) <= 1, S).otherwise(let(_ranked(S), by_rank)))

@@ -16,6 +16,7 @@ HEAVY = {
     "lines": "\n".join(f"اسم العميل: خالد {i}" for i in range(N)),
     "mixed": "\n".join(f"Email: a{i}@b.co card 4111 1111 1111 {i % 10000:04d} ip 10.0.{i % 256}.1"
                        for i in range(N // 3)),
+    "same_tier": " ".join(["1.1.1.1 222222222222"] * N),        # every hit overlaps the next, at equal confidence
 }
 
 
