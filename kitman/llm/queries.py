@@ -18,8 +18,8 @@ def _crc(text: str):
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), sharding.size_of().alias("size"), _crc("text").alias("text_crc32"))
-    return sharding.assign(rows, sharding.plan(docs, SHARDS), F.col("h")).select(
+    keys = sharding.keyed(docs, "doc_id", sharding.size_of().alias("size"), _crc("text").alias("text_crc32"))
+    return sharding.assign(keys, sharding.plan(keys, SHARDS)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 

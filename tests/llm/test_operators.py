@@ -131,6 +131,27 @@ def test_sharding_is_even_gapless_and_whole(spark, docs, empty):
     assert sharding.shard(empty, 5).count() == 0
 
 
+def test_sharding_divides_rows_equal_in_text_and_id(spark):
+    text = "if(id % 3 = 0, repeat('hot ', 10), if(id % 3 = 1, null, repeat(concat('w', id % 997, ' '), 1 + id % 50)))"
+    table = spark.range(9000).selectExpr("if(id % 3 = 0, 7, if(id % 3 = 1, null, id)) as doc_id", f"{text} as text", "id as row").repartition(5)
+    rows = sharding.shard(table, 24, rows_per_range=50).collect()
+    assert sorted(r["row"] for r in rows) == list(range(9000)) and rows[0].asDict().keys() == {"doc_id", "text", "row", "shard", "slot"}
+    size, slots = Counter(), {}
+    for r in rows:
+        size[r["shard"]] += len(r["text"] or "") + 8
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(size) == 24
+    assert max(size.values()) <= 1.06 * sum(size.values()) / 24 + 300
+    keys = sharding.keyed(table)
+    total = keys.agg(F.sum("__size")).first()[0]
+    drawn = Counter(k[:2] for k in sharding._sample(keys, F.col("__size") * (900 / total)))
+    hot = keys.where("doc_id = 7").agg(F.sum("__size")).first()[0] / total
+    assert abs(max(drawn.values()) - 900 * hot) < 120 and abs(sum(drawn.values()) - 900) < 150   # by bytes, not all or none
+    split = sharding.plan(keys, 24, 50).split
+    in_range = Counter(r["__part"] for r in sharding._ranged(keys, split).where("doc_id = 7").collect())
+    assert max(in_range.values()) < 300                   # no range (a window task) holds the hot id alone
+
+
 def test_mixing_draws_poisson_and_repeats(spark, empty):
     many = spark.range(20000).selectExpr("id as doc_id", "repeat('x', 10) as text", "if(id % 4 = 0, null, 's') as source")
     got = mixing.mix_sources(many, {"s": 3.0}, total=600_000.0, seed=1)
