@@ -436,8 +436,8 @@ def q_st1_stream_detect(spark, sf_dir):
 
 def q_st2_stream_decisions(spark, sf_dir):
     """ST2: stored extracts + reviewer decisions arriving as JSON files on a
-    stream, two micro-batches; releases of the touched documents must equal the
-    batch release."""
+    stream, which stops and goes on from its checkpoint when the later ones have
+    come; releases of the touched documents must equal the batch release."""
     import os
     import uuid
     from ..session import ensure_checkpoint_dir
@@ -446,12 +446,13 @@ def q_st2_stream_decisions(spark, sf_dir):
     run = os.path.join(ensure_checkpoint_dir(spark), "st2-" + uuid.uuid4().hex)
     state, dec_dir = os.path.join(run, "state"), os.path.join(run, "decisions")
     write_rows(detected(spark, sf_dir).select("document_id", "text", "spans", "engine"), os.path.join(state, "extracts"))
-    sent = labels_decisions(spark, sf_dir)
-    sent.filter("decided_at = 1").coalesce(1).write.json(dec_dir)
-    sent.filter("decided_at > 1").coalesce(1).write.mode("append").json(dec_dir)
-    q = start_decisions(spark, dec_dir, state, key=DEMO_KEY, checkpoint=os.path.join(run, "checkpoint"),
-                        issued_at=FIXED_ISSUED_AT, max_files=1)
-    q.awaitTermination()
+    labels_decisions(spark, sf_dir).write.parquet(os.path.join(run, "sent"))
+    sent = spark.read.parquet(os.path.join(run, "sent"))
+    for part in ("decided_at = 1", "decided_at > 1"):
+        sent.filter(part).write.mode("append").json(dec_dir)
+        q = start_decisions(spark, dec_dir, state, key=DEMO_KEY, checkpoint=os.path.join(run, "checkpoint"),
+                            issued_at=FIXED_ISSUED_AT)
+        q.awaitTermination()
     return read_latest(spark, os.path.join(state, "releases")).select("document_id", "redacted_count", "seal")
 
 

@@ -46,3 +46,21 @@ def test_intake_then_decisions_stream(spark):
     assert [r.document_id for r in dead] == ["doc_ffffffffff"]
     st = {r.span_id: r.approved for r in spark.read.parquet(os.path.join(state, "decisions")).collect()}
     assert st == {sp[0].span_id: True, sp[1].span_id: False}
+
+
+def test_decisions_query_writes_its_sets_in_parallel(spark):
+    import glob
+
+    from conftest import SF_SMALL
+    from kitman.plans import catalog
+    from kitman.session import ensure_checkpoint_dir
+    runs = lambda: set(glob.glob(ensure_checkpoint_dir(spark).removeprefix("file:") + "/st2-*"))
+    before = runs()
+    rows = catalog.q_st2_stream_decisions(spark, SF_SMALL).collect()
+    (run,) = runs() - before
+    files = glob.glob(run + "/decisions/part-*.json")
+    assert len(files) > 2                                  # not one task a set
+    sent = catalog.labels_decisions(spark, SF_SMALL)
+    assert sum(len(open(f, encoding="utf-8").read().splitlines()) for f in files) == sent.count()
+    assert sorted(r.document_id for r in rows) == sorted(r.document_id for r in sent.select("document_id").distinct().collect())
+    assert len(glob.glob(run + "/state/releases/version=*")) >= 2
