@@ -45,16 +45,16 @@ def stated(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def tokens(url: str = "url") -> Column:
     """Distinct tokens of a URL: scheme, words of the host's labels, path segments
-    and query names; digits are one sign."""
+    and query names; the last two as they are and with digits as one sign."""
     host, path = host_path(url)
     u = F.coalesce(F.col(url), F.lit(""))
-    sign = lambda c: F.regexp_replace(F.lower(c), r"[0-9]+", "0")
-    parts = F.transform(F.split(host, "[._-]"), lambda x: F.concat(F.lit("word="), sign(x)))
-    segments = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("path="), sign(x)))
+    parts = F.transform(F.split(host, "[._-]"), lambda x: F.concat(F.lit("word="), F.lower(x)))
+    segments = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("path="), F.lower(x)))
     query = F.transform(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"),
-                        lambda x: F.concat(F.lit("query="), sign(F.substring_index(x, "=", 1))))
+                        lambda x: F.concat(F.lit("query="), F.lower(F.substring_index(x, "=", 1))))
+    folded = F.transform(F.concat(segments, query), lambda x: F.regexp_replace(x, r"[0-9]+", "0"))
     scheme = F.array(F.concat(F.lit("scheme="), F.lower(F.substring_index(u, "://", 1))))
-    every = F.filter(F.concat(scheme, parts, segments, query), lambda x: ~x.endswith("="))
+    every = F.filter(F.concat(scheme, parts, segments, query, folded), lambda x: ~x.endswith("="))
     return F.when(F.locate("://", u) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 

@@ -272,6 +272,16 @@ def test_token_files_read_back(spark, docs, empty, tmp_path):
     assert tokens.write(empty, str(tmp_path / "e"), path, 1).count() == 0
 
 
+def test_url_hosts_that_differ_in_digits_are_told_apart(spark):
+    urls = [f"https://{h}.test/p{i}/x" for i in range(20) for h in ("bad1", "fine2", "fine3", "10.0.0.8", "10.0.0.9")]
+    urls += [f"https://shop.test/{'2024' if i % 2 else '2023'}/i{i}" for i in range(20)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    bad = lambda u: any(x in u for x in ("bad1", "0.0.8", "/2024/"))
+    labelled = spark.createDataFrame([(u, bad(u)) for u in urls], "url string, block boolean")
+    for r in urlfilter.judge(pages, labelled).collect():
+        assert r["verdict"] == ("block" if bad(r["url"]) else "allow"), r["url"]
+
+
 def test_url_rules_match_brute_force(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?q=1", "https://example.com/de/1", "http://x.org/fr/2#a", "http://net", "ftp://q.net/?a/",
             "http://example.net?x=/en/", "http://anet/", "a://b://c/d"]
