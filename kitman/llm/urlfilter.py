@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import save, sized
 
 BLOCK = "label=block"
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
-MIN_ROWS = 5
+#: Labelled rows that a rule must rest on, whatever the size of the table.
+MIN_ROWS, MIN_CONFIDENCE = 5, 0.6
 #: Host and path of the stated rules, with their verdicts.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -58,27 +58,29 @@ def tokens(url: str = "url") -> Column:
     return F.when(F.locate("://", u) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """labelled(tokens, block boolean) → rules (rule_id, items, confidence, support)
-    of token sets that lead to ``block``.  A rule goes if a part of it is already a
-    rule of at least its confidence."""
+    of token sets that lead to ``block`` in at least ``min_rows`` rows.  A rule goes
+    if a part of it is already a rule of at least its confidence."""
     baskets = save(labelled.where("block is not null and size(tokens) > 0").select(
         F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")), "baskets")
     n = baskets.count()
     none = baskets.sparkSession.createDataFrame([], "rule_id long, items array<string>, confidence double, support double")
-    if not n:
+    if n < min_rows:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_ROWS / n), minConfidence=min_confidence).fit(baskets)
+    # half a row less, so that rounding never asks for one more
+    model = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / n, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.array_contains("consequent", BLOCK)).select(
         F.array_sort("antecedent").alias("items"), "confidence", "support")
     rules = save(found, "rules")
-    # parts of a rule are met through its tokens: a shorter rule whose every token is in it
+    # the parts of a rule are its subsets: no pairs of rules that merely share a common token
     named = rules.withColumn("rule_id", F.xxhash64("items"))
-    index = named.select(F.col("rule_id").alias("part_id"), F.size("items").alias("need"), F.col("confidence").alias("part_confidence"),
-                         F.explode("items").alias("token"))
-    parts = (named.select("rule_id", "confidence", F.size("items").alias("size"), F.explode("items").alias("token"))
-             .join(index, "token").where("need < size and part_confidence >= confidence")
-             .groupBy("rule_id", "part_id", "need").agg(F.count("*").alias("met")).where("met = need"))
+    subsets = F.aggregate("items", F.array(F.array().cast("array<string>")),
+                          lambda sets, x: F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(x)))))
+    parts = (named.select("rule_id", "confidence", F.size("items").alias("size"), F.explode(subsets).alias("part"))
+             .where("size(part) between 1 and size - 1")
+             .join(rules.select(F.col("items").alias("part"), F.col("confidence").alias("part_confidence")), "part")
+             .where("part_confidence >= confidence"))
     return save(named.join(parts.select("rule_id").distinct(), "rule_id", "left_anti"), "kept-rules")
 
 

@@ -282,6 +282,18 @@ def test_url_hosts_that_differ_in_digits_are_told_apart(spark):
         assert r["verdict"] == ("block" if bad(r["url"]) else "allow"), r["url"]
 
 
+def test_url_rules_rest_on_the_same_rows_at_every_size(spark):
+    import itertools
+    bad = [(["scheme=https", "word=bad", f"path={i}"], True) for i in range(6)] + [(["word=four"], True)] * 4
+    few = spark.createDataFrame(bad, "tokens array<string>, block boolean")
+    many = few.unionAll(spark.range(6000).selectExpr("array('scheme=https', concat('word=ok', id % 50))", "false"))
+    for table in (few, many):
+        rules = {tuple(r["items"]) for r in urlfilter.mine(table).collect()}
+        assert ("word=bad",) in rules and not any("word=four" in r for r in rules)
+        assert not any(set(a) < set(b) for a, b in itertools.permutations(rules, 2))       # parts of equal confidence prune
+    assert urlfilter.mine(few.limit(4)).count() == 0
+
+
 def test_url_rules_match_brute_force(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?q=1", "https://example.com/de/1", "http://x.org/fr/2#a", "http://net", "ftp://q.net/?a/",
             "http://example.net?x=/en/", "http://anet/", "a://b://c/d"]
