@@ -22,7 +22,9 @@ SAMPLE_DOCS = 2000
 #: A profile keeps trigrams of at least this share of its language's, so at most 1 / MIN_SHARE.
 MIN_SHARE = 2e-5
 SLOTS, HASHES, BLOCK, UNKNOWN = 1 << 19, 3, 1 << 20, "und"
-MIN_SCORE = 0.5
+#: A text is of no learned language if the share of its trigrams in the best profile
+#: is below MIN_SCORE by more than MIN_SIGMAS deviations of a share of so many trigrams.
+MIN_SCORE, MIN_SIGMAS = 0.5, 2.0
 _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
@@ -58,7 +60,8 @@ class Model:
         fill = (set_ @ _BIT_OF).reshape(-1)[:len(self.langs)] / SLOTS
         return np.minimum(fill ** HASHES, 0.999)
 
-    def predict(self, text: str | None, wrong: np.ndarray) -> tuple[str, float]:
+    def predict(self, text: str | None, wrong: np.ndarray) -> tuple[str, float, int]:
+        """Language, share of the trigrams that its profile holds, and their number."""
         n, counts = 0, np.zeros((len(self.bits), 8), np.int64)
         for g in trigrams(text or ""):
             at = _slots(g)
@@ -69,10 +72,18 @@ class Model:
                     m = m & table[a]
                 counts[s] += np.bincount(m, minlength=256) @ _BIT_OF
         if not n or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, n
         own = np.maximum((counts.reshape(-1)[:len(self.langs)] - n * wrong) / (1 - wrong), 0)
         best = int(np.argmax(own))
-        return self.langs[best], float(min(1.0, own[best] / n))
+        return self.langs[best], float(min(1.0, own[best] / n)), n
+
+
+def most_share(share: float, n: int, sigmas: float = MIN_SIGMAS) -> float:
+    """Upper Wilson bound of a share seen in ``n`` draws; 0 if nothing was seen."""
+    if not n or share <= 0:
+        return 0.0
+    z = sigmas * sigmas / n
+    return (share + z / 2 + (z * share * (1 - share) + z * z / 4) ** 0.5) / (1 + z)
 
 
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -141,7 +152,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs``, all columns, without the rows whose text is of no learned language:
-    no letter, or less than ``min_score`` of its trigrams in the best profile."""
+    no letter, no trigram in any profile, or a share of trigrams in the best profile
+    that is below ``min_score`` even at the upper bound for their number."""
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +161,6 @@ def identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> D
         wrong = m.rates()
         for b in batches:
             got = (m.predict(t.as_py(), wrong) for t in b.column(at))
-            yield b.filter(pa.array([l != UNKNOWN and s >= min_score for l, s in got], pa.bool_()))
+            yield b.filter(pa.array([l != UNKNOWN and most_share(s, n) >= min_score for l, s, n in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -206,6 +206,18 @@ def test_language_und_ties_and_empty(spark, docs, empty):
     assert langid.predict(docs, langid.fit(empty)).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_keeps_short_texts_that_are_predicted_rightly(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(w) for _ in range(30)), lang) for i, (lang, w) in enumerate(
+        [("en", ["the", "house", "walking"]), ("de", ["über", "straße", "nicht"])] * 40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    short, strange = "the house qzqzqz vkvkvkv", "qzqzqz vkvkvkv"
+    odd = spark.createDataFrame([(1, short), (2, strange), (3, " ".join([short] * 200)), (4, "qq"), (5, None), (6, "17")], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in langid.predict(odd, model).collect()}
+    assert got[1]["lang_pred"] == "en" and 0.3 < got[1]["score"] < 0.5 and abs(got[3]["score"] - got[1]["score"]) < 0.05
+    assert {x["doc_id"] for x in langid.identified(odd, model).collect()} == {1}   # the long one is surely below, the others hold nothing
+
+
 def test_trigrams_of_blocks_are_those_of_the_whole(monkeypatch):
     t = prose(300, 1) + "  !! " + prose(40, 2)
     whole = np.concatenate(list(langid.trigrams(t)))
