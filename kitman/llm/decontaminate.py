@@ -9,8 +9,10 @@ pair however long the document; a document with fewer shingles than the least
 item of a partition needs skips it.  Candidates are verified by exact shingle
 containment on the words themselves.
 
-The items travel to the tasks in blocks of a fixed number of shingles; any
-number of blocks is searched, so the broadcast never grows with the benchmark.
+Items of up to ``BLOCK_SHINGLES`` shingles in all (counted in Spark) travel to the
+tasks as one index.  A larger benchmark stays in Spark: its sketches are joined with
+the documents' distinct shingle hashes, and the candidates are verified by a join on
+the shingles, so neither the driver nor a broadcast grows with the benchmark.
 """
 from __future__ import annotations
 
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, word_hashes
+from .common import mix, save, sized, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Shingles of items that one broadcast holds (an item alone may exceed it).
+#: Shingles of all items up to which they are broadcast as one index.
 BLOCK_SHINGLES = 500_000
 _SPACE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _FILTER_BITS = 20
@@ -55,9 +57,16 @@ def _hashes(ws: list[bytes], width: int) -> np.ndarray:
     return mix(out, w)
 
 
+def _sketch(hs: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """Bottom-k of the distinct hashes, and the least size in the item's partition."""
+    part = len(hs).bit_length() - 1                        # sizes 2^part .. 2^(part+1) - 1
+    k = int((1 - threshold) * (2 ** (part + 1) - 1) + 1e-9) + 1
+    return hs[:k], 2 ** part
+
+
 @dataclass
 class _Block:
-    """One block of items, indexed by their sketches."""
+    """Items indexed by their sketches."""
 
     width: int
     threshold: float
@@ -66,17 +75,14 @@ class _Block:
     sketches: dict[int, list[tuple[int, int]]] = field(default_factory=dict)   # hash -> [(item, least size of its partition)]
     all_hashes: set[int] = field(default_factory=set)
 
-    def add(self, item_id: int, ws: list[bytes]) -> int:
+    def add(self, item_id: int, ws: list[bytes]) -> None:
         hs = np.unique(_hashes(ws, self.width))
-        size = len(hs)
-        part = size.bit_length() - 1                       # sizes 2^part .. 2^(part+1) - 1
-        k = int((1 - self.threshold) * (2 ** (part + 1) - 1) + 1e-9) + 1
-        for h in hs[:k].tolist():
-            self.sketches.setdefault(h, []).append((len(self.ids), 2 ** part))
+        some, least = _sketch(hs, self.threshold)
+        for h in some.tolist():
+            self.sketches.setdefault(h, []).append((len(self.ids), least))
         self.ids.append(item_id)
         self.sets.append(_strings(ws, range(_count(len(ws), self.width)), self.width))
         self.all_hashes.update(hs.tolist())
-        return size
 
     def seal(self) -> _Block:
         self.keys = np.array(sorted(self.sketches), np.uint64)
@@ -104,20 +110,59 @@ class _Block:
         return out
 
 
-def _blocks(items: DataFrame, width: int, threshold: float, most: int) -> Iterator[_Block]:
-    """Streams the items partition by partition into blocks; one is held at a time."""
-    block, held = _Block(width, threshold), 0
-    for row in items.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).toLocalIterator():
-        ws = words(row["t"])
-        n = _count(len(ws), width)
-        if not n:
-            continue
-        if held and held + n > most:
-            yield block.seal()
-            block, held = _Block(width, threshold), 0
-        held += block.add(row["i"], ws)
-    if held:
-        yield block.seal()
+def _mapped(rows: DataFrame, each, schema: str) -> DataFrame:
+    """rows(key, text) → the columns that ``each(key, words)`` gives for a row."""
+    types = [pa.binary() if x.endswith("binary") else pa.int64() for x in schema.split(", ")]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                cols = each(key, words(t.as_py()))
+                if len(cols[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _items(items: DataFrame, width: int, most: int, threshold: float) -> tuple[DataFrame, _Block | None]:
+    """(item, i, t), numbered and written once, and their index if it is small."""
+    held = save(items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("i"),
+                             F.col("text").alias("t")), "items")
+    size = _mapped(held.select("item", "t"), lambda _, ws: ([_count(len(ws), width)],), "n long").agg(F.sum("n")).first()[0] or 0
+    if size > most:
+        return held, None
+    block = _Block(width, threshold)
+    for row in held.select("i", "t").toLocalIterator():
+        if ws := words(row["t"]):
+            block.add(row["i"], ws)
+    return held, block.seal()
+
+
+def _pairs(docs: DataFrame, held: DataFrame, width: int, threshold: float) -> DataFrame:
+    """docs(row, text) and numbered items → (row, item, q, c): c of the item's q
+    distinct shingles are in the document, at the threshold."""
+    def sketch(item: int, ws: list[bytes]):
+        some, least = _sketch(np.unique(_hashes(ws, width)), threshold) if ws else ([], 0)
+        some = np.asarray(some, np.uint64).view(np.int64)
+        return some, np.full(len(some), item), np.full(len(some), least)
+
+    def hashed(row: int, ws: list[bytes]):
+        hs = np.unique(_hashes(ws, width)).view(np.int64)
+        return hs, np.full(len(hs), row), np.full(len(hs), len(hs))
+
+    def shingles(key: int, ws: list[bytes]):
+        g = list(_strings(ws, range(_count(len(ws), width)), width))
+        return g, [key] * len(g), [len(g)] * len(g)
+
+    texts = held.select("item", "t")
+    sketches = sized(save(_mapped(texts, sketch, "h long, item long, least long"), "sketches"))
+    found = save(_mapped(docs, hashed, "h long, row long, size long").join(sketches, "h")
+                 .where(F.col("size") >= F.col("least") * threshold - 1e-9).select("row", "item").distinct(), "candidates")
+    own = _mapped(docs.join(found.select("row").distinct(), "row", "left_semi"), shingles, "g binary, row long, size long")
+    wanted = found.join(_mapped(texts, shingles, "g binary, item long, q long"), "item")
+    return (wanted.join(own.select("g", "row"), ["row", "g"]).groupBy("row", "item", "q").agg(F.count("*").alias("c"))
+            .where(F.col("c") >= F.col("q") * threshold - 1e-9))
 
 
 PAIRS = "doc_id long, item_id long, item_shingles int, contained int, containment double"
@@ -131,36 +176,41 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
     words than ``width`` is one shingle and matches a document of just these
     words; null texts count as empty, null ids are kept; repeated rows give
     repeated pairs; empty tables give no pair; further columns are ignored."""
-    spark, out = docs.sparkSession, None
     base = docs.select(F.col("doc_id").cast("long"), "text")
-    for block in _blocks(items, width, threshold, block_shingles):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            b = held.value
-            for batch in batches:
-                rows = [(d, b.ids[i], q, n, n / q) for d, t in zip(batch.column(0).to_pylist(), batch.column(1))
-                        for i, q, n in b.find(t.as_py())]
-                cols = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))],
-                    names=["doc_id", "item_id", "item_shingles", "contained", "containment"])
-
-        part = base.mapInArrow(run, PAIRS)
-        out = part if out is None else out.unionAll(part)
-    return spark.createDataFrame([], PAIRS) if out is None else out
+    items, block = _items(items, width, block_shingles, threshold)
+    if block is None:
+        rows = save(base.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        return (_pairs(rows.select("row", "text"), items, width, threshold).join(rows.select("row", "doc_id"), "row")
+                .join(items.select("item", F.col("i").alias("item_id")), "item")
+                .select("doc_id", "item_id", F.col("q").cast("int").alias("item_shingles"), F.col("c").cast("int").alias("contained"),
+                        (F.col("c") / F.col("q")).alias("containment")))
+    held = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = held.value
+        for batch in batches:
+            rows = [(d, b.ids[i], q, n, n / q) for d, t in zip(batch.column(0).to_pylist(), batch.column(1))
+                    for i, q, n in b.find(t.as_py())]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))],
+                names=["doc_id", "item_id", "item_shingles", "contained", "containment"])
+
+    return base.mapInArrow(run, PAIRS)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
                   block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``docs``, all columns, without the rows whose text contains an item."""
-    for block in _blocks(items, width, threshold, block_shingles):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-        at = docs.columns.index("text")
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not held.value.find(t.as_py()) for t in batch.column(at)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    items, block = _items(items, width, block_shingles, threshold)
+    if block is None:
+        rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        gone = _pairs(rows.select(F.col("__row").alias("row"), "text"), items, width, threshold).select("row").distinct()
+        return rows.join(gone, F.col("__row") == F.col("row"), "left_anti").drop("__row")
+    held, at = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not held.value.find(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

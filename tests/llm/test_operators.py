@@ -192,6 +192,18 @@ def test_decontamination_matches_brute_force(spark, docs, empty):
     assert decontaminate.leaks(empty, items).count() == 0 and decontaminate.leaks(docs, empty.selectExpr("doc_id as item_id", "text")).count() == 0
 
 
+def test_decontamination_of_a_large_benchmark_stays_in_spark(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, prose(40, 123)), (1, prose(40, 123)), (2, texts()[8]), (3, "one"), (4, None)], "item_id long, text string")
+    table = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(100, "x " + prose(40, 123)), (None, prose(40, 123))], "doc_id long, text string"))
+    key = lambda r: Counter(map(tuple, r))
+    want = key(decontaminate.leaks(table, items).collect())
+    clean = key(decontaminate.without_leaks(table, items).collect())
+    monkeypatch.setattr(decontaminate._Block, "add", lambda *a: pytest.fail("an item was indexed in the driver"))
+    assert key(decontaminate.leaks(table, items, block_shingles=30).collect()) == want
+    assert key(decontaminate.without_leaks(table, items, block_shingles=30).collect()) == clean
+    assert {(100, 1), (None, 1), (3, 3)} <= {k[:2] for k in want}
+
+
 def test_language_und_ties_and_empty(spark, docs, empty):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(w) for _ in range(30)), lang) for i, (lang, w) in enumerate(
