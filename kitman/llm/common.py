@@ -84,3 +84,12 @@ def stretch_of(key: Column, lows: list[int]) -> Column:
     steps = [1 << i for i in reversed(range(len(lows).bit_length()))]
     bounds = F.lit(lows).cast("array<bigint>")
     return F.aggregate(F.lit(steps), F.lit(0), lambda a, st: F.when(F.get(bounds, a + st - 1) <= key, a + st).otherwise(a))
+
+
+def dealt(held: DataFrame, visits: DataFrame, key: str, salt: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """``held`` and ``visits`` (written) to be grouped by (key, part): the visits of a key are
+    dealt by a hash of ``salt`` to parts of about ``most`` rows, and each part gets
+    all held rows of its key."""
+    parts = sized(save(visits.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")), "parts"))
+    copies = held.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return copies, visits.join(parts, key).withColumn("part", F.pmod(F.xxhash64(salt), F.col("parts")).cast("int")).drop("parts")

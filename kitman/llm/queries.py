@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, mixing, quality, sharding, simhash, substrings, tokens, urlfilter
+from . import (conversations, decontaminate, fingerprints, langid, mixing, neighbours, quality, sharding, simhash, spelling,
+               substrings, tokens, urlfilter)
 from .common import fold, save, shared_path, table
 
 SHARDS = 24
@@ -77,6 +78,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_after_damage(table(spark, sf_dir, "conversations"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +101,8 @@ def build() -> dict:
 
     return {f.__name__: f for f in (
         op1_sharding, op2_url_filter, op3_simhash_dedup, op4_substring_dedup, op5_token_files, op6_decontaminate,
-        op7_mixing, op8_quality, op9_language, op10_fingerprints, pipeline)}
+        op7_mixing, op8_quality, op9_language, op10_fingerprints, op11_spelling_variants, op12_conversation_repair,
+        op13_nearest_neighbours, pipeline)}
 
 
 OP4_SQL = r"""
