@@ -7,7 +7,7 @@ array length: a running total is a log-step (Hillis–Steele) scan, never an
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,13 @@ def sorted_lookup(table: Column, key: Column) -> Column:
         return F.when(found < n, F.when(T[found]["k"] == key, T[found]["v"]))
 
     return let(F.struct(table.alias("t"), key.alias("k")), search)
+
+
+def exploded(df: DataFrame, array: Column | str, *keep: str, item: str = "s", position: str = "n") -> DataFrame:
+    """``keep``, ``position`` and ``item``: a row per element of ``array``.
+
+    The plain ``explode`` lets Spark infer a filter on the array's size and push it
+    below the projection that computes the array: a computed array (a detection) is
+    then evaluated twice, the first time before the rows are spread.  The outer form
+    has no such filter; its rows for empty arrays have no position and go here."""
+    return df.select(*keep, F.posexplode_outer(array).alias(position, item)).filter(F.col(position).isNotNull())

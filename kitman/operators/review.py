@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, sorted_lookup
+from ..functions.arrays import exploded, let, sorted_lookup
 from ..functions.text import confidence_percent, kind_label, low_confidence, span_id
 
 SPAN_COLUMNS = ["document_id", "span_id", "kind", "text", "start", "end", "bstart", "bend",
@@ -21,8 +21,7 @@ def spans_table(extracts: DataFrame, doc_col: str = "document_id", keep: tuple[s
     """Flat spans (one row per span) from per-document span arrays, with
     the columns of the document named in ``keep``.
     Every span starts approved (the reviewer unticks)."""
-    flat = (extracts.select(F.col(doc_col).alias("document_id"), *keep,
-                            F.posexplode("spans").alias("emit_order", "s"))
+    flat = (exploded(extracts.withColumn("document_id", F.col(doc_col)), "spans", "document_id", *keep, position="emit_order")
             .select("document_id", *keep, "emit_order", "s.*"))
     return flat.select(
         "document_id", *keep,

@@ -60,7 +60,7 @@ def _locate(text: str | None, fragments: list[list[str]] | None, kinds: list[str
         automaton.add_word(f, f)
     automaton.make_automaton()
     hits = sorted((stop + 1 - len(f), -(stop + 1), f) for stop, f in automaton.iter(text))
-    for _, _, f in hits:
+    for f in {f for _, _, f in hits}:                     # a fragment's owners once, however often it occurs
         for v in owners[f]:
             found[v] = True
     covered: list[list] = []

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,3 +55,16 @@ def spread(df, per_core: int = 2):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the cluster's ``spark.checkpoint.dir``."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df, label: str):
+    """``df`` written to the shared folder and read back: what several branches of a
+    query use is computed once, and a lost executor costs no more than its own files."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
