@@ -1,8 +1,10 @@
 """Document intake (S01–S05): bytes → guarded, decoded, identified rows.
 
-``read_files`` uses Spark's ``binaryFile`` source; the size guard is a filter
-on ``length``, which Spark pushes into the file listing.  Any table with
-(path, content) columns goes through the same ``guard``/``decode``.
+``intake_files`` looks at files twice: once without their content, for those that
+are turned away, and once for the text files within the size limit, by name and
+by a filter on ``length`` that Spark pushes into the ``binaryFile`` source.  So an
+oversize file is never read.  Any table with (path, length, content) columns goes
+through the same guards and decoding (``intake``).
 Note: ``binaryFile`` skips zero-byte files, so 'empty' only fires on table
 input.  PDF text extraction is not built: accepted ``.pdf`` rows are routed
 to quarantine as ``pdf_text_required`` (text must arrive extracted).
@@ -74,6 +76,36 @@ def intake(raw: DataFrame, max_bytes: int = R.MAX_UPLOAD_BYTES, id_width: int =
         F.when(accepted, decode_utf8(F.col("content"))).alias("text"))
 
 
+#: Names of files whose text is read.
+TEXT_FILES = "*.[tT][xX][tT]"
+
+
+def _files(reader, path: str, recursive: bool, glob: str | None = None) -> DataFrame:
+    reader = reader.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(path)
+
+
+def _guarded(reader_of, path: str, max_bytes: int, id_width: int, recursive: bool) -> DataFrame:
+    unread = _files(reader_of(), path, recursive).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    within = _files(reader_of(), path, recursive, TEXT_FILES).filter(F.col("length").between(1, max_bytes)).select("path", "length", "content")
+    return quarantined(intake(unread, max_bytes, id_width)).unionByName(accepted(intake(within, max_bytes, id_width)))
+
+
+def intake_files(spark: SparkSession, path: str, max_bytes: int = R.MAX_UPLOAD_BYTES, id_width: int = R.ID_HEX_WIDTH,
+                 recursive: bool = True) -> DataFrame:
+    """The rows of ``intake`` for the files below ``path``; the bytes of a file
+    that is turned away (too large, another type, empty) are not read."""
+    return _guarded(lambda: spark.read, path, max_bytes, id_width, recursive)
+
+
+def intake_stream(spark: SparkSession, path: str, max_bytes: int = R.MAX_UPLOAD_BYTES, id_width: int = R.ID_HEX_WIDTH) -> DataFrame:
+    """``intake_files`` over a folder that files come into."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return _guarded(lambda: spark.readStream.schema(schema), path, max_bytes, id_width, True)
+
+
 def accepted(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("reject_reason").isNull())
 

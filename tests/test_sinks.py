@@ -34,3 +34,100 @@ def test_clean_text_and_proofs(spark):
     assert len(rows) == 2 and all(r.proof.product == "kitman" for r in rows)
     stored = sinks.save_table(rel.select("document_id", "seal"), os.path.join(base, "state"))
     assert stored.count() == 2
+
+
+def _texts(spark, path, **only):
+    return {r.document_id: r.text for r in sinks.read_rows(spark, path, **only).collect()}
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "document_id string, text string")
+
+
+def _store():
+    return os.path.join(tempfile.mkdtemp(prefix="kitman-sinks-"), "store")
+
+
+def test_the_later_commit_wins_and_unfinished_writes_are_not_read(spark):
+    path = _store()
+    sinks.write_rows(_frame(spark, [("d1", "old"), ("d2", "old")]), path)
+    first, second = (sinks.prepare(_frame(spark, [("d1", t)]), path) for t in ("prepared first", "prepared second"))
+    sinks.prepare(_frame(spark, [("d1", "never committed")]), path)
+    assert _texts(spark, path) == {"d1": "old", "d2": "old"}
+    sinks.commit(spark, path, second)
+    sinks.commit(spark, path, first)
+    assert _texts(spark, path) == {"d1": "prepared first", "d2": "old"}
+
+
+def test_a_number_is_taken_once(spark, monkeypatch):
+    path = _store()
+    assert sinks._create(spark, f"{path}/_log/000000000001", "[]") and not sinks._create(spark, f"{path}/_log/000000000001", "[]")
+    made = [sinks.prepare(_frame(spark, [(f"d{i}", "x")]), path) for i in range(2)]
+    newest, seen = sinks._newest, []
+
+    def slow(spark_, path_):                                # another writer commits between listing and creating
+        number = newest(spark_, path_)
+        if not seen:
+            seen.append(number)
+            sinks.commit(spark, path, made[1], fold=False)
+        return number
+    monkeypatch.setattr(sinks, "_newest", slow)
+    sinks.commit(spark, path, made[0], fold=False)
+    assert seen == [1] and set(_texts(spark, path)) == {"d0", "d1"} and newest(spark, path) == 3
+
+
+def test_documents_without_rows_and_erased_ones_are_gone(spark):
+    path = _store()
+    spans = lambda rows: spark.createDataFrame(rows, "document_id string, span_id string")
+    ids = lambda *d: spark.createDataFrame([(x,) for x in d], "document_id string")
+    sinks.save_table(spans([("d1", "a"), ("d1", "b"), ("d2", "c"), ("d3", "e"), (None, "n")]), path)
+    got = sinks.save_table(spans([("d4", "f")]), path, documents=ids("d1", "d4"))
+    assert sorted((r.document_id or "", r.span_id) for r in got.collect()) == [("", "n"), ("d2", "c"), ("d3", "e"), ("d4", "f")]
+    assert sinks.read_rows(spark, path, only=ids("d1", "d2", "nowhere")).collect() == [("d2", "c")]
+    sinks.erase(spark, path, ids("d2"))
+    assert sinks.fold_versions(spark, path, every=True) == 1
+    assert sorted(r.span_id for r in sinks.read_rows(spark, path).collect()) == ["e", "f", "n"]
+    removed = sinks.clean(spark, path, older_than_s=0)
+    assert len([r for r in removed if r.startswith("version=")]) == 3
+    stored = spark.read.parquet(path)                       # the bytes of d1 and d2 are gone too
+    assert sorted(r.span_id for r in stored.collect()) == ["e", "f", "n"]
+
+
+def test_lookup_reads_only_the_files_of_the_ids(spark):
+    path = _store()
+    rows = spark.range(4000).selectExpr("concat('doc_', lpad(id, 6, '0')) as document_id", "concat('text ', id) as text")
+    sinks.write_rows(rows.repartition(100), path)
+    sinks.write_rows(_frame(spark, [("doc_000017", "new")]), path)
+    only = _frame(spark, [("doc_000017", ""), ("doc_000400", ""), ("nowhere", "")])
+    got = sinks.read_rows(spark, path, only=only)
+    assert {r.document_id: r.text for r in got.collect()} == {"doc_000017": "new", "doc_000400": "text 400"}
+    assert sum("/_ids/" not in f for f in sinks.read_rows(spark, path).inputFiles()) > 100 and len(got.inputFiles()) == 2
+    assert sinks.read_rows(spark, path, only=_frame(spark, [("nowhere", "")])).count() == 0
+
+
+def test_many_small_writes_leave_few_versions(spark):
+    path = _store()
+    for i in range(24):
+        sinks.write_rows(_frame(spark, [(f"d{i % 7}", f"write {i}"), (f"only{i}", "x")]).coalesce(1), path, name=f"stream-{i}")
+        sinks.write_rows(_frame(spark, [(f"d{i % 7}", "replayed")]), path, name=f"stream-{i}")
+    assert len(sinks._versions(spark, path)) <= 2 * (sinks.FANOUT - 1)
+    got = _texts(spark, path)
+    assert len(got) == 31 and {got[f"d{i % 7}"] for i in range(17, 24)} == {f"write {i}" for i in range(17, 24)}
+    sinks.write_rows(_frame(spark, [("d0", "replayed")]), path, name="stream-3")      # folded long ago
+    assert _texts(spark, path) == got
+
+
+def test_changed_documents_since_a_commit(spark):
+    path = _store()
+    sinks.write_rows(_frame(spark, [("d1", "a"), ("d2", "b")]), path)
+    docs, number, whole = sinks.changed(spark, path)
+    assert whole and sorted(r[0] for r in docs.collect()) == ["d1", "d2"]
+    for i in range(9):                                      # folds on the way
+        sinks.write_rows(_frame(spark, [(f"e{i}", "x")]), path, documents=_frame(spark, [("d2", "")]) if i == 4 else None)
+    docs, later, whole = sinks.changed(spark, path, number)
+    assert not whole and sorted(r[0] for r in docs.collect()) == sorted(["d2", *(f"e{i}" for i in range(9))])
+    docs, _, whole = sinks.changed(spark, path, later)
+    assert not whole and docs.count() == 0
+    sinks.clean(spark, path, older_than_s=0)                # too old to tell: all that is there
+    docs, _, whole = sinks.changed(spark, path, number)
+    assert whole and sorted(r[0] for r in docs.collect()) == sorted(["d1", *(f"e{i}" for i in range(9))])
