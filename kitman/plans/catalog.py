@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
+from ..functions.arrays import exploded
 from ..operators import external as X
 from ..operators import proof as P
 from ..operators import review as V
@@ -22,8 +23,8 @@ from ..operators.redact import redact_column
 from ..operators.spans import dedupe_exact_offsets, line_label_hits, resolve_overlaps
 from ..sources import intake as I
 from ..sources.corpus import contract_corpus_from, load
-from ..session import spread
-from .release import DEMO_KEY, FIXED_ISSUED_AT, extract, release, release_external
+from ..session import shared_folder, spread, stored
+from .release import DECISION_SCHEMA, DEMO_KEY, FIXED_ISSUED_AT, extract, release, release_changes, release_external
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +41,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(df: DataFrame, spans_col) -> DataFrame:
-    return (df.select("doc_id", F.explode(spans_col).alias("s"))
+    return (exploded(df, spans_col, "doc_id")
             .select("doc_id", "s.start", "s.end", "s.kind", "s.text", "s.confidence"))
 
 
@@ -72,13 +73,13 @@ def detected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.spans_table(detected(spark, sf_dir), keep=("doc_id",))
 
 
-def labels_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labels_decisions(spark: SparkSession, sf_dir: str, spans: DataFrame | None = None) -> DataFrame:
     """Decisions for the spans of every labelled document, derived from
     ``labels``: first approve = (quality = 1), sent twice; documents flagged toxic
     get a later review with approve = (toxic = 0), which wins; where 7 divides the
     id two reviewers disagree at the same moment; and each span brings a decision
-    for a span that does not exist."""
-    lab = load(spark, sf_dir, "labels")
+    for a span that does not exist.  ``spans``: the detected spans, if they are there."""
+    spans, lab = detected_spans(spark, sf_dir) if spans is None else spans, load(spark, sf_dir, "labels")
     one = lambda span, approved, at: F.struct(
         span.alias("span_id"), approved.alias("approved"), F.lit(at).cast("long").alias("decided_at"), F.lit(1).alias("ord"))
     own, quality, toxic = F.col("span_id"), F.col("quality") == 1, F.col("toxic") == 0
@@ -86,8 +87,15 @@ def labels_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         one(own, quality, 1), one(own, quality, 1), F.when(F.col("toxic") == 1, one(own, toxic, 2)),
         F.when(F.col("doc_id") % 7 == 0, one(own, F.lit(True), 3)), F.when(F.col("doc_id") % 7 == 0, one(own, F.lit(False), 3)),
         one(F.lit("pii_nowhere"), F.lit(False), 9))
-    j = detected_spans(spark, sf_dir).select("doc_id", "document_id", "span_id").join(lab, "doc_id")
-    return j.select("document_id", F.explode(F.array_compact(sent)).alias("d")).select("document_id", "d.*")
+    j = spans.select("doc_id", "document_id", "span_id").join(lab, "doc_id")
+    return exploded(j, F.array_compact(sent), "document_id").select("document_id", "s.*")
+
+
+def reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The contract corpus detected once: its extracts, their spans, the decisions."""
+    extracts = stored(detected(spark, sf_dir), "detected")
+    spans = V.spans_table(extracts, keep=("doc_id",))
+    return extracts, spans, labels_decisions(spark, sf_dir, spans)
 
 
 # -- queries ----------------------------------------------------------------------
@@ -108,14 +116,14 @@ def q_t01_fold_digits(spark, sf_dir):
 def q_t03_clean_value(spark, sf_dir):
     """T02+T03 on every line of the contract corpus."""
     c = corpus(spark, sf_dir)
-    lines = c.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = exploded(c, F.split("text", "\n", -1), "doc_id", item="line", position="line_no")
     return lines.select("doc_id", "line_no", T.clean_value(F.col("line")).alias("cleaned"))
 
 
 def q_t08_guess_kind(spark, sf_dir):
     """Kind of every ``label: value`` label of the contract corpus lines."""
     c = corpus(spark, sf_dir)
-    lines = c.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = exploded(c, F.split("text", "\n", -1), "doc_id", item="line", position="line_no")
     lab = lines.filter(F.col("line").contains(": ")).select(
         "doc_id", "line_no", F.substring_index("line", ": ", 1).alias("label"))
     return lab.select("doc_id", "line_no", "label", T.guess_kind(F.col("label")).alias("kind"))
@@ -123,7 +131,7 @@ def q_t08_guess_kind(spark, sf_dir):
 
 def q_t09_fragments(spark, sf_dir):
     sp = _hits(corpus(spark, sf_dir), line_label_hits(F.col("text")))
-    return sp.select("doc_id", "start", F.posexplode(T.redaction_fragments(F.col("text"))).alias("pos", "fragment"))
+    return exploded(sp, T.redaction_fragments(F.col("text")), "doc_id", "start", item="fragment", position="pos")
 
 
 def q_t10_value_preview(spark, sf_dir):
@@ -170,7 +178,7 @@ def q_t18_redaction_bar(spark, sf_dir):
 def q_d25_detect(source: str) -> Query:
     def q(spark, sf_dir):
         df = documents(spark, sf_dir) if source == "documents" else corpus(spark, sf_dir)
-        return (detect(df).select("doc_id", F.posexplode("spans").alias("n", "s"))
+        return (exploded(detect(df), "spans", "doc_id")
                 .select("doc_id", "n", "s.start", "s.end", "s.kind", "s.text", "s.confidence", "s.lang"))
     return q
 
@@ -195,12 +203,14 @@ def q_o03_redact(spark, sf_dir):
 
 
 def q_o04_approved(spark, sf_dir):
-    sp = V.apply_decisions(detected_spans(spark, sf_dir), labels_decisions(spark, sf_dir))
+    _, spans, decisions = reviewed(spark, sf_dir)
+    sp = V.apply_decisions(spans, decisions)
     return V.approved_only(sp).select("document_id", "span_id", "start", "end")
 
 
 def q_o05_apply_decisions(spark, sf_dir):
-    sp = V.apply_decisions(detected_spans(spark, sf_dir), labels_decisions(spark, sf_dir))
+    _, spans, decisions = reviewed(spark, sf_dir)
+    sp = V.apply_decisions(spans, decisions)
     return sp.select("document_id", "span_id", "start", "approved")
 
 
@@ -217,24 +227,28 @@ def q_o07_unknown_documents(spark, sf_dir):
 
 
 def q_o08_counts(spark, sf_dir):
-    sp = V.apply_decisions(detected_spans(spark, sf_dir), labels_decisions(spark, sf_dir))
+    _, spans, decisions = reviewed(spark, sf_dir)
+    sp = V.apply_decisions(spans, decisions)
     return V.review_counts(corpus(spark, sf_dir), sp)
 
 
 def q_o09_proof(spark, sf_dir):
-    r = release(detected(spark, sf_dir), labels_decisions(spark, sf_dir), key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
+    extracts, _, decisions = reviewed(spark, sf_dir)
+    r = release(extracts, decisions, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
     return r.select("document_id", "redacted_count", F.col("proof.original_sha256").alias("original_sha256"),
                     F.col("proof.redacted_sha256").alias("redacted_sha256"),
                     F.col("proof.issued_at_iso").alias("issued_at_iso"), "body_json")
 
 
 def q_o10_seal(spark, sf_dir):
-    r = release(detected(spark, sf_dir), labels_decisions(spark, sf_dir), key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
+    extracts, _, decisions = reviewed(spark, sf_dir)
+    r = release(extracts, decisions, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
     return r.select("document_id", "seal", "key_id")
 
 
 def _sealed(spark, sf_dir):
-    r = release(detected(spark, sf_dir), labels_decisions(spark, sf_dir), key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
+    extracts, _, decisions = reviewed(spark, sf_dir)
+    r = release(extracts, decisions, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
     return r.select("document_id", "proof", "seal")
 
 
@@ -311,14 +325,14 @@ def q_s06_parse(spark, sf_dir):
 
 def q_o11_external_candidates(spark, sf_dir):
     r = responses(spark, sf_dir)
-    c = r.select("doc_id", F.posexplode(X.external_candidates(X.parse_response(F.col("response")))).alias("n", "s"))
+    c = exploded(r, X.external_candidates(X.parse_response(F.col("response"))), "doc_id")
     return c.select("doc_id", F.concat(F.lit("ext_"), F.col("n").cast("string")).alias("span_id"),
                     "s.kind", "s.text", "s.start", "s.end", "s.confidence")
 
 
 def q_o13_extract_external(spark, sf_dir):
     r = X.extract_with_external(responses(spark, sf_dir))
-    return (r.select("doc_id", "engine", F.posexplode("spans").alias("n", "s"))
+    return (exploded(r, "spans", "doc_id", "engine")
             .select("doc_id", "engine", "n", "s.kind", "s.text", "s.start", "s.end", "s.confidence"))
 
 
@@ -326,7 +340,7 @@ def q_o12_merge(spark, sf_dir):
     """O12 as sets: the distinct (kind, text) that own, external and candidate
     spans merge to, and how often each stays."""
     r = X.extract_with_external(responses(spark, sf_dir))
-    return (r.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id", "s.kind", "s.text")
+    return (exploded(r, "spans", "doc_id").groupBy("doc_id", "s.kind", "s.text")
             .agg(F.count("*").alias("n")))
 
 
@@ -343,7 +357,7 @@ def reviewed_extracts(spark, sf_dir) -> DataFrame:
 
 def q_o14_approved_values(spark, sf_dir):
     e = reviewed_extracts(spark, sf_dir)
-    return e.select("doc_id", F.posexplode(VAL.approved_values(F.col("spans"))).alias("n", "v")).select(
+    return exploded(e, VAL.approved_values(F.col("spans")), "doc_id", item="v").select(
         "doc_id", "n", "v.value", "v.kind")
 
 
@@ -445,9 +459,9 @@ def q_st2_stream_decisions(spark, sf_dir):
     from ..streaming.pipelines import read_latest, start_decisions
     run = os.path.join(ensure_checkpoint_dir(spark), "st2-" + uuid.uuid4().hex)
     state, dec_dir = os.path.join(run, "state"), os.path.join(run, "decisions")
-    write_rows(detected(spark, sf_dir).select("document_id", "text", "spans", "engine"), os.path.join(state, "extracts"))
-    labels_decisions(spark, sf_dir).write.parquet(os.path.join(run, "sent"))
-    sent = spark.read.parquet(os.path.join(run, "sent"))
+    extracts, _, decisions = reviewed(spark, sf_dir)
+    write_rows(extracts.select("document_id", "text", "spans", "engine"), os.path.join(state, "extracts"))
+    sent = stored(decisions, "sent")
     for part in ("decided_at = 1", "decided_at > 1"):
         sent.filter(part).write.mode("append").json(dec_dir)
         q = start_decisions(spark, dec_dir, state, key=DEMO_KEY, checkpoint=os.path.join(run, "checkpoint"),
@@ -458,24 +472,15 @@ def q_st2_stream_decisions(spark, sf_dir):
 
 # -- stores: write all, rewrite some, read back -----------------------------------
 
-def _store(spark, kind: str) -> str:
-    import os
-    import uuid
-    from ..session import ensure_checkpoint_dir
-    return os.path.join(ensure_checkpoint_dir(spark), f"{kind}-{uuid.uuid4().hex}")
-
-
 def _corpus_release(spark, sf_dir, issued_at=FIXED_ISSUED_AT):
-    e = detected(spark, sf_dir)
-    return e, release(e, None, key=DEMO_KEY, issued_at=issued_at)
+    return release(detected(spark, sf_dir), None, key=DEMO_KEY, issued_at=issued_at)
 
 
 def q_s07_clean_text(spark, sf_dir):
     """Clean texts of all documents, then of every seventh again, revised."""
     from ..sources import sinks
-    path = _store(spark, "s07")
-    _, r = _corpus_release(spark, sf_dir)
-    sinks.write_clean_text(r, path)
+    path = shared_folder(spark, "s07")
+    sinks.write_clean_text(_corpus_release(spark, sf_dir), path)
     again = corpus(spark, sf_dir).filter("doc_id % 7 = 0").select("document_id")
     revised = sinks.read_rows(spark, path, only=again).select(
         "document_id", F.concat(F.lit("revised: "), F.col("text")).alias("redacted_text"))
@@ -486,8 +491,8 @@ def q_s07_clean_text(spark, sf_dir):
 def q_s08_proofs(spark, sf_dir):
     """Proofs of all documents, then of every seventh issued an hour later."""
     from ..sources import sinks
-    path = _store(spark, "s08")
-    sinks.write_proofs(_corpus_release(spark, sf_dir)[1], path)
+    path = shared_folder(spark, "s08")
+    sinks.write_proofs(_corpus_release(spark, sf_dir), path)
     later = release(detected(spark, sf_dir).filter("doc_id % 7 = 0"), None, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT + 3600)
     sinks.write_proofs(later, path)
     return sinks.read_rows(spark, path, "json").select("document_id", "body_json", "seal")
@@ -496,12 +501,66 @@ def q_s08_proofs(spark, sf_dir):
 def q_s11_state(spark, sf_dir):
     """Span state of all documents, then of every seventh with all e-mails rejected."""
     from ..sources import sinks
-    path = _store(spark, "s11")
+    path = shared_folder(spark, "s11")
     spans = sinks.save_table(detected_spans(spark, sf_dir), path)
     again = spans.filter("doc_id % 7 = 0").withColumn("approved", F.col("kind") != "email")
     return sinks.save_table(again, path).select("document_id", "span_id", "approved")
 
 
+def q_s11_erased(spark, sf_dir):
+    """Span state of all documents; every seventh is then stored again with its
+    structured kinds only (none, for some), every eleventh erased, and the versions
+    folded and cleaned."""
+    from ..sources import sinks
+    path = shared_folder(spark, "s11")
+    spans = sinks.save_table(detected_spans(spark, sf_dir).select("document_id", "doc_id", "span_id", "kind"), path)
+    ids = corpus(spark, sf_dir).select("doc_id", "document_id")
+    again = spans.filter("doc_id % 7 = 0 and kind in ('email', 'iban', 'credit_card', 'ip_address')")
+    sinks.write_rows(again, path, documents=ids.filter("doc_id % 7 = 0").select("document_id"))
+    sinks.erase(spark, path, ids.filter("doc_id % 11 = 0").select("document_id"))
+    sinks.fold_versions(spark, path, every=True)
+    sinks.clean(spark, path, older_than_s=0)
+    return sinks.read_rows(spark, path).select("document_id", "span_id", "kind")
+
+
+def q_s10_stored_proofs(spark, sf_dir):
+    """Lookups in the proof sink: the files that hold a requested id, and no others."""
+    from ..sources import sinks
+    path = shared_folder(spark, "s10")
+    extracts, _, decisions = reviewed(spark, sf_dir)
+    sinks.write_proofs(release(extracts, decisions, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT), path)
+    req = load(spark, sf_dir, "labels").filter(F.col("quality") == 1).select(
+        T.document_id_from_key(F.col("doc_id")).alias("document_id"))
+    return sinks.stored_proofs(req, path).select("document_id", "seal")
+
+
+def q_s01_intake_files(spark, sf_dir):
+    """The texts of ``documents`` as files, one each (a line feed after the text),
+    read back with a limit of 4 KiB: larger ones are turned away unread."""
+    docs, path = load(spark, sf_dir, "documents"), shared_folder(spark, "s01")
+    (docs.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("value")).repartition("doc")
+     .write.partitionBy("doc").text(path))
+    rows = I.intake_files(spark, path, max_bytes=4096)
+    return rows.select(F.regexp_extract("path", r"/doc=(-?\d+)/", 1).cast("long").alias("doc_id"), "length", "reject_reason",
+                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def q_o22_release_changes(spark, sf_dir):
+    """Release of all documents under the first decisions; when the later ones are
+    there, only the documents they name are released again."""
+    from ..sources import sinks
+    run = shared_folder(spark, "o22")
+    extracts, _, decisions = reviewed(spark, sf_dir)
+    sent = stored(decisions, "sent")
+    sinks.write_rows(extracts.select("document_id", "text", "spans", "engine"), f"{run}/extracts")
+    for part in ("decided_at = 1", "decided_at > 1"):
+        fresh = sent.filter(part)
+        held = sinks.read_rows(spark, f"{run}/decisions", schema=DECISION_SCHEMA, only=fresh).select(*fresh.columns)
+        sinks.write_rows(fresh.unionByName(held), f"{run}/decisions")
+        release_changes(spark, f"{run}/extracts", f"{run}/decisions", f"{run}/releases", key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
+    return sinks.read_rows(spark, f"{run}/releases").select("document_id", "seal", "key_id")
+
+
 def q_o18_verify_requests(spark, sf_dir):
     """Lookups by id: known, unknown and malformed ids."""
     lab = load(spark, sf_dir, "labels").select("doc_id").distinct()
@@ -523,7 +582,7 @@ def q_o22_release_external(spark, sf_dir):
 
 def corpus_lines(spark, sf_dir) -> DataFrame:
     c = corpus(spark, sf_dir)
-    return c.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return exploded(c, F.split("text", "\n", -1), "doc_id", item="line", position="line_no")
 
 
 def q_t02_strip_bidi(spark, sf_dir):
@@ -537,7 +596,7 @@ def q_t04_either_order(spark, sf_dir):
     lines = corpus_lines(spark, sf_dir)
     hits = F.array(*[F.when(F.col("line").rlike(dialect.line_label_pattern(ph)), F.lit(k))
                      for k, ph in R.LINE_LABEL_SPECS])
-    return lines.select("doc_id", "line_no", F.explode(F.array_compact(hits)).alias("kind"))
+    return exploded(lines, F.array_compact(hits), "doc_id", "line_no", item="kind", position="i").drop("i")
 
 
 def q_t06_span_language(spark, sf_dir):
@@ -641,6 +700,10 @@ def build() -> dict[str, Query]:
         "s07_clean_text": q_s07_clean_text,
         "s08_proofs": q_s08_proofs,
         "s11_state": q_s11_state,
+        "s11_erased": q_s11_erased,
+        "s10_stored_proofs": q_s10_stored_proofs,
+        "s01_intake_files": q_s01_intake_files,
+        "o22_release_changes": q_o22_release_changes,
         "o22_release_corpus": q_o22_release_corpus,
         "s02_decode": q_s02_decode,
         "s03_intake_guards": q_s03_intake_guards,

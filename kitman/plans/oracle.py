@@ -440,6 +440,8 @@ def build() -> dict[str, str]:
         UNION ALL SELECT document_id, false, '{R.VERIFY_BAD}', 'tampered' FROM sealed"""
     q["s10_proof_lookup"] = rel + f""" SELECT document_id, seal FROM sealed WHERE document_id IN
         (SELECT {DOC_ID} FROM labels WHERE quality = 1)"""
+    q["s10_stored_proofs"] = q["s10_proof_lookup"]              # the sink = the table
+    q["o22_release_changes"] = q["o10_seal"]                    # step by step = all at once
 
     q["o01_dedupe"] = (f"SELECT doc_id, start, \"end\", kind, text, confidence FROM "
                        f"({candidates_sql(CORPUS_SRC, allfam, False)})")
@@ -554,6 +556,8 @@ def build() -> dict[str, str]:
     q["s08_proofs"] = (f"SELECT document_id, body_json, seal FROM ({released} SELECT * FROM sealed) WHERE doc_id % 7 <> 0 "
                        f"UNION ALL SELECT document_id, body_json, seal FROM ({later} SELECT * FROM sealed) WHERE doc_id % 7 = 0")
     q["s11_state"] = _with(es) + """ SELECT document_id, span_id, NOT (doc_id % 7 = 0 AND kind = 'email') AS approved FROM espans"""
+    q["s11_erased"] = _with(es) + """ SELECT document_id, span_id, kind FROM espans WHERE doc_id % 11 <> 0
+        AND (doc_id % 7 <> 0 OR kind IN ('email', 'iban', 'credit_card', 'ip_address'))"""
 
     # O22, external path: values of all approved merged spans relocated in the own
     # text; documents with unusable responses are released locally
@@ -592,6 +596,9 @@ def build() -> dict[str, str]:
                       WHEN NOT (lower(filename) LIKE '%.pdf' OR lower(filename) LIKE '%.txt') THEN 'unsupported_type'
                       WHEN lower(filename) LIKE '%.pdf' THEN 'pdf_text_required' END AS reject_reason
           FROM (SELECT path, {fname} AS filename, CAST(octet_length(content) AS BIGINT) AS length FROM ({irows})))"""
+    q["s01_intake_files"] = """SELECT doc_id, n AS length, CASE WHEN n > 4096 THEN 'too_large' END AS reject_reason,
+        CASE WHEN n <= 4096 THEN sha256(concat(text, chr(10))) END AS text_sha256
+        FROM (SELECT doc_id, text, CAST(strlen(coalesce(text, '')) AS BIGINT) + 1 AS n FROM documents)"""
     q["s02_decode"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
     q["s04_document_id"] = (f"SELECT path, concat('doc_', substr(sha256(encode(path) || content), 1, 10)) AS document_id "
                             f"FROM ({irows})")

@@ -3,6 +3,7 @@
 ``extract``   documents → one row per document with lang, char_count, spans.
 ``release``   extracts (+ decisions) → redacted text, proof, seal.
 ``release_external``  the same for documents with an external response.
+``release_changes``   stored extracts and decisions → releases of what has changed.
 
 Detection, decision application, redaction and the proof are all computed
 inside the document row.  The only exchange is the decisions join: latest
@@ -12,7 +13,7 @@ run time and sort-merge joins otherwise.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -22,8 +23,10 @@ from ..operators.detect import detect
 from ..operators.proof import build_proof, hmac_sha256_hex, canonical_json, key_id
 from ..operators.redact import redact_column
 from ..operators.external import extract_with_external
-from ..operators.review import NO_DECISIONS, apply_decision_map, decisions_as_map
+from ..operators.review import NO_DECISIONS, apply_decision_map, decisions_as_map, spans_table
 from ..operators.values import located, operations
+from ..session import stored
+from ..sources import sinks
 
 DEMO_KEY = b"kitman-demo-seal-key"          # tests and registered queries only
 FIXED_ISSUED_AT = 1767225600                # 2026-01-01T00:00:00Z, deterministic runs
@@ -109,3 +112,30 @@ def release_external(docs: DataFrame, decisions: DataFrame | None = None, *, key
     staged = staged.withColumn("operations", F.when(outside, operations(F.col("_values"), F.col("_located.found")))
                                .otherwise(F.array().cast("array<string>")))
     return _finish(staged, text, key, issued_at, product)
+
+
+DECISION_SCHEMA = "document_id string, span_id string, approved boolean, decided_at long, ord int"
+
+
+def release_changes(spark: SparkSession, extracts: str, decisions: str, releases: str, *, key: bytes,
+                    issued_at: Column | int | None = None, product: str = R.PRODUCT) -> int:
+    """O22 between stores: releases the documents whose extracts or decisions were
+    written since the last call, and no others; returns how many.
+
+    The new version of ``releases`` notes up to which commits of the two stores it
+    goes, so what was released and what is noted cannot come apart, and a call that
+    fails is made good by the next.  An erased document loses its release."""
+    done = sinks.noted(spark, releases)
+    feeds = {name: sinks.changed(spark, path, done.get(name, 0)) for name, path in (("extracts", extracts), ("decisions", decisions))}
+    marks = {name: number for name, (_, number, _) in feeds.items()}
+    if marks == {name: done.get(name, 0) for name in marks}:
+        return 0
+    fresh = feeds["extracts"][0].unionByName(feeds["decisions"][0])
+    if any(whole for _, _, whole in feeds.values()):        # what is released but not there any more
+        fresh = fresh.unionByName(sinks.changed(spark, releases)[0])
+    fresh = stored(fresh.distinct(), "changed")
+    docs = sinks.read_rows(spark, extracts, only=fresh)
+    decided = sinks.read_rows(spark, decisions, schema=DECISION_SCHEMA, only=fresh)
+    rel = release(docs, decided, key=key, issued_at=issued_at, product=product, known_spans=spans_table(docs))
+    sinks.write_rows(rel, releases, documents=fresh, note=marks)
+    return fresh.count()
