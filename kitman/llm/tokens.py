@@ -73,8 +73,10 @@ class Encoder:
     """Ids of whole texts, piece by piece between ASCII white space.
 
     Made for tokenizers that drop white space and cut between letters and marks:
-    a word of letters is encoded once and remembered, a tail of ASCII marks apart
-    from it.  What was not asked for lately is forgotten."""
+    a word that is all letters, also after the tokenizer's own normaliser, is encoded
+    once and remembered, a tail of ASCII marks apart from it.  A word that the normaliser
+    turns into letters and other signs (a dotted capital I, a letter with a nukta) is
+    encoded with its tail.  What was not asked for lately is forgotten."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -101,12 +103,19 @@ class Encoder:
         raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
         return [raw[x:y] for x, y in zip(at, at[1:])]
 
+    def _letters(self, word: bytes) -> bool:
+        """Is the word one run of letters to the tokenizer?"""
+        if word.isascii():
+            return word.isalpha()
+        s = word.decode()
+        return s.isalpha() and (self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(s).isalpha())
+
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         """A word of letters and a tail of ASCII marks apart, anything else as it is."""
         words, others, split = set(), set(), []
         for p in pieces:
             core = p.rstrip(_TAIL)
-            if core and (core.isalpha() or core.decode().isalpha()):
+            if core and self._letters(core):
                 core, tail = core.lower() if self.lowers else core, p[len(core):]
                 words.add(core)
             else:
