@@ -58,30 +58,88 @@ def tokens(url: str = "url") -> Column:
     return F.when(F.locate("://", u) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
+def _kinds(occurs: DataFrame, min_rows: int) -> DataFrame:
+    """(token, item, n, b), written: tokens of at least ``min_rows`` blocked rows.
+    Tokens that occur in just the same rows (their row sets have one 128-bit hash)
+    are one item, named after the least of them; n rows have it, b of them blocked."""
+    row_set = [F.sum(F.xxhash64(F.col("row"), F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)]
+    each = save(occurs.groupBy("token").agg(F.count("*").alias("n"), F.count_if("block").alias("b"), *row_set)
+                .where(F.col("b") >= min_rows), "tokens")
+    same = each.groupBy("h0", "h1").agg(F.min("token").alias("item"))
+    return save(each.join(same, ["h0", "h1"]).select("token", "item", "n", "b"), "kinds")
+
+
+def _counted(sets: DataFrame, occurs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Item sets (items, b) with n, the rows that have all their items.  A set is looked
+    for in the rows of its rarest item."""
+    items = kinds.select("item", "n").distinct()
+    rarest = (sets.select("items", "b", F.explode("items").alias("item")).join(items, "item")
+              .groupBy("items", "b").agg(F.min_by("item", F.struct("n", "item")).alias("item")))
+    wanted = sets.select(F.explode("items").alias("item")).distinct()
+    rows = (occurs.join(sized(kinds.select("token", "item")), "token").select("row", "item").distinct())
+    held = rows.join(sized(save(wanted, "set-items")), "item").groupBy("row").agg(F.collect_set("item").alias("held"))
+    met = held.select("held", F.explode("held").alias("item")).join(sized(save(rarest, "rarest")), "item")
+    return met.where(F.size(F.array_except("items", "held")) == 0).groupBy("items", "b").agg(F.count("*").alias("n"))
+
+
+def _minimal(sets: DataFrame, min_confidence: float, longest: int) -> DataFrame:
+    """The rules among the item sets (items, confidence, support) that no part of
+    theirs makes needless: a rule of at least their confidence.  All parts of a set
+    are sets too, so the surest part is found by size, from sets one item smaller."""
+    surest = F.when(F.col("confidence") >= min_confidence, F.col("confidence")).otherwise(0.0)
+    done = sets.where("size(items) = 1").withColumn("part", F.lit(0.0))
+    out, last = done, done
+    for size in range(2, longest + 1):
+        below = last.select(F.col("items").alias("less"), F.greatest("part", surest).alias("sure"))
+        own = sets.where(F.size("items") == size)
+        parts = own.select("items", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("less"))
+        best = parts.join(below, "less", "left").groupBy("items").agg(F.coalesce(F.max("sure"), F.lit(0.0)).alias("part"))
+        last = save(own.join(best, "items").select(*done.columns), "parts")
+        out = out.unionByName(last)
+    return out.where((F.col("confidence") >= min_confidence) & (F.col("part") < F.col("confidence"))).drop("part")
+
+
+def mine_items(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """labelled(tokens, block boolean) → rules (rule_id, items, confidence, support) of
+    item sets that lead to ``block`` in at least ``min_rows`` rows, and (token, item):
+    a URL has an item if it has one of its tokens.  A rule goes if a part of it is
+    already a rule of at least its confidence; rules of one item are given for each
+    of its tokens.
+
+    Only what a rule can be made of is mined: sets are found in the blocked rows
+    and then counted in all; tokens that always come together are one item, so a
+    long URL that is often labelled is a few items, not all subsets of its tokens;
+    an item that is blocked wherever it occurs is a rule that no larger set improves."""
+    rows = save(labelled.where("block is not null and size(tokens) > 0").select(
+        F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"), "block"), "baskets")
+    all_rows = rows.count()
+    occurs = rows.select("row", "block", F.explode("tokens").alias("token"))
+    kinds = _kinds(occurs, min_rows)
+    ones = kinds.select("item", "n", "b").distinct().select(
+        F.array("item").alias("items"), (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / all_rows).alias("support"))
+    baskets = save(occurs.where("block").join(sized(kinds.where("b < n").select("token", "item")), "token")
+                   .groupBy("row").agg(F.collect_set("item").alias("items")).where("size(items) > 1").select("items"), "mixed")
+    blocked = baskets.count()
+    sets, longest = ones, 1
+    if blocked >= min_rows:
+        # half a row less, so that rounding never asks for one more
+        found = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / blocked).fit(baskets).freqItemsets
+        larger = save(found.where("size(items) > 1").select(F.array_sort("items").alias("items"), F.col("freq").alias("b")), "sets")
+        longest = larger.agg(F.max(F.size("items"))).first()[0] or 1
+        if longest > 1:
+            counts = _counted(larger, occurs, kinds).select(
+                "items", (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / all_rows).alias("support"))
+            sets = save(ones.unionByName(counts), "counted")
+    kept = _minimal(sets, min_confidence, longest)
+    by_token = kept.where("size(items) = 1").join(kinds.select("token", "item"), F.col("items")[0] == F.col("item")).select(
+        F.array("token").alias("items"), "confidence", "support")
+    rules = by_token.unionByName(kept.where("size(items) > 1")).select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support")
+    return save(rules, "rules"), kinds.select("token", "item")
+
+
 def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled(tokens, block boolean) → rules (rule_id, items, confidence, support)
-    of token sets that lead to ``block`` in at least ``min_rows`` rows.  A rule goes
-    if a part of it is already a rule of at least its confidence."""
-    baskets = save(labelled.where("block is not null and size(tokens) > 0").select(
-        F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")), "baskets")
-    n = baskets.count()
-    none = baskets.sparkSession.createDataFrame([], "rule_id long, items array<string>, confidence double, support double")
-    if n < min_rows:
-        return none
-    # half a row less, so that rounding never asks for one more
-    model = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / n, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.array_contains("consequent", BLOCK)).select(
-        F.array_sort("antecedent").alias("items"), "confidence", "support")
-    rules = save(found, "rules")
-    # the parts of a rule are its subsets: no pairs of rules that merely share a common token
-    named = rules.withColumn("rule_id", F.xxhash64("items"))
-    subsets = F.aggregate("items", F.array(F.array().cast("array<string>")),
-                          lambda sets, x: F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(x)))))
-    parts = (named.select("rule_id", "confidence", F.size("items").alias("size"), F.explode(subsets).alias("part"))
-             .where("size(part) between 1 and size - 1")
-             .join(rules.select(F.col("items").alias("part"), F.col("confidence").alias("part_confidence")), "part")
-             .where("part_confidence >= confidence"))
-    return save(named.join(parts.select("rule_id").distinct(), "rule_id", "left_anti"), "kept-rules")
+    """The rules of ``mine_items``."""
+    return mine_items(labelled, min_rows, min_confidence)[0]
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -103,14 +161,26 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
             .select("key", "r.rule_id", "r.confidence"))
 
 
+def _named(urls: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls(key, tokens) with the items of rules that stand for a token of theirs
+    among the tokens."""
+    used = rules.select(F.explode("items").alias("item")).distinct()
+    named = sized(save(items.where("token != item").join(used, "item"), "named"))
+    more = urls.select("key", F.explode("tokens").alias("token")).join(named, "token").groupBy("key").agg(F.collect_set("item").alias("more"))
+    both = F.array_union("tokens", F.coalesce("more", F.array().cast("array<string>")))
+    return save(urls.join(sized(save(more, "more")), "key", "left").select("key", both.alias("tokens")), "urls")
+
+
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, mined_rule, confidence) for every
     page.  The longest stated rule decides; elsewhere a mined rule blocks, and
     without one the URL is allowed.  Null URLs and such without ``://`` have no
-    token and are allowed; equal URLs are judged once; repeated rows repeat."""
-    mined = mine(labelled.select(tokens("url").alias("tokens"), "block"))
+    token and are allowed; equal URLs are judged once; repeated rows repeat; of rules
+    of one confidence the one of the greatest id is named; URLs of any length are
+    read whole; without labels nothing is mined, without pages nothing is judged."""
+    mined, items = mine_items(labelled.select(tokens("url").alias("tokens"), "block"))
     urls = pages.select("url").where("url is not null").distinct().select(F.col("url").alias("key"), tokens("url").alias("tokens"))
-    hits = sized(save(matched(save(urls, "urls"), mined), "hits"))
+    hits = sized(save(matched(_named(save(urls, "urls"), items, mined), mined), "hits"))
     host, path = host_path("url")
     name, verdict = stated(host, path, rules)
     return (pages.select("page_id", "url", host.alias("host"), path.alias("path"), name.alias("rule"), verdict.alias("v"))
