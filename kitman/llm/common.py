@@ -93,3 +93,19 @@ def dealt(held: DataFrame, visits: DataFrame, key: str, salt: str, most: int) ->
     parts = sized(save(visits.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")), "parts"))
     copies = held.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return copies, visits.join(parts, key).withColumn("part", F.pmod(F.xxhash64(salt), F.col("parts")).cast("int")).drop("parts")
+
+
+def set_aside(df: DataFrame, *names: str):
+    """``df`` with other names for its columns that are called like ``names``, and a
+    function that gives them back their own."""
+    taken = {c.lower() for c in (*df.columns, *names)}
+    other = {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"own_{len(other)}"
+            while new in taken:
+                new += "_"
+            taken.add(new)
+            other[c] = new
+    back = {new: c for c, new in other.items()}
+    return (df.withColumnsRenamed(other), lambda out: out.withColumnsRenamed(back)) if other else (df, lambda out: out)

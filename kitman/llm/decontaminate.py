@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, save, sized, word_hashes
+from .common import mix, save, set_aside, sized, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Shingles of all items up to which they are broadcast as one index.
@@ -201,12 +201,15 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: floa
 
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
                   block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``docs``, all columns, without the rows whose text contains an item."""
+    """``docs``, all columns, without the rows whose text contains an item (``leaks``).
+    Null and empty texts contain none; rows that repeat go or stay together; columns
+    of any name are kept; without items all documents stay; texts are read whole."""
     items, block = _items(items, width, block_shingles, threshold)
     if block is None:
-        rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        gone = _pairs(rows.select(F.col("__row").alias("row"), "text"), items, width, threshold).select("row").distinct()
-        return rows.join(gone, F.col("__row") == F.col("row"), "left_anti").drop("__row")
+        docs, named = set_aside(docs, "row")
+        rows = save(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        gone = _pairs(rows.select("row", "text"), items, width, threshold).select("row").distinct()
+        return named(rows.join(gone, "row", "left_anti").select(*docs.columns))
     held, at = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

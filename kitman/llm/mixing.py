@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, sized
+from .common import save, set_aside, sized
 
 #: Largest rate drawn at once; larger ones are sums of independent draws.
 RATE_PART = 500.0
+#: Copies of one document up to which the task that reads it writes them.
+MANY = 1_000
 HEX_DIGITS = 13                     # 52 bits: exact in a double and in a long
 
 
@@ -59,22 +61,40 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
                 .withColumn("cdf", cdf), "rates")
 
 
+def _drawn(cdf: Column, parts: Column, seed: int) -> Column:
+    """A document's count: for each part its uniform number, hashed once, is looked for in ``cdf``."""
+    uniform = F.transform(F.sequence(F.lit(1), parts), lambda j: uniform52(F.lit(seed), F.col("doc_id"), j) / F.lit(float(1 << 4 * HEX_DIGITS)))
+    return F.aggregate(F.transform(uniform, lambda u: F.size(F.filter(cdf, lambda c: c <= u))), F.lit(0), lambda a, x: a + x)
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None,
                 seed: int = 7) -> DataFrame:
     """``docs`` replicated to the target weights and shuffled: its columns, then
     copy_no (1..n_copies), n_copies and shuffle_key (input columns of these names
     are replaced).  Null sources are a source; null or empty texts are drawn like
     any other; rows that repeat a doc_id draw the same count; an empty table
-    gives an empty one."""
+    gives an empty one; columns of any other name are kept.
+
+    A document of which very many copies may be drawn is first dealt out in about as
+    many pieces as each piece then has copies, so that no task writes them all."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("copy_no", "n_copies", "shuffle_key")))
+    docs, named = set_aside(docs, "mix_source", "mix_parts", "mix_cdf", "mix_piece")
+    own = docs.columns
     by = rates(docs, weights, total).select(
-        F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    own = [c for c in docs.columns if c.lower() not in ("copy_no", "n_copies", "shuffle_key")]
-    draw = F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: F.size(F.filter(
-            F.col("__cdf"), lambda c: c <= uniform52(F.lit(seed), F.col("doc_id"), j) / F.lit(float(1 << 4 * HEX_DIGITS))))),
-        F.lit(0), lambda a, x: a + x)
-    copies = (docs.join(sized(by), F.col("source").eqNullSafe(F.col("__source")))
-              .select(*own, draw.alias("n_copies")).where("n_copies > 0")
-              .select(*own, F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"), "n_copies"))
+        F.col("source").alias("mix_source"), F.col("parts").alias("mix_parts"), F.col("cdf").alias("mix_cdf"))
+    # the greatest count that a source's documents can draw
+    many = F.col("mix_parts") * F.size("mix_cdf") > MANY
+
+    def drawn(sources: DataFrame) -> DataFrame:
+        return (docs.join(sized(sources), F.col("source").eqNullSafe(F.col("mix_source")))
+                .select(*own, _drawn(F.col("mix_cdf"), F.col("mix_parts"), seed).alias("n_copies")).where("n_copies > 0"))
+
+    copies = drawn(by.where(~many)).select(*own, F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"), "n_copies")
+    if not by.where(many).isEmpty():
+        step = F.ceil(F.sqrt(F.col("n_copies").cast("double"))).cast("int")
+        pieces = (drawn(by.where(many)).select(*own, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1, step)).alias("mix_piece"))
+                  .repartition("doc_id", "mix_piece"))
+        copies = copies.unionByName(pieces.select(*own, F.explode(F.sequence(
+            F.col("mix_piece") + 1, F.least(F.col("mix_piece") + step, F.col("n_copies")))).alias("copy_no"), "n_copies"))
     keyed = copies.withColumn("shuffle_key", uniform52(F.lit("shuffle"), F.lit(seed), F.col("doc_id"), F.col("copy_no")))
-    return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", "doc_id")
+    return named(keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", "doc_id"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, set_aside
 
 ROW_BYTES = 8
 RANGES_PER_SHARD = 8
@@ -207,12 +207,13 @@ def assign(keys: DataFrame, made: Plan) -> DataFrame:
 def shard(docs: DataFrame, n_shards: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``docs`` dealt to ``n_shards`` shards of nearly equal bytes (UTF-8 bytes of
     the text plus 8): its columns, shard, slot (input columns of these names are
-    replaced).  A shard is off the mean by at most a document or a run of copies of
+    replaced; others of any name are kept).  A shard is off the mean by at most a document or a run of copies of
     ``WHOLE_GROUP`` of a shard.  Null texts count 8 bytes, null ids come first; rows
     equal in text and id are interchangeable, and a shard boundary divides them only
     if they are more than that; an empty table gives an empty one."""
+    docs, named = set_aside(docs, *_KEY, "__size", "__part")
     keys = keyed(docs)
-    return assign(keys, plan(keys, n_shards, rows_per_range))
+    return named(assign(keys, plan(keys, n_shards, rows_per_range)))
 
 
 def write(sharded: DataFrame, path: str) -> None:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, save, sized
+from .common import BROADCAST_ROWS, save, set_aside, sized
 from .components import components
 
 BITS, BLOCK = 64, 1 << 16
@@ -109,7 +109,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """``docs`` without the documents that are not the smallest id of their
     component.  A document is its ``doc_id``: rows that repeat an id stay or go
-    together; rows without an id stay."""
+    together; rows without an id stay; null and empty texts are copies of each other;
+    columns of any name are kept; an empty table gives an empty one."""
+    docs, named = set_aside(docs, "__gone")
     gone = save(near_duplicates(docs, width, radius).where("doc_id != component_id")
                 .select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(sized(gone, BROADCAST_ROWS), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return named(docs.join(sized(gone, BROADCAST_ROWS), F.col("doc_id") == F.col("__gone"), "left_anti"))
