@@ -69,34 +69,18 @@ def _kinds(occurs: DataFrame, min_rows: int) -> DataFrame:
     return save(each.join(same, ["h0", "h1"]).select("token", "item", "n", "b"), "kinds")
 
 
-def _counted(sets: DataFrame, occurs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Item sets (items, b) with n, the rows that have all their items.  A set is looked
-    for in the rows of its rarest item."""
-    items = kinds.select("item", "n").distinct()
-    rarest = (sets.select("items", "b", F.explode("items").alias("item")).join(items, "item")
-              .groupBy("items", "b").agg(F.min_by("item", F.struct("n", "item")).alias("item")))
-    wanted = sets.select(F.explode("items").alias("item")).distinct()
-    rows = (occurs.join(sized(kinds.select("token", "item")), "token").select("row", "item").distinct())
-    held = rows.join(sized(save(wanted, "set-items")), "item").groupBy("row").agg(F.collect_set("item").alias("held"))
-    met = held.select("held", F.explode("held").alias("item")).join(sized(save(rarest, "rarest")), "item")
-    return met.where(F.size(F.array_except("items", "held")) == 0).groupBy("items", "b").agg(F.count("*").alias("n"))
-
-
-def _minimal(sets: DataFrame, min_confidence: float, longest: int) -> DataFrame:
-    """The rules among the item sets (items, confidence, support) that no part of
-    theirs makes needless: a rule of at least their confidence.  All parts of a set
-    are sets too, so the surest part is found by size, from sets one item smaller."""
-    surest = F.when(F.col("confidence") >= min_confidence, F.col("confidence")).otherwise(0.0)
-    done = sets.where("size(items) = 1").withColumn("part", F.lit(0.0))
-    out, last = done, done
-    for size in range(2, longest + 1):
-        below = last.select(F.col("items").alias("less"), F.greatest("part", surest).alias("sure"))
-        own = sets.where(F.size("items") == size)
-        parts = own.select("items", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("less"))
-        best = parts.join(below, "less", "left").groupBy("items").agg(F.coalesce(F.max("sure"), F.lit(0.0)).alias("part"))
-        last = save(own.join(best, "items").select(*done.columns), "parts")
-        out = out.unionByName(last)
-    return out.where((F.col("confidence") >= min_confidence) & (F.col("part") < F.col("confidence"))).drop("part")
+def _minimal(rules: DataFrame) -> DataFrame:
+    """rules(items, confidence, support) without those of which a part is a rule of at
+    least their confidence.  A part is looked for under its rarest item only."""
+    each = rules.withColumn("item", F.explode("items"))
+    often = each.groupBy("item").agg(F.count("*").alias("often"))
+    parts = (each.join(sized(often), "item").groupBy("items")
+             .agg(F.min_by("item", F.struct("often", "item")).alias("item"), F.first("confidence").alias("sure"))
+             .withColumnRenamed("items", "part"))
+    needless = (each.join(sized(save(parts, "parts")), "item")
+                .where((F.size("part") < F.size("items")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("part", "items")) == 0))
+                .select("items").distinct())
+    return rules.join(needless, "items", "left_anti")
 
 
 def mine_items(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
@@ -106,31 +90,29 @@ def mine_items(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: fl
     already a rule of at least its confidence; rules of one item are given for each
     of its tokens.
 
-    Only what a rule can be made of is mined: sets are found in the blocked rows
-    and then counted in all; tokens that always come together are one item, so a
-    long URL that is often labelled is a few items, not all subsets of its tokens;
-    an item that is blocked wherever it occurs is a rule that no larger set improves."""
+    Only what a rule can be made of is mined: items of enough blocked rows.  Tokens that
+    always come together are one item, so a long URL that is often labelled is a
+    few items, not all subsets of its tokens; an item that is blocked wherever it
+    occurs is a rule that no larger set improves."""
     rows = save(labelled.where("block is not null and size(tokens) > 0").select(
         F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"), "block"), "baskets")
     all_rows = rows.count()
     occurs = rows.select("row", "block", F.explode("tokens").alias("token"))
     kinds = _kinds(occurs, min_rows)
-    ones = kinds.select("item", "n", "b").distinct().select(
-        F.array("item").alias("items"), (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / all_rows).alias("support"))
-    baskets = save(occurs.where("block").join(sized(kinds.where("b < n").select("token", "item")), "token")
-                   .groupBy("row").agg(F.collect_set("item").alias("items")).where("size(items) > 1").select("items"), "mixed")
-    blocked = baskets.count()
-    sets, longest = ones, 1
-    if blocked >= min_rows:
+    sure = lambda b, n: [(F.col(b) / F.col(n)).alias("confidence"), (F.col(b) / all_rows).alias("support")]
+    found = kinds.select("item", "n", "b").distinct().select(F.array("item").alias("items"), *sure("b", "n"))
+    mixed = (occurs.join(sized(kinds.where("b < n").select("token", "item")), "token")
+             .groupBy("row", "block").agg(F.collect_set("item").alias("items")).where("size(items) > 1"))
+    baskets = save(mixed.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items")), "mixed")
+    n = baskets.count()
+    if n >= min_rows:
         # half a row less, so that rounding never asks for one more
-        found = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / blocked).fit(baskets).freqItemsets
-        larger = save(found.where("size(items) > 1").select(F.array_sort("items").alias("items"), F.col("freq").alias("b")), "sets")
-        longest = larger.agg(F.max(F.size("items"))).first()[0] or 1
-        if longest > 1:
-            counts = _counted(larger, occurs, kinds).select(
-                "items", (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / all_rows).alias("support"))
-            sets = save(ones.unionByName(counts), "counted")
-    kept = _minimal(sets, min_confidence, longest)
+        sets = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / n).fit(baskets).freqItemsets.where("size(items) > 1")
+        sets = save(sets.select(F.array_sort(F.array_remove("items", BLOCK)).alias("items"), F.array_contains("items", BLOCK).alias("blocked"), "freq"), "sets")
+        blocked = sets.where("blocked and size(items) > 1").select("items", F.col("freq").alias("b"))
+        larger = blocked.join(sets.where("not blocked").select("items", F.col("freq").alias("n")), "items")
+        found = found.unionByName(larger.select("items", *sure("b", "n")))
+    kept = _minimal(save(found.where(F.col("confidence") >= min_confidence), "found"))
     by_token = kept.where("size(items) = 1").join(kinds.select("token", "item"), F.col("items")[0] == F.col("item")).select(
         F.array("token").alias("items"), "confidence", "support")
     rules = by_token.unionByName(kept.where("size(items) > 1")).select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support")
