@@ -107,17 +107,35 @@ def seal_valid(proof: Column, seal_col: Column, key: bytes) -> Column:
     return F.coalesce(hmac_sha256_hex(canonical_json(proof), key) == seal_col, F.lit(False))
 
 
-def verify(proofs: DataFrame, key: bytes) -> DataFrame:
-    """O18 over stored proofs: valid flag, issued_at_iso, count, message."""
-    valid = seal_valid(F.col("proof"), F.col("seal"), key)
+def key_ring(*keys: bytes) -> dict[str, bytes]:
+    """Keys by the id that a proof names."""
+    return {key_id(k): k for k in keys}
+
+
+def verify(proofs: DataFrame, key: bytes | dict[str, bytes]) -> DataFrame:
+    """O18 over stored proofs: valid flag, issued_at_iso, count, message.
+
+    ``key``: one key for all proofs, or a key ring: each proof is then checked under
+    the key that its ``key_id`` names, so proofs sealed before a change of keys stay
+    valid as long as the old key is in the ring.  A null or unknown id is invalid and
+    said to be unknown, not altered."""
+    if isinstance(key, bytes):
+        valid, known = seal_valid(F.col("proof"), F.col("seal"), key), F.lit(True)
+    else:
+        def checked(body: Column) -> Column:
+            out = F.lit(False)
+            for name, one in key.items():
+                out = F.when(F.col("key_id") == name, F.coalesce(hmac_sha256_hex(body, one) == F.col("seal"), F.lit(False))).otherwise(out)
+            return out
+        valid, known = let(canonical_json(F.col("proof")), checked), F.coalesce(F.col("key_id").isin(list(key)), F.lit(False))
     return proofs.select(
         "document_id", valid.alias("valid"),
         F.col("proof.issued_at_iso").alias("issued_at_iso"),
         F.col("proof.redaction_count").alias("redaction_count"),
-        verify_message(valid).alias("detail"))
+        F.when(known, verify_message(valid)).otherwise("Unknown key.").alias("detail"))
 
 
-def verify_requests(requests: DataFrame, proofs: DataFrame, key: bytes) -> DataFrame:
+def verify_requests(requests: DataFrame, proofs: DataFrame, key: bytes | dict[str, bytes]) -> DataFrame:
     """O18 lookup by id: malformed ids (S05) are rejected before the lookup;
     ids with no stored proof → found = false."""
     ask = requests.select("document_id", valid_document_id(F.col("document_id")).alias("well_formed"))

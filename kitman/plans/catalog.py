@@ -569,6 +569,21 @@ def q_o18_verify_requests(spark, sf_dir):
     return P.verify_requests(req, _sealed(spark, sf_dir), DEMO_KEY).select("document_id", "found", "valid", "detail")
 
 
+def q_o18_verify_key_ring(spark, sf_dir):
+    """Proofs sealed under three keys by turns; the ring holds two of them, and the
+    stored seal of every fifth proof is of another proof's body."""
+    extracts, _, decisions = reviewed(spark, sf_dir)
+    proofs = release(extracts, decisions, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT).select("document_id", "proof")
+    number = F.conv(F.substring("document_id", 5, 10), 16, 10).cast("long")
+    old, lost = b"kitman-retired-key", b"kitman-lost-key"
+    sealed = None
+    for turn, key in enumerate((DEMO_KEY, old, lost)):
+        part = P.seal(proofs.filter(number % 3 == turn), key)
+        sealed = part if sealed is None else sealed.unionByName(part)
+    altered = F.when(number % 5 == 0, F.col("proof").withField("issued_at", F.col("proof.issued_at") + 1)).otherwise(F.col("proof"))
+    return P.verify(sealed.withColumn("proof", altered), P.key_ring(DEMO_KEY, old)).select("document_id", "valid", "detail")
+
+
 def q_o22_release_external(spark, sf_dir):
     """External path over derived responses; e-mail spans of documents whose id 5
     divides are rejected."""
@@ -697,6 +712,7 @@ def build() -> dict[str, Query]:
         "o22_release": q_o22_release,
         "o22_release_external": q_o22_release_external,
         "o18_verify_requests": q_o18_verify_requests,
+        "o18_verify_key_ring": q_o18_verify_key_ring,
         "s07_clean_text": q_s07_clean_text,
         "s08_proofs": q_s08_proofs,
         "s11_state": q_s11_state,

@@ -434,6 +434,8 @@ def build() -> dict[str, str]:
                CASE WHEN s.seal IS NOT NULL THEN '{R.VERIFY_OK}' ELSE 'Not found.' END AS detail
         FROM req LEFT JOIN sealed s ON s.document_id = req.id
         UNION ALL SELECT bad, false, false, 'Invalid document id.' FROM req"""
+    q["o18_verify_key_ring"] = rel + f""" SELECT document_id, doc_id % 3 <> 2 AND doc_id % 5 <> 0 AS valid,
+        CASE WHEN doc_id % 3 = 2 THEN 'Unknown key.' WHEN doc_id % 5 = 0 THEN '{R.VERIFY_BAD}' ELSE '{R.VERIFY_OK}' END AS detail FROM sealed"""
     q["st2_stream_decisions"] = rel + """ SELECT document_id, CAST(cnt AS INTEGER) AS redacted_count, seal
         FROM sealed WHERE document_id IN (SELECT document_id FROM dec)"""
     q["t19_verify_message"] = rel + f""" SELECT document_id, true AS valid, '{R.VERIFY_OK}' AS detail, 'stored' AS copy FROM sealed
