@@ -32,7 +32,7 @@ MIN_LETTERS, MIN_COUNT, FORM_RATIO = 6, 5, 5
 #: One run in so many is damaged (0: none).
 DAMAGE = 199
 LEVELS = 16
-BLOCK_WORDS, BLOCK_VISITS = 50_000, 200_000
+BLOCK_WORDS, BLOCK_VISITS = 50_000, 50_000
 #: States that a step of the search holds; more are searched in halves, one after the other.
 STATES = 1 << 18
 #: Distinct words after which a task hands on its counts.
