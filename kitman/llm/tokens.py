@@ -15,7 +15,6 @@ end, so a repeated or lost attempt leaves at most a hidden file.
 from __future__ import annotations
 
 import struct
-import sys
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -87,9 +86,10 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.lowers = self._each([b"QxZ"]) == self._each([b"qxz"])
-        normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
-        #: Letters that the normaliser turns into something else than letters.
-        self.unsteady = {c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalpha() and not normalize(c).isalpha()}
+        self.normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        #: Letters met, and those that the normaliser turns into something else than letters.
+        self.met: set[str] = set()
+        self.unsteady: set[str] = set()
         self.words, self.others, self.pieces = (
             Recent(f, CACHE_PIECES) for f in (self._words, self._each, self._pieces))
 
@@ -112,7 +112,13 @@ class Encoder:
         if word.isascii():
             return word.isalpha()
         s = word.decode()
-        return s.isalpha() and self.unsteady.isdisjoint(s)
+        if not s.isalpha():
+            return False
+        if not self.met.issuperset(s):
+            new = set(s) - self.met
+            self.met |= new
+            self.unsteady.update(c for c in new if not self.normalize(c).isalpha())
+        return self.unsteady.isdisjoint(s)
 
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         """A word of letters and a tail of ASCII marks apart, anything else as it is."""
