@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, save, set_aside, sized, word_hashes
@@ -31,6 +31,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BLOCK_SHINGLES = 500_000
 _SPACE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _FILTER_BITS = 20
+#: Leading bits of a hash by which the joined path tells what no sketch holds.
+_SKETCH_BITS = 27
 
 
 def words(text: str | None) -> list[bytes]:
@@ -59,9 +61,8 @@ def _hashes(ws: list[bytes], width: int) -> np.ndarray:
 
 def _sketch(hs: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
     """Bottom-k of the distinct hashes, and the least size in the item's partition."""
-    part = len(hs).bit_length() - 1                        # sizes 2^part .. 2^(part+1) - 1
-    k = int((1 - threshold) * (2 ** (part + 1) - 1) + 1e-9) + 1
-    return hs[:k], 2 ** part
+    k, least = _kept(len(hs), threshold)
+    return hs[:k], least
 
 
 @dataclass
@@ -139,24 +140,58 @@ def _items(items: DataFrame, width: int, most: int, threshold: float) -> tuple[D
     return held, block.seal()
 
 
+def _kept(sizes: int, threshold: float) -> tuple[int, int]:
+    """How many hashes the sketch of an item of so many shingles holds, and the least
+    size in its partition."""
+    part = sizes.bit_length() - 1                           # sizes 2^part .. 2^(part+1) - 1
+    return int((1 - threshold) * (2 ** (part + 1) - 1) + 1e-9) + 1, 2 ** part
+
+
+def _sketches(texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(h, item, least), written: of each item the hashes that fewest items have (ties:
+    the least).  Any fixed order of the hashes loses no pair; this one keeps what
+    many items share, a heading say, out of the sketches."""
+    def hashed(item: int, ws: list[bytes]):
+        hs = np.unique(_hashes(ws, width)).view(np.int64)
+        k, least = _kept(len(hs), threshold) if len(hs) else (0, 0)
+        return hs, np.full(len(hs), item), np.full(len(hs), k), np.full(len(hs), least)
+
+    every = save(_mapped(texts, hashed, "h long, item long, k long, least long"), "item-hashes")
+    often = every.groupBy("h").agg(F.count("*").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("items", "h"))
+    return save(every.join(often, "h").withColumn("rank", rank).where("rank <= k").select("h", "item", "least"), "sketches")
+
+
+def _filter(sketches: DataFrame) -> np.ndarray:
+    """A bit for the leading ``_SKETCH_BITS`` bits of every hash in a sketch: 16 MB at
+    most, whatever the number of items."""
+    top = F.shiftrightunsigned("h", 64 - _SKETCH_BITS)
+    bits = sketches.select(F.shiftright(top, 6).alias("word"), top.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(
+        F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    got = bits.toPandas()
+    out = np.zeros(1 << (_SKETCH_BITS - 6), np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
 def _pairs(docs: DataFrame, held: DataFrame, width: int, threshold: float) -> DataFrame:
     """docs(row, text) and numbered items → (row, item, q, c): c of the item's q
-    distinct shingles are in the document, at the threshold."""
-    def sketch(item: int, ws: list[bytes]):
-        some, least = _sketch(np.unique(_hashes(ws, width)), threshold) if ws else ([], 0)
-        some = np.asarray(some, np.uint64).view(np.int64)
-        return some, np.full(len(some), item), np.full(len(some), least)
+    distinct shingles are in the document, at the threshold.  Of the documents'
+    hashes only those that a sketch may hold are shuffled."""
+    texts = held.select("item", "t")
+    sketches = sized(_sketches(texts, width, threshold))
+    maybe = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(sketches)))
 
     def hashed(row: int, ws: list[bytes]):
-        hs = np.unique(_hashes(ws, width)).view(np.int64)
-        return hs, np.full(len(hs), row), np.full(len(hs), len(hs))
+        hs = np.unique(_hashes(ws, width))
+        n, top = len(hs), (hs >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)
+        hs = hs[(maybe.value[top >> 3] >> (7 - (top & 7))) & 1 > 0].view(np.int64)
+        return hs, np.full(len(hs), row), np.full(len(hs), n)
 
     def shingles(key: int, ws: list[bytes]):
         g = list(_strings(ws, range(_count(len(ws), width)), width))
         return g, [key] * len(g), [len(g)] * len(g)
 
-    texts = held.select("item", "t")
-    sketches = sized(save(_mapped(texts, sketch, "h long, item long, least long"), "sketches"))
     found = save(_mapped(docs, hashed, "h long, row long, size long").join(sketches, "h")
                  .where(F.col("size") >= F.col("least") * threshold - 1e-9).select("row", "item").distinct(), "candidates")
     own = _mapped(docs.join(found.select("row").distinct(), "row", "left_semi"), shingles, "g binary, row long, size long")

@@ -201,3 +201,24 @@ def test_stages_keep_columns_of_any_name(spark):
     big = decontaminate.without_leaks(docs, table(spark, "benchmark"), block_shingles=0)
     assert big.columns == docs.columns and big.count() == docs.count()
     assert mixing.mix_sources(docs).columns == [*docs.columns, "copy_no", "n_copies", "shuffle_key"]
+
+
+# -- 6: items that share a heading ------------------------------------------------------------
+
+def test_a_heading_that_all_items_share(spark):
+    import random
+    r = random.Random(4)
+    prose = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    heading = prose(30)
+    items = [(i, f"{heading} {prose(40)}") for i in range(120)] + [(500, heading), (501, None), (502, "short one")]
+    docs = [(i, f"{heading} {prose(60)}") for i in range(150)] + [(1000 + i, f"{prose(20)} {t} {prose(20)}") for i, t in items if t] + [(2000, "short one"), (2001, None)]
+    docs.append((2002, " ".join(items[7][1].split()[:60])))               # most of an item
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda x: (x["doc_id"], x["item_id"], x["item_shingles"], x["contained"])
+    small, large = (sorted(map(key, decontaminate.leaks(d, b, block_shingles=n).collect())) for n in (500_000, 0))
+    assert small == large and {(x[0], x[1]) for x in large} >= {(1000 + i, i) for i, t in items if t and len(t) > 20}
+    held = b.select(F.monotonically_increasing_id().alias("item"), F.col("text").alias("t"))
+    sketches = decontaminate._sketches(held, 5, 0.8)
+    # the heading's own item aside, no two items have a hash of their sketches in common
+    assert sketches.groupBy("h").count().where("count > 2").count() == 0
