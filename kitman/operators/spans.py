@@ -174,26 +174,51 @@ def _ranked(spans: Column) -> Column:
     return F.transform(F.sort_array(keyed), lambda y: y["span"])
 
 
+def _blocks(S: Column) -> Column:
+    """Ranges of ranked spans that are resolved at once: a run of spans equal in
+    confidence, length and rule if it is long (no two hits of a rule overlap), else
+    about the square root of the number of spans."""
+    n = F.size(S)
+    differs = lambda x, y: ((x["confidence"] != y["confidence"]) | (x["rule"] != y["rule"])
+                            | (x["end"] - x["start"] != y["end"] - y["start"]))
+    starts = F.filter(index_range(n), lambda i: F.when(i == 0, F.lit(True)).otherwise(differs(S[i], S[i - 1])))
+    width = F.ceil(F.sqrt(n)).cast("int")
+    ranges = lambda cuts: F.transform(cuts, lambda c, j: F.struct(
+        c.alias("a"), F.coalesce(F.get(cuts, j + 1), n).alias("b")))
+
+    def cut(L: Column) -> Column:
+        even = F.filter(F.transform(index_range(F.ceil(n / width).cast("int")), lambda b: b * width),
+                        lambda m: ~F.exists(L, lambda x: (m > x["a"]) & (m < x["b"])))
+        marks = F.concat(even, F.transform(L, lambda x: x["a"]), F.transform(L, lambda x: x["b"]))
+        return let(F.sort_array(F.array_distinct(F.filter(marks, lambda m: m < n))), ranges)
+
+    return let(F.filter(let(starts, ranges), lambda x: x["b"] - x["a"] >= width), cut)
+
+
 def resolve_overlaps(spans: Column) -> Column:
     """Rank by (confidence desc, length desc, emission order) and keep
     each span that overlaps no span kept before it; result sorted by start.
 
-    The ranked spans are taken in blocks of about the square root of their
-    number.  A block first loses what overlaps the spans kept so far (disjoint,
-    sorted: binary search); the rest is compared only with what the same block
-    keeps, and the kept ones are merged into the sorted set once a block.  So n
-    spans cost O(n ** 1.5) steps however they overlap."""
+    The ranked spans are taken in blocks.  A block first loses what overlaps the spans
+    kept so far (disjoint, sorted: binary search); if the rest is disjoint it is kept,
+    else it competes within the block; the kept ones are merged into the sorted
+    set once a block.  Hits of few rules and lengths make few long blocks, so chains of
+    them cost O(n log n); n spans of many lengths cost at most O(n ** 1.5) steps
+    however they overlap."""
     def compete(acc: Column, x: Column) -> Column:
         clash = F.exists(acc, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
 
     def by_rank(S: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(S))).cast("int")
+        def added(fresh: Column) -> Column:
+            in_order = lambda A: F.exists(F.zip_with(A, F.slice(A, 2, F.size(A)), lambda x, y: x["end"] > y["start"]), lambda c: c)
+            return F.when(F.coalesce(let(F.sort_array(fresh), in_order), F.lit(False)),
+                          F.aggregate(fresh, empty_like(S), compete)).otherwise(fresh)
 
         def block(kept: Column, b: Column) -> Column:
-            fresh = F.filter(F.slice(S, b * width + 1, width), lambda x: ~_overlaps_kept(kept, x))
-            return F.sort_array(F.concat(kept, F.aggregate(fresh, empty_like(S), compete)))
+            fresh = F.filter(F.slice(S, b["a"] + 1, b["b"] - b["a"]), lambda x: ~_overlaps_kept(kept, x))
+            return F.sort_array(F.concat(kept, let(fresh, added)))
 
-        return F.aggregate(index_range(F.ceil(F.size(S) / width).cast("int")), empty_like(S), block)
+        return F.aggregate(_blocks(S), empty_like(S), block)
 
     return let(spans, lambda S: F.when(F.size(S) <= 1, S).otherwise(let(_ranked(S), by_rank)))

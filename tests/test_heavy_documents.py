@@ -29,3 +29,46 @@ def test_heavy_document(spark, name):
     assert [(s.start, s.end, s.kind, s.text) for s in r.spans] == \
         [(s["start"], s["end"], s["kind"], s["text"]) for s in want]
     assert r.red == pyoracle.redact(text, want)
+
+
+def test_sixty_four_thousand_chained_hits(spark):
+    """Cards and IP addresses by turns, each overlapping the next; few lengths."""
+    import random
+    import time
+
+    from kitman.operators.spans import SPAN_ARRAY, resolve_overlaps
+    r, spans, at = random.Random(1), [], 0
+    for i in range(64_000):
+        length = r.choice((7, 9, 11)) if i % 2 else r.choice((13, 15, 16))
+        spans.append((at, at + length, i % 2, i // 2, at, at + length, "x", "x", 0.8))
+        at += length - r.choice((1, 2, 3))
+    df = spark.createDataFrame([(spans,)], f"spans {SPAN_ARRAY}")
+    began = time.time()
+    got = [(s.start, s.end) for s in df.select(resolve_overlaps(F.col("spans")).alias("r")).first().r]
+    took = time.time() - began
+    kept, taken = [], set()
+    for s in sorted(spans, key=lambda s: (s[0] - s[1], s[2], s[3])):
+        if not any(p in taken for p in range(s[0], s[1])):
+            kept.append(s[:2])
+            taken.update(range(s[0], s[1]))
+    assert got == sorted(kept) and took < 30
+
+
+def test_many_values_that_share_a_fragment(spark):
+    import time
+
+    from kitman.operators.values import operation_log, redact_values
+    n = 64_000
+    lines = [f"Address: Main Street, unit {i}" for i in range(n)]
+    text, spans, at = "\n".join(lines), [], 0
+    for i, line in enumerate(lines):
+        value = line[len("Address: "):]
+        spans.append((at + 9, at + len(line), 1, i, at + 9, at + len(line), "address", value, 0.75, "en", True))
+        at += len(line) + 1
+    kinds = ("array<struct<start:int,end:int,rule:int,seq:int,bstart:int,bend:int,kind:string,text:string,"
+             "confidence:double,lang:string,approved:boolean>>")
+    df = spark.createDataFrame([(text, spans)], f"text string, spans {kinds}")
+    began = time.time()
+    got = operation_log(redact_values(df)).select("redacted", F.size("ops").alias("n")).first()
+    assert got.n == n + 2 and "Main Street" not in got.redacted and "unit" not in got.redacted
+    assert time.time() - began < 60
