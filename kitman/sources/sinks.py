@@ -148,7 +148,7 @@ def prepare(df: DataFrame, path: str, fmt: str = "parquet", name: str | None = N
     ``documents``: further documents that the write names, with rows or not."""
     spark = df.sparkSession
     base, number = _numbered(name) if name else (uuid.uuid4().hex, 0)
-    folder = f"{name or base}-{uuid.uuid4().hex}"
+    folder = re.sub(r"[^\w.-]", "_", f"{name or base}-{uuid.uuid4().hex}", flags=re.ASCII)
     df.write.format(fmt).save(f"{path}/version={folder}")
     made = Version(folder, {base: number} if name else {}, df.schema.json(), level=level, note=note or {})
     if "document_id" in df.columns:
@@ -233,7 +233,7 @@ def _looked_up(spark: SparkSession, path: str, fmt: str, live: list[Version], wa
         return i < len(wanted) and wanted[i] <= high
 
     wanted = sorted(wanted)
-    files = [f"{path}/_ids/{v.folder}/{f}" for v in live for f, low, high in v.ids if meets(low, high)]
+    files = [f"{path}/_ids/{v.folder}/{f}" for v in live for f, low, high in v.ids or [] if meets(low, high)]
     here = F.col("document_id").isin(wanted)
     newest: list = []
     if files:
@@ -294,14 +294,13 @@ def changed(spark: SparkSession, path: str, since: int = 0) -> tuple[DataFrame,
     ``since``, the newest number, and whether that is all there is to tell: if lists
     after ``since`` have been cleaned away, all documents of the store count as
     changed, and which ones were erased is not known.  Folding changes nothing."""
-    number, whole = _newest(spark, path), not since
-    have = {int(n) for n in _names(spark, f"{path}/_log") if n.isdigit()}
-    if not whole and all(n in have for n in range(since, number + 1)):
+    number = _newest(spark, path)
+    have = {int(n) for n in _names(spark, f"{path}/_log") if n.isdigit()} | {0}       # before the first commit there was nothing
+    whole = not have.issuperset(range(since, number + 1))
+    if not whole:
         lists = [_live(spark, path, n) for n in range(since, number + 1)]
         folders = {v.folder for old, new in zip(lists, lists[1:]) for v in new if not v.level and v.folder not in {x.folder for x in old}}
         whole = not all(exists(spark, f"{path}/_ids/{f}") for f in folders)
-    else:
-        whole = True
     if whole:
         folders = set(_versions(spark, path))
     at = [f"{path}/_ids/{f}" for f in sorted(folders)]

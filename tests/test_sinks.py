@@ -121,7 +121,7 @@ def test_changed_documents_since_a_commit(spark):
     path = _store()
     sinks.write_rows(_frame(spark, [("d1", "a"), ("d2", "b")]), path)
     docs, number, whole = sinks.changed(spark, path)
-    assert whole and sorted(r[0] for r in docs.collect()) == ["d1", "d2"]
+    assert not whole and sorted(r[0] for r in docs.collect()) == ["d1", "d2"]
     for i in range(9):                                      # folds on the way
         sinks.write_rows(_frame(spark, [(f"e{i}", "x")]), path, documents=_frame(spark, [("d2", "")]) if i == 4 else None)
     docs, later, whole = sinks.changed(spark, path, number)
@@ -131,3 +131,24 @@ def test_changed_documents_since_a_commit(spark):
     sinks.clean(spark, path, older_than_s=0)                # too old to tell: all that is there
     docs, _, whole = sinks.changed(spark, path, number)
     assert whole and sorted(r[0] for r in docs.collect()) == sorted(["d1", *(f"e{i}" for i in range(9))])
+
+
+def test_only_what_has_changed_is_released_again(spark):
+    from kitman.operators.review import spans_table
+    from kitman.plans.release import DECISION_SCHEMA, release_changes
+    base = _store()
+    texts = [("doc_00000000aa", F1_CONTRACT), ("doc_00000000bb", F2_LABELS), ("doc_00000000cc", "Email: c@example.com")]
+    extracts = extract(spark.createDataFrame(texts, "document_id string, text string")).select("document_id", "text", "spans", "engine").persist()
+    sinks.write_rows(extracts, f"{base}/extracts")
+    made = lambda: release_changes(spark, f"{base}/extracts", f"{base}/decisions", f"{base}/releases", key=DEMO_KEY, issued_at=FIXED_ISSUED_AT)
+    now = lambda: {r.document_id: (r.redacted_count, r.seal) for r in sinks.read_rows(spark, f"{base}/releases").collect()}
+    assert made() == 3 and made() == 0
+    first = now()
+    (span,) = spans_table(extracts.filter("document_id = 'doc_00000000cc'")).collect()
+    decision = spark.createDataFrame([("doc_00000000cc", span.span_id, False, 1, 1)], DECISION_SCHEMA)
+    sinks.write_rows(decision, f"{base}/decisions", name="my stream/1")
+    assert made() == 1
+    batch = {r.document_id: (r.redacted_count, r.seal) for r in release(extracts, decision, key=DEMO_KEY, issued_at=FIXED_ISSUED_AT).collect()}
+    assert now() == batch and batch["doc_00000000cc"] != first["doc_00000000cc"] and batch["doc_00000000aa"] == first["doc_00000000aa"]
+    sinks.erase(spark, f"{base}/extracts", decision)
+    assert made() == 1 and set(now()) == {"doc_00000000aa", "doc_00000000bb"}
