@@ -150,7 +150,7 @@ def _named(urls: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
     named = sized(save(items.where("token != item").join(used, "item"), "named"))
     more = urls.select("key", F.explode("tokens").alias("token")).join(named, "token").groupBy("key").agg(F.collect_set("item").alias("more"))
     both = F.array_union("tokens", F.coalesce("more", F.array().cast("array<string>")))
-    return save(urls.join(sized(save(more, "more")), "key", "left").select("key", both.alias("tokens")), "urls")
+    return save(urls.join(save(more, "more"), "key", "left").select("key", both.alias("tokens")), "urls")
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
