@@ -234,10 +234,12 @@ def _looked_up(spark: SparkSession, path: str, fmt: str, live: list[Version], wa
 
     wanted = sorted(wanted)
     files = [f"{path}/_ids/{v.folder}/{f}" for v in live for f, low, high in v.ids or [] if meets(low, high)]
-    here = F.col("document_id").isin(wanted)
     newest: list = []
     if files:
-        newest = (_ids(spark, path, live, files).where(here).groupBy("document_id")
+        # a join, not a list of literals: every rule of the planner would walk through it
+        few = F.broadcast(spark.createDataFrame([(d,) for d in wanted], "document_id string"))
+        within = F.col("document_id").between(wanted[0], wanted[-1])
+        newest = (_ids(spark, path, live, files).where(within).join(few, "document_id", "left_semi").groupBy("document_id")
                   .agg(F.max("place").alias("place"), F.collect_list(F.struct("place", "folder", "file")).alias("at"))
                   .select("document_id", F.explode(F.filter("at", lambda a: a["place"] == F.col("place"))).alias("a"))
                   .where("a.file is not null").select("document_id", "a.folder", "a.file").collect())
@@ -245,7 +247,8 @@ def _looked_up(spark: SparkSession, path: str, fmt: str, live: list[Version], wa
         return _load(spark, path, fmt, live).where("false").drop("version")
     rows = _load(spark, path, fmt, live, sorted({f"{path}/version={r['folder']}/{r['file']}" for r in newest}))
     current = spark.createDataFrame(sorted({(r["document_id"], r["folder"]) for r in newest}), "document_id string, version string")
-    return rows.where(here).join(F.broadcast(current), ["document_id", "version"], "left_semi").drop("version")
+    return (rows.where(F.col("document_id").between(wanted[0], wanted[-1]))
+            .join(F.broadcast(current), ["document_id", "version"], "left_semi").drop("version"))
 
 
 def read_rows(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None,
