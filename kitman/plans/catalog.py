@@ -537,11 +537,11 @@ def q_s10_stored_proofs(spark, sf_dir):
 def q_s01_intake_files(spark, sf_dir):
     """The texts of ``documents`` as files, one each (a line feed after the text),
     read back with a limit of 4 KiB: larger ones are turned away unread."""
+    from ..sources import sinks
     docs, path = load(spark, sf_dir, "documents"), shared_folder(spark, "s01")
-    (docs.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("value")).repartition("doc")
-     .write.partitionBy("doc").text(path))
+    sinks.write_text_files(docs.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("value")), path)
     rows = I.intake_files(spark, path, max_bytes=4096)
-    return rows.select(F.regexp_extract("path", r"/doc=(-?\d+)/", 1).cast("long").alias("doc_id"), "length", "reject_reason",
+    return rows.select(F.regexp_extract("path", r"/doc=(-?\d+)(?:/|\.txt$)", 1).try_cast("long").alias("doc_id"), "length", "reject_reason",
                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -18,10 +18,12 @@ readers go on with the list they have, and ``clean`` removes what no list names.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from bisect import bisect_left
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     fs, p = _folder(spark, path)
     fs.mkdirs(p)
@@ -108,6 +115,42 @@ def _create(spark: SparkSession, path: str, text: str) -> bool:
         fs.delete(tmp, False)
 
 
+#: Text files of a folder.
+FOLDER_FILES = 1000
+
+
+def write_text_files(rows: DataFrame, path: str) -> None:
+    """A file ``doc=<doc>.txt`` for each ``doc`` of rows (doc, value), its values by
+    order with a line feed after each; null ids share a file.
+
+    On a file system that the workers mount, each task writes its own files, a
+    thousand a folder: Spark's writer makes a folder a file, and Hadoop's local file
+    system starts a process for each file's mode and another for its checksum's.
+    Elsewhere Spark's writer is used, with folders ``doc=<doc>``."""
+    spark = rows.sparkSession
+    fs, p = _folder(spark, path)
+    if fs.getScheme() != "file":
+        rows.repartition("doc").write.partitionBy("doc").text(path)
+        return
+    base, per_folder = p.toUri().getPath(), FOLDER_FILES
+    fs.mkdirs(p)
+
+    def write(part: int, part_rows) -> list[int]:
+        n = 0
+        for doc, same in groupby(part_rows, key=lambda r: r["doc"]):
+            folder = f"{base}/{part:05d}-{n // per_folder:05d}"
+            os.makedirs(folder, exist_ok=True)
+            tmp = f"{folder}/.{uuid.uuid4().hex}"           # a task tried twice leaves whole files only
+            with open(tmp, "w", encoding="utf-8", newline="") as out:
+                for r in same:
+                    out.write(r["value"] + "\n")
+            os.replace(tmp, f"{folder}/doc={'null' if doc is None else doc}.txt")
+            n += 1
+        return [n]
+
+    rows.repartition("doc").sortWithinPartitions("doc", "value").rdd.mapPartitionsWithIndex(write).sum()
+
+
 # -- the list of versions -----------------------------------------------------------
 
 def _newest(spark: SparkSession, path: str) -> int:

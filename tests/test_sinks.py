@@ -152,3 +152,28 @@ def test_only_what_has_changed_is_released_again(spark):
     assert now() == batch and batch["doc_00000000cc"] != first["doc_00000000cc"] and batch["doc_00000000aa"] == first["doc_00000000aa"]
     sinks.erase(spark, f"{base}/extracts", decision)
     assert made() == 1 and set(now()) == {"doc_00000000aa", "doc_00000000bb"}
+
+
+def test_text_files_share_folders(spark, tmp_path):
+    """A file a document, but no folder a document; repeated and null ids keep a file each."""
+    import os
+
+    from kitman.sources import sinks
+    rows = [(i, f"text {i}\r\nsecond line ü") for i in range(300)] + [(7, "again"), (None, "x"), (None, "")]
+    sinks.write_text_files(spark.createDataFrame(rows, "doc long, value string"), str(tmp_path / "out"))
+    files = {f: os.path.join(at, f) for at, _, names in os.walk(tmp_path / "out") for f in names}
+    assert len(files) == 301 and set(files) == {f"doc={i}.txt" for i in [*range(300), "null"]}
+    assert len({os.path.dirname(f) for f in files.values()}) <= 200
+    read = lambda name: open(files[name], "rb").read().decode()
+    assert read("doc=7.txt") == "again\ntext 7\r\nsecond line ü\n" and read("doc=null.txt") == "\nx\n" and read("doc=8.txt") == "text 8\r\nsecond line ü\n"
+
+
+def test_text_files_of_a_partition_are_divided(spark, tmp_path, monkeypatch):
+    import os
+
+    from kitman.sources import sinks
+    monkeypatch.setattr(sinks, "FOLDER_FILES", 10)
+    rows = spark.range(95).selectExpr("id doc", "cast(id as string) value").coalesce(1)
+    sinks.write_text_files(rows, str(tmp_path / "out"))
+    sizes = [len(names) for _, _, names in os.walk(tmp_path / "out") if names]
+    assert sum(sizes) == 95 and max(sizes) <= 10
