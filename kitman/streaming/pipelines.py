@@ -29,9 +29,9 @@ from .. import rules as R
 from ..functions.arrays import exploded
 from ..operators.review import spans_table, unknown_document_decisions
 from ..plans.release import DECISION_SCHEMA, extract, release
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 from ..sources.intake import accepted, intake_stream, quarantined
-from ..sources.sinks import exists, make_folder, read_rows, write_rows
+from ..sources.sinks import exists, is_folder, make_folder, read_rows, write_rows
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -203,15 +203,17 @@ def start_decisions(spark: SparkSession, decisions_dir: str, state_dir: str, *,
 
 def stream_detect_table(spark: SparkSession, table_dir: str, table: str, out_dir: str,
                         checkpoint: str, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """ST1 over a parquet table: the table's files are the stream source
-    (``availableNow``), each micro-batch is detected and becomes a version named
-    after the batch; returns the flat span rows written."""
-    schema = spark.read.parquet(f"{table_dir}/{table}.parquet").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-           .parquet(table_dir))
+    """ST1 over a parquet table, one file or a folder of files: the table's files are
+    the stream source (``availableNow``), each micro-batch is detected and becomes a
+    version named after the batch; returns the flat span rows written."""
+    at = f"{table_dir}/{table}.parquet"
+    schema, reader = spark.read.parquet(at).schema, spark.readStream
+    if not is_folder(spark, at):                            # a stream reads folders: the one file of its folder
+        reader, at = reader.option("pathGlobFilter", f"{table}.parquet"), table_dir
+    src = reader.schema(schema).parquet(at)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        ex = extract(batch.select(key_col, text_col), text_col)
+        ex = extract(spread(batch.select(key_col, text_col)), text_col)
         spans = (exploded(ex, "spans", key_col)
                  .select(key_col, "n", "s.start", "s.end", "s.kind", "s.text", "s.confidence", "s.lang"))
         write_rows(spans, out_dir, name=f"{stream}-{batch_id}")

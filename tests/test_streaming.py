@@ -127,3 +127,15 @@ def test_oversize_files_are_turned_away_unread(spark):
     assert [r.filename for r in read_latest(spark, os.path.join(state, "extracts")).collect()] == ["good.TXT"]
     assert {r.filename: r.reject_reason for r in read_latest(spark, os.path.join(state, "quarantine")).collect()
             if r.filename != "none.txt"} == {k: v for k, v in want.items() if v}
+
+
+def test_table_of_several_files_is_streamed(spark):
+    """A table may be a folder of files; its name is then no file's name."""
+    from kitman.streaming.pipelines import stream_detect_table
+    base = tempfile.mkdtemp(prefix="kitman-stream-table-")
+    rows = spark.createDataFrame([(1, F1_CONTRACT), (2, F2_LABELS), (2, F2_LABELS), (None, F2_LABELS), (3, None)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(os.path.join(base, "documents.parquet"))
+    out = stream_detect_table(spark, base, "documents", os.path.join(base, "out"), os.path.join(base, "ck"))
+    want = extract(rows).select("doc_id", "spans").collect()
+    assert out.count() == sum(len(r.spans) for r in want) > 0
+    assert {r.doc_id for r in out.collect()} == {1, 2, None}
