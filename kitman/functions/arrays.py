@@ -18,8 +18,13 @@ def search_rounds(n: Column) -> Column:
         F.array().cast("array<int>"))
 
 
+#: Length up to which a running total is taken element by element.
+SHORT = 16
+
+
 def inclusive_scan(arr: Column, op: str = "sum") -> Column:
-    """Running sum / max of an array of ints or longs, O(n log n) per row."""
+    """Running sum / max of an array of ints or longs, O(n log n) per row; a short
+    array is summed up anew for each element, which takes fewer steps."""
     def combine(a: Column, b: Column) -> Column:
         return a + b if op == "sum" else F.greatest(a, b)
 
@@ -28,7 +33,11 @@ def inclusive_scan(arr: Column, op: str = "sum") -> Column:
         return F.transform(
             acc, lambda x, i: F.when(i >= d, combine(x, acc[i - d])).otherwise(x))
 
-    return let(arr, lambda a: F.aggregate(search_rounds(F.size(a)), a, one_round))
+    def each(a: Column) -> Column:
+        return F.transform(a, lambda x, i: F.aggregate(F.slice(a, 1, i), x, combine))
+
+    return let(arr, lambda a: F.when(F.size(a) <= SHORT, each(a)).otherwise(
+        F.aggregate(search_rounds(F.size(a)), a, one_round)))
 
 
 def exclusive_scan_sum(arr: Column) -> Column:

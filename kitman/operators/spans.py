@@ -119,7 +119,8 @@ def _line_candidate(line: Column, kind: str, pattern: str, c0: Column, b0: Colum
 
         return F.when(F.size(parts) == 2, let(clean_value(side), with_value))
 
-    return let(F.split(line, pattern, 2), with_parts)
+    # ``split`` compiles its pattern for every line, ``rlike`` once: lines without the kind are not split
+    return F.when(line.rlike(pattern), let(F.split(line, pattern, 2), with_parts))
 
 
 def line_label_hits(text: Column) -> Column:
@@ -145,6 +146,10 @@ def line_label_hits(text: Column) -> Column:
     return F.when(gate, let(F.split(text, "\n", -1), over_lines))
 
 
+#: Spans of a document up to which each is compared with all that are kept.
+FEW_SPANS = 24
+
+
 # -- O02: overlap resolution ----------------------------------------------------
 
 def _overlaps_kept(K: Column, x: Column) -> Column:
@@ -204,7 +209,7 @@ def resolve_overlaps(spans: Column) -> Column:
     else it competes within the block; the kept ones are merged into the sorted
     set once a block.  Hits of few rules and lengths make few long blocks, so chains of
     them cost O(n log n); n spans of many lengths cost at most O(n ** 1.5) steps
-    however they overlap."""
+    however they overlap.  Few spans compete one by one: blocks cost more than they save."""
     def compete(acc: Column, x: Column) -> Column:
         clash = F.exists(acc, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
@@ -221,4 +226,8 @@ def resolve_overlaps(spans: Column) -> Column:
 
         return F.aggregate(_blocks(S), empty_like(S), block)
 
-    return let(spans, lambda S: F.when(F.size(S) <= 1, S).otherwise(let(_ranked(S), by_rank)))
+    def one_by_one(S: Column) -> Column:
+        return F.sort_array(F.aggregate(S, empty_like(S), compete))
+
+    return let(spans, lambda S: F.when(F.size(S) <= 1, S).when(F.size(S) <= FEW_SPANS, let(_ranked(S), one_by_one))
+               .otherwise(let(_ranked(S), by_rank)))
