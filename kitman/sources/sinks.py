@@ -22,9 +22,13 @@ import os
 import re
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -135,20 +139,24 @@ def write_text_files(rows: DataFrame, path: str) -> None:
     base, per_folder = p.toUri().getPath(), FOLDER_FILES
     fs.mkdirs(p)
 
-    def write(part: int, part_rows) -> list[int]:
-        n = 0
-        for doc, same in groupby(part_rows, key=lambda r: r["doc"]):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, part = 0, TaskContext.get().partitionId()
+        pairs = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True))
+        for doc, same in groupby(pairs, key=itemgetter(0)):
             folder = f"{base}/{part:05d}-{n // per_folder:05d}"
-            os.makedirs(folder, exist_ok=True)
+            if n % per_folder == 0:
+                os.makedirs(folder, exist_ok=True)
             tmp = f"{folder}/.{uuid.uuid4().hex}"           # a task tried twice leaves whole files only
-            with open(tmp, "w", encoding="utf-8", newline="") as out:
-                for r in same:
-                    out.write(r["value"] + "\n")
-            os.replace(tmp, f"{folder}/doc={'null' if doc is None else doc}.txt")
+            with open(tmp, "wb", buffering=0) as out:       # mostly one value a file, so one write
+                for _, value in same:
+                    line = memoryview(value + b"\n")
+                    while line:
+                        line = line[out.write(line):]
+            os.rename(tmp, f"{folder}/doc={'null' if doc is None else doc}.txt")
             n += 1
-        return [n]
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
 
-    rows.repartition("doc").sortWithinPartitions("doc", "value").rdd.mapPartitionsWithIndex(write).sum()
+    rows.repartition("doc").sortWithinPartitions("doc", "value").mapInArrow(write, "n long").agg(F.sum("n")).first()
 
 
 # -- the list of versions -----------------------------------------------------------
